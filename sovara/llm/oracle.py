@@ -37,4 +37,40 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
-SQL = {"op5_url_filter": URL_FILTER, "op8_quality_rules": QUALITY_RULES}
+NGRAM_JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(32))]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(32))) END) AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.c AS component_id FROM s JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) c ON c.v = s.doc_id
+"""
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.95),
+r AS (SELECT vec_id AS v, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+c AS (SELECT v, min(c) AS c FROM r GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN c ON c.v = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+SUFFIX_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT id, doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(x) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+g AS (SELECT id, p, CASE WHEN p - lag(p) OVER (PARTITION BY id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (s) WHERE doc_id > m),
+r AS (SELECT id, k, min(p) AS a, max(p) + 50 AS b FROM (SELECT id, p, sum(new) OVER (PARTITION BY id ORDER BY p) AS k FROM g) GROUP BY id, k),
+q AS (SELECT id, k, a, b, lag(b, 1, 0) OVER (PARTITION BY id ORDER BY a) AS z FROM r),
+t AS (SELECT id, sum(b - a) AS gone, count(*) AS n, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM q JOIN d USING (id) GROUP BY id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN t USING (id)
+"""
+
+SQL = {"op10_suffix_dedup": SUFFIX_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op2_ngram_jaccard": NGRAM_JACCARD, "op5_url_filter": URL_FILTER, "op8_quality_rules": QUALITY_RULES}

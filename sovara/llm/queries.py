@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sovara.llm import bpe, language, quality, rules, toxicity, urls
+from sovara.llm import bpe, embeddings, jaccard, language, passages, quality, rules, toxicity, urls
 from sovara.llm.common import fold, read_table
 
 #: (host, path, verdict): the rules of the URL query.
@@ -19,6 +19,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).selectExpr("doc_id", "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1 as held_out", "score", "predicted")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -44,6 +52,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).selectExpr("doc_id", "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0 as held_out", "score", "predicted")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
