@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sovara.llm import bpe, embeddings, jaccard, language, passages, quality, rules, toxicity, urls
+from sovara.llm import bpe, embeddings, jaccard, language, packing, passages, quality, rules, toxicity, urls
 from sovara.llm.common import fold, read_table
 
 #: (host, path, verdict): the rules of the URL query.
@@ -35,6 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     net = language.fit(docs, lambda i: fold(i, 5) != 0)
