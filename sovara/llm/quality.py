@@ -72,10 +72,8 @@ class Model:
         return sigmoid(self.prior + total / (sums(each[codes] + echo, counts) + SMOOTH))
 
 
-def train(text: pa.Array, label: np.ndarray, seed: int = 11) -> Model:
-    rate = label.mean() if len(label) else 0.5
-    if not 0 < rate < 1:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate + 1e-3) - np.log(1 - rate + 1e-3)) if len(label) else 0.0)
+def _shares(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text: its distinct features and what part of its mean each one makes."""
     codes, words, counts = words_of(text)
     buckets, each = word_features(words)
     first, echo = np.cumsum(each) - each, echoes(codes, counts)
@@ -86,7 +84,15 @@ def train(text: pa.Array, label: np.ndarray, seed: int = 11) -> Model:
         size = each[own]
         index = np.repeat(first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
         found, many = np.unique(np.concatenate([buckets[index], np.full(again, ECHO)]), return_counts=True)
-        documents.append((found, (many / (many.sum() + SMOOTH)).astype(np.float32)))
+        documents.append((found.astype(np.int32), (many / (many.sum() + SMOOTH)).astype(np.float32)))
+    return documents
+
+
+def train(text: pa.Array, label: np.ndarray, seed: int = 11) -> Model:
+    rate = label.mean() if len(label) else 0.5
+    if not 0 < rate < 1:
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate + 1e-3) - np.log(1 - rate + 1e-3)) if len(label) else 0.0)
+    documents = [d for a in range(0, len(label), 100) for d in _shares(text.slice(a, 100))]  # the driver's memory is small
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.log(np.array([1 - rate, rate]) + 1e-6).astype(np.float32)

@@ -85,11 +85,21 @@ def train(text: pa.Array, label: np.ndarray, seed: int = 5) -> Model:
     rate = label.mean() if len(label) else 0.5
     if not 0 < rate < 1:
         return Model(*none, float(np.log(rate + 1e-3) - np.log(1 - rate + 1e-3)) if len(label) else 0.0)
-    row, coordinate = features(text)
-    pairs = np.unique((row << BITS) | coordinate)
-    row, coordinate = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    edge = np.searchsorted(row, np.arange(len(label) + 1))
-    used, coordinate = np.unique(coordinate, return_inverse=True)
+    parts, sizes = [], []
+    for a in range(0, len(label), 100):  # few texts at a time: the driver's memory is small
+        piece = text.slice(a, 100)
+        row, coordinate = features(piece)
+        pairs = np.unique((row << BITS) | coordinate)
+        parts.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
+        sizes.append(np.bincount(pairs >> BITS, minlength=len(piece)))
+    edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    coordinate = np.concatenate(parts)
+    present = np.zeros(1 << BITS, bool)
+    present[coordinate] = True
+    used = np.flatnonzero(present)
+    dense = np.zeros(1 << BITS, np.int32)
+    dense[used] = np.arange(len(used), dtype=np.int32)
+    coordinate = dense[coordinate]
     z, n, w = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
     bias_n = 0.0
     bias = float(np.log(rate / (1 - rate)))
