@@ -90,7 +90,7 @@ def _shares(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def train(text: pa.Array, label: np.ndarray, seed: int = 11) -> Model:
     rate = label.mean() if len(label) else 0.5
-    if not 0 < rate < 1:
+    if not len(label) or not 0 < rate < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate + 1e-3) - np.log(1 - rate + 1e-3)) if len(label) else 0.0)
     documents = [d for a in range(0, len(label), 100) for d in _shares(text.slice(a, 100))]  # the driver's memory is small
     random = np.random.default_rng(seed)

@@ -83,7 +83,7 @@ class Model:
 def train(text: pa.Array, label: np.ndarray, seed: int = 5) -> Model:
     none = np.zeros(0, np.int64), np.zeros(0)
     rate = label.mean() if len(label) else 0.5
-    if not 0 < rate < 1:
+    if not len(label) or not 0 < rate < 1:
         return Model(*none, float(np.log(rate + 1e-3) - np.log(1 - rate + 1e-3)) if len(label) else 0.0)
     parts, sizes = [], []
     for a in range(0, len(label), 100):  # few texts at a time: the driver's memory is small
