@@ -157,3 +157,14 @@ SQL["geocode_outcomes"] = f"WITH g AS ({SQL['geocode_join']}) SELECT " + ", ".jo
 SQL["qa_summary"] = f"""WITH y AS ({SQL['clean_years']}), c AS ({SQL['clean_currency']}), j AS (SELECT y.issues AS yi, c.issues AS ci, c.Currency_Conflicts AS k FROM y JOIN c USING (row_index)),
 n AS (SELECT count(*) AS r, count_if(k) AS x, count_if(yi <> '') AS b, count_if(yi <> '' OR ci <> '') AS f, sum(CASE WHEN yi = '' THEN 0 ELSE 1 END + CASE WHEN ci = '' THEN 0 ELSE len(string_split(ci, '|')) END)::BIGINT AS t FROM j)
 SELECT unnest(['rows', 'geocode_failures', 'low_occupancy_confidence', 'low_construction_confidence', 'currency_conflicts', 'bad_years', 'flagged_rows', 'flags']) AS label, unnest([r, 0, 0, 0, x, b, f, t]) AS value FROM n"""
+
+SQL["normalize_rows"] = f"""WITH a AS ({SQL['clean_years']}), b AS ({SQL['clean_stories']}), c AS ({SQL['clean_count']}), d AS ({SQL['clean_area']}), e AS ({SQL['clean_values']}), f AS ({SQL['clean_sprinkler']}), g AS ({SQL['clean_name']}), p AS ({SQL['uniform_policy']})
+SELECT row_index, p.PolicyID, row_number() OVER (ORDER BY row_index) AS LocationID, YearBuilt, NumberOfStories, RiskCount, GrossArea, BuildingValue, SprinklerSystem, LocationName, 'COM' AS LineOfBusiness
+FROM a JOIN b USING (row_index) JOIN c USING (row_index) JOIN d USING (row_index) JOIN e USING (row_index) JOIN f USING (row_index) JOIN g USING (row_index) JOIN p USING (row_index)"""
+SQL["clean_modifiers"] = f"""{_V} SELECT row_index, CASE roof WHEN '3' THEN 3 WHEN 'Clay Tiles' THEN 6 WHEN 'old slate roof' THEN 1 WHEN 'wood shingles, painted' THEN 7 WHEN NULL THEN NULL ELSE 0 END AS ROOFGEOM,
+CASE roof WHEN 'Clay Tiles' THEN 'alias' WHEN 'old slate roof' THEN 'token' WHEN 'wood shingles, painted' THEN 'token' WHEN 'mystery' THEN 'default' ELSE '' END AS methods FROM v"""
+SQL["context_rules"] = f"""{_V}, p AS (SELECT coalesce(upper({_BLANK('occ_scheme')}), '') AS scheme, {_BLANK('segment')} AS value, arg_min(lower(Nation), row_index) AS n FROM v WHERE {_BLANK('segment')} IS NOT NULL GROUP BY 1, 2)
+SELECT scheme, value, CASE WHEN lower(value) = 'furniture' THEN CASE WHEN contains(n, 'a') THEN 'F1' WHEN contains(n, 'united') OR contains(n, 'peru') THEN 'F2' ELSE 'F9' END WHEN contains(n, 'china') THEN 'M1' END AS code FROM p WHERE lower(value) = 'furniture' OR (lower(value) = 'machinery' AND contains(n, 'china'))"""
+SQL["dict_upsert"] = """WITH e AS (SELECT p_name AS code, min(p_type) AS d FROM part GROUP BY 1), c AS (SELECT DISTINCT n AS code FROM (SELECT p_brand, max(p_name) AS n FROM part WHERE p_size > 45 GROUP BY 1))
+SELECT code, CASE WHEN c.code IS NOT NULL THEN 'new' ELSE d END AS description, CASE WHEN c.code IS NOT NULL THEN 'k' ELSE d END AS keywords FROM e FULL JOIN c USING (code) WHERE code NOT IN (SELECT p_name FROM part WHERE p_size = 1)"""
+SQL["remembered_headers"] = f"WITH {_MEMORY}, h AS (SELECT DISTINCT 'USER-' || (c_custkey % 400) AS source_col FROM customer) SELECT source_col, canonical, CASE WHEN canonical IS NOT NULL THEN 1.0 END AS score FROM h LEFT JOIN m ON m.source_col_normalized = replace(lower(source_col), '-', ' ')"

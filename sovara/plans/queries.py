@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, portfolio, review
+from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, normalize, portfolio, review
 from sovara.flags import drop_flags, flags_table
 from sovara.plans.exposure import exposure
 from sovara.rules import Rules
@@ -298,19 +298,39 @@ def memory_stats(s: SparkSession, d: str) -> DataFrame:
     return mapping.memory_statistics(memory_upsert(s, d))
 
 
-def _clean(s: SparkSession, d: str) -> DataFrame:
-    rows = exposure(s, d)
-    for job in JOBS:
-        rows = rows.transform(job)
-    return rows
+def normalize_rows(s: SparkSession, d: str) -> DataFrame:
+    rows = normalize.normalize_all(exposure(s, d), RULES)
+    return rows.select("row_index", "PolicyID", F.col("LocationID").cast("bigint").alias("LocationID"), "YearBuilt", "NumberOfStories", "RiskCount", "GrossArea", "BuildingValue", "SprinklerSystem", "LocationName", "LineOfBusiness")
 
 
-JOBS = (lambda df: cleaning.clean_years(df, RULES), lambda df: cleaning.clean_stories(df, RULES), cleaning.clean_count, lambda df: cleaning.clean_area(df, RULES), lambda df: cleaning.clean_values(df, RULES), cleaning.clean_currency, cleaning.clean_sprinkler, cleaning.clean_location_name)
+def clean_modifiers(s: SparkSession, d: str) -> DataFrame:
+    rows = exposure(s, d).select("row_index", F.col("roof").alias("ROOFGEOM"))
+    aliases, tokens = s.createDataFrame(ALIASES, "section string, alias string, code int"), s.createDataFrame(TOKENS, "section string, token string, code int, ordinal int")
+    return normalize.clean_modifiers(rows, aliases, tokens, "RMS").select("row_index", "ROOFGEOM", F.array_join("flags.message", "|").alias("methods"))
 
 
-def normalize_all(s: SparkSession, d: str) -> DataFrame:
-    rows = identity.identity_pass(_clean(s, d))
-    return rows.select("row_index", "PolicyID", "LocationID", "YearBuilt", "NumberOfStories", "RiskCount", "GrossArea", "BuildingValue", "Currency", "SprinklerSystem", "LocationName", F.size("flags").alias("n_flags"))
+def context_rules(s: SparkSession, d: str) -> DataFrame:
+    pairs = codes.distinct_pairs(exposure(s, d), "occ_scheme", "segment", "Nation")
+    rules = s.createDataFrame([("furniture", 1, ["a"], "F1"), ("furniture", 2, ["united", "peru"], "F2"), ("furniture", 9, None, "F9"), ("machinery", 1, ["china"], "M1")], "term string, ordinal int, signals array<string>, code string")
+    return codes.by_context(pairs, rules, F.col("Nation")).select("scheme", "value", "code")
+
+
+def dict_upsert(s: SparkSession, d: str) -> DataFrame:
+    part = s.read.parquet(f"{d}/part.parquet")
+    entries = part.groupBy("p_name").agg(F.min("p_type").alias("d")).select(F.col("p_name").alias("code"), F.col("d").alias("description"), F.array("d").alias("keywords"), F.lit(1).alias("version"))
+    change = part.filter("p_size > 45").groupBy("p_brand").agg(F.max("p_name").alias("n")).select(F.col("n").alias("code"), F.lit("new").alias("description"), F.array(F.lit("k")).alias("keywords")).distinct()
+    merged = dictionary.delete(dictionary.upsert(entries, change), part.filter("p_size = 1").select(F.col("p_name").alias("code")))
+    return dictionary.export_table(merged)
+
+
+def remembered_headers(s: SparkSession, d: str) -> DataFrame:
+    headers = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("USER-"), (F.col("c_custkey") % 400).cast("string")).alias("source_col")).distinct()
+    return mapping.remembered(headers, memory_upsert(s, d), "AIR")
+
+
+def merged_suggestions(s: SparkSession, d: str) -> DataFrame:
+    semantic = s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("source_col"), F.col("p_brand").alias("canonical"), (F.col("p_size") * 1.0).alias("score"))
+    return mapping.merge_suggestions(fuzzy_topk(s, d), semantic)
 
 
 def flag_families(s: SparkSession, d: str) -> DataFrame:

@@ -30,9 +30,12 @@ def add_row_index(df: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "_part").withColumn("row_index", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_before")
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> DataFrame:
-    """A delimited file as trimmed text cells with `row_index`. Without an encoding, UTF-8 is tried first, then latin-1."""
-    reader = spark.read.option("sep", sep).option("header", False).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"')
+def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, multiline: bool = False) -> DataFrame:
+    """A delimited file as trimmed text cells with `row_index`. Without an encoding, UTF-8 is tried first, then latin-1.
+
+    Cells with line breaks need `multiline`; a file is then one task, as it cannot be split.
+    """
+    reader = spark.read.option("sep", sep).option("header", False).option("inferSchema", False).option("multiLine", multiline).option("quote", '"').option("escape", '"')
     if encoding is None:
         broken = reader.option("encoding", "UTF-8").csv(path)
         bad = F.exists(F.array(*broken.columns), lambda c: F.coalesce(c, F.lit("")).contains("�"))
