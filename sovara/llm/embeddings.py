@@ -25,7 +25,7 @@ from sovara.llm.common import cut_lineage
 from sovara.llm.components import connected
 
 #: Vectors to learn centroids from, vectors in a cell aimed at, most cells, and rows in a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 400, 4096, 1024
+SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 4096, 4096, 1024
 
 
 def learn_centroids(vectors: np.ndarray, cells: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
