@@ -166,12 +166,12 @@ def clean_values(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
     """Money of the three coverages with caps; a currency sign fills the currency where it is blank."""
     caps = (rules.max_building_value, rules.max_contents_value, rules.max_bi_value)
     sources = ("BuildingValue", "ContentsValue", "TimeElementValue")
-    rows, flags, values = df, [], {}
+    cells, flags, values = {}, [], {}
     for i, (source, cap) in enumerate(zip(sources, caps, strict=True), 1):
         out = source if target == "AIR" else f"EQCV{i}VAL"
         raw = first_filled(_at(df, out), _at(df, source))
         value, currency = money(raw)
-        rows = rows.withColumns({f"_raw{i}": raw, f"_v{i}": value, f"_c{i}": currency})
+        cells |= {f"_raw{i}": raw, f"_v{i}": value, f"_c{i}": currency}
         high = F.col(f"_v{i}") > cap
         flags += [flag(F.col(f"_v{i}").isNull(), out, "unparseable_value", F.col(f"_raw{i}")), flag(F.col(f"_v{i}") < 0, out, "negative_value", F.col(f"_v{i}"))]
         if rules.invalid_value_action != "none":
@@ -181,7 +181,7 @@ def clean_values(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
             values[f"EQCV{i}LCUR"] = F.coalesce(blank_to_null(_at(df, f"EQCV{i}LCUR")), F.col(f"_c{i}"))
     if target == "AIR":
         values["Currency"] = F.coalesce(blank_to_null(_at(df, "Currency")), *[F.col(f"_c{i}") for i in (1, 2, 3)])
-    return add_flags(rows, *flags).withColumns(values).drop(*[f"_{k}{i}" for k in ("raw", "v", "c") for i in (1, 2, 3)])
+    return add_flags(df.withColumns(cells), *flags).withColumns(values).drop(*[f"_{k}{i}" for k in ("raw", "v", "c") for i in (1, 2, 3)])
 
 
 def clean_currency(df: DataFrame) -> DataFrame:
