@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 
 from sovara.llm.common import code_points, doc_text, labelled_sample, mix, sigmoid, text_chunks, words_of
 
-BITS, EPOCHS = 22, 3
+BITS, EPOCHS = 22, 4
 STEMS = (4, 5, 6)
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.7, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 
 
 _SHIFT = np.uint64(64 - BITS)
@@ -119,7 +119,7 @@ def train(text: pa.Array, label: np.ndarray, seed: int = 5) -> Model:
     return Model(used[keep], w[keep], bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible, label: str = "toxic", max_rows: int = 6000, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, eligible, label: str = "toxic", max_rows: int = 8000, max_chars: int = 20_000) -> Model:
     """Learns from about max_rows labelled rows for which eligible(doc_id) holds, with texts of at most max_chars."""
     sample = labelled_sample(docs, labels, label, eligible, max_rows, max_chars)
     return train(sample["text"].combine_chunks(), np.asarray(sample["label"]).astype(int))
