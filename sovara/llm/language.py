@@ -176,7 +176,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, net: Network, at_least: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, net: Network, at_least: float = 0.4) -> DataFrame:
     """The rows of docs, all columns, with a language and a score of at_least."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     docs = docs.withColumn("text", F.col("text").cast("string"))
