@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from sovara.llm.common import cut_lineage
 from sovara.llm.components import connected
 
-#: Vectors to learn centroids from, vectors in a cell aimed at, most cells, and rows in a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 4096, 4096, 1024
+#: Vectors to learn centroids from, vectors in a cell aimed at, most cells, rows in a block, and rows of a block multiplied
+#: at once.
+SAMPLE, CELL, MOST_CELLS, BLOCK, TILE = 20_000, 4096, 4096, 4096, 512
 
 
 def learn_centroids(vectors: np.ndarray, cells: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -78,9 +79,13 @@ def _places(vectors: DataFrame, centroids: np.ndarray, cosine: float) -> DataFra
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id that each row (left) and each column (right) of a block reaches through the block's links."""
     most = np.iinfo(np.int64).max
+    parts = [slice(a, a + TILE) for a in range(0, len(left), TILE)]
     while True:
-        new_right = np.minimum(right, np.where(linked, left[:, None], most).min(0, initial=most))
-        new_left = np.minimum(left, np.where(linked, new_right[None], most).min(1, initial=most))
+        new_left, new_right = left.copy(), right.copy()
+        for p in parts:
+            np.minimum(new_right, np.where(linked[p], left[p, None], most).min(0, initial=most), out=new_right)
+        for p in parts:
+            np.minimum(new_left[p], np.where(linked[p], new_right[None], most).min(1, initial=most), out=new_left[p])
         if (new_left == left).all() and (new_right == right).all():
             return left, right
         left, right = new_left, new_right
@@ -93,13 +98,20 @@ def _product(cosine: float):
         rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
         if not len(columns) and (side == 2).all():  # a block with itself
             columns = rows
-        linked = x[rows] @ x[columns].T >= cosine
-        if columns is rows:
-            np.fill_diagonal(linked, False)
-            links, to = linked @ copies, _forest(linked, ids, ids)[1]
-            where = rows
+        y, itself, linked = x[columns].T, columns is rows, []
+        row_links, column_links = [np.zeros(0, np.int64)], np.zeros(len(columns), np.int64)
+        for a in range(0, len(rows), TILE):
+            part = x[rows[a : a + TILE]] @ y >= cosine
+            if itself:
+                part[np.arange(len(part)), a + np.arange(len(part))] = False
+            row_links.append(part @ copies[columns])
+            column_links += copies[rows[a : a + TILE]] @ part
+            linked.append(part)
+        linked = np.concatenate([np.zeros((0, len(columns)), bool), *linked])
+        if itself:
+            links, to, where = column_links, _forest(linked, ids[rows], ids[rows])[1], rows
         else:
-            links = np.concatenate([linked @ copies[columns], copies[rows] @ linked])
+            links = np.concatenate([*row_links, column_links])
             to = np.concatenate(_forest(linked, ids[rows], ids[columns]))
             where = np.concatenate([rows, columns])
         some = links > 0
