@@ -4,7 +4,8 @@ Rows of the matrix are the distinct shingle sets (copies of a set are one row),
 nx, ny reach the threshold only if their overlap o satisfies 9 o >= 4 (nx + ny) for 0.8, so
 * sizes differ by a factor of 0.8 at most;
 * if all sets are sorted in one common order, they share a column among the first n - ceil(0.8 n) + 1 of each;
-* a shared column at places i and j leaves at most min(i, j) + 1 + min(nx - i, ny - j) - 1 columns to share.
+* a shared column at places i and j leaves at most min(i, j) + 1 + min(nx - i, ny - j) - 1 columns to share;
+* the overlap is at most that of the leading columns and what follows the lead that ends first.
 Only those leading columns are multiplied. The common order puts columns that are frequent within single input batches last
 (a bounded, broadcast list; it affects speed only), so passages that many documents share are rarely among them.
 
@@ -148,6 +149,15 @@ def _may_link(left: str, right: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
 
 
+def _enough_in_lead(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb), those whose overlap within their leading columns can still grow to the threshold: of
+    the row whose lead ends first, only the columns after its lead are not counted yet."""
+    rest = lambda n: F.ceil(F.col(n) * percent / 100).cast("bigint") - 1
+    both = pairs.join(leads.select(F.col("name").alias("a"), F.col("lead").alias("lead_a")), "a").join(leads.select(F.col("name").alias("b"), F.col("lead").alias("lead_b")), "b")
+    counted = F.size(F.array_intersect("lead_a", "lead_b")) + F.greatest(rest("na"), rest("nb"))
+    return both.filter((100 + percent) * counted >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between names of different sets that reach the threshold, enough to connect all that are connected."""
     spark = docs.sparkSession
@@ -158,30 +168,29 @@ def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> Dat
     entries = leading_columns(docs, size, percent, np.asarray(top["h"].combine_chunks()).astype(np.int64))
     shared = entries.groupBy("h").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most").select("h")
     entries = cut_lineage(entries.join(shared, "h"))
-    names = entries.select("name").distinct()
-    ids = cut_lineage(table.filter("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(names, "name").select("doc_id", "name"))
-    rows = cut_lineage(_rows(docs, ids, size))
+    leads = cut_lineage(entries.groupBy("name").agg(F.collect_set("h").alias("lead")))
+    first = table.filter("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     roots, links, tested = None, None, None
     for round_ in range(ROUNDS + 1):
         live = entries.withColumn("root", F.col("name")) if roots is None else entries.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         columns = live.groupBy("h").agg(F.min(F.struct("name", "place", "n", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h", "hub")
-        live = cut_lineage(live.join(columns, "h").withColumn("me", F.struct("name", "place", "n", "root")).select("h", "hub", "me"))
+        live = live.join(columns, "h").withColumn("me", F.struct("name", "place", "n", "root")).select("h", "hub", "me")
         if round_ < ROUNDS:
             found = live
         else:
             found = live.select("h", F.col("me").alias("hub")).join(live.select("h", "me"), "h").filter("hub.name < me.name")
-        pairs = found.filter("hub.name <> me.name and hub.root <> me.root").filter(_may_link("hub", "me", percent)).select(F.col("hub.name").alias("a"), F.col("me.name").alias("b"), F.col("hub.root").alias("root")).groupBy("a", "b").agg(F.min("root").alias("root"))
+        pairs = found.filter("hub.name <> me.name and hub.root <> me.root").filter(_may_link("hub", "me", percent)).select(F.col("hub.name").alias("a"), F.col("me.name").alias("b"), F.col("hub.root").alias("root"), F.col("hub.n").alias("na"), F.col("me.n").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.min("root").alias("root"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            if round_ == ROUNDS or live.isEmpty():
-                break
-            new = None
-        else:
-            new = cut_lineage(_overlaps(pairs.select("a", "b"), rows, percent))
+        likely = cut_lineage(_enough_in_lead(pairs, leads, percent))
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        new = None
+        if not likely.isEmpty():
+            names = likely.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+            rows = cut_lineage(_rows(docs, cut_lineage(first.join(names, "name").select("doc_id", "name")), size))
+            new = cut_lineage(_overlaps(likely, rows, percent))
             links = new if links is None else links.union(new)
-            tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         if round_ == ROUNDS:
             break
         if new is not None:
@@ -190,12 +199,14 @@ def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> Dat
                 roots = cut_lineage(moved.select("name", F.least("new", "name").alias("root")))
             else:
                 roots = cut_lineage(roots.join(moved, "name", "full").select("name", F.least(F.coalesce("root", "name"), F.coalesce("new", "name")).alias("root")))
-        entries = live.filter("hub.name <> me.name").select("h", "me.name", "me.place", "me.n")
+        entries = cut_lineage(live.filter("hub.name <> me.name").select("h", "me.name", "me.place", "me.n"))
+        if entries.isEmpty():
+            break
     return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
 
 
 def _rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """name and all shingles (bytes of ascending 64-bit hashes) of the sets in ids (doc_id, name)."""
+    """name and all shingles (bytes of ascending 64-bit hashes) of the sets in ids (doc_id, name); repeated rows repeat."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "name")
 
@@ -207,7 +218,7 @@ def _rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             data = [values[end[i] - sizes[i] : end[i]].tobytes() for i in right]
             yield pa.RecordBatch.from_arrays([pa.array(mine[right]), pa.array(data, pa.binary())], ["name", "shingles"])
 
-    return texts.mapInArrow(run, "name bigint, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(run, "name bigint, shingles binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -228,5 +239,5 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component; rows with null doc_id stay."""
-    gone = jaccard_components(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = jaccard_components(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
