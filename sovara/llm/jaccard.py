@@ -4,7 +4,7 @@ Rows of the matrix are the distinct shingle sets (copies of a set are one row),
 nx, ny reach the threshold only if their overlap o satisfies 9 o >= 4 (nx + ny) for 0.8, so
 * sizes differ by a factor of 0.8 at most;
 * if all sets are sorted in one common order, they share a column among the first n - ceil(0.8 n) + 1 of each;
-* a shared column at places i and j leaves at most min(i, j) + 1 + min(nx - i, ny - j) - 1 columns to share;
+* if i and j are the places of the first shared column, at most min(nx - i, ny - j) columns are shared;
 * the overlap is at most that of the leading columns and what follows the lead that ends first.
 Only those leading columns are multiplied. The common order puts columns that are frequent within single input batches last
 (a bounded, broadcast list; it affects speed only), so passages that many documents share are rarely among them.
@@ -145,8 +145,8 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def _may_link(left: str, right: str, percent: int):
     """The bounds on an entry of the product with place and n of both sides."""
     nx, ny, i, j = (F.col(f"{s}.{c}").cast("bigint") for c in ("n", "place") for s in (left, right))
-    most = F.least(i, j) + F.least(nx - i, ny - j)
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
+    left_over = F.least(nx - i, ny - j)  # columns of both from here on; at the first common column they hold the whole overlap
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * left_over >= percent * (nx + ny))
 
 
 def _enough_in_lead(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
