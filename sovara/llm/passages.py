@@ -9,6 +9,9 @@ also occurs in an earlier document is removed as a whole at once, first within a
 that very many documents share is one entry a batch. Of an anchor that several documents share with different fragments,
 the remaining occurrences (leaders) go on.
 
+A leader goes on only if it can share a string with another one: a string around an anchor has half of its other bytes on
+one side at least, so a few bits of a hash of those bytes on either side must agree.
+
 Suffix order. Leaders' fragments are dealt to blocks by anchor. A block's fragments are one text with separators; from its
 Burrows-Wheeler transform, intervals are extended backwards breadth first, and the interval ends met at step l get common
 prefix l. Extension stops at `least`: ends without a value are suffixes that share at least so many bytes. In each such run
@@ -27,14 +30,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks
 
 ANCHOR = 16
 #: Entries that a Python worker compares at once, text bytes a bucket, fragment bytes a block, leaders of an anchor in a block.
-FLUSH, BUCKET_BYTES, BLOCK_BYTES, MOST_LEADERS = 1_500_000, 16 << 20, 1 << 20, 2000
+FLUSH, BUCKET_BYTES, BLOCK_BYTES, MOST_LEADERS = 700_000, 16 << 20, 1 << 20, 12_000
 #: Occurrences of one anchor in a batch that go to its bucket; the rest are leaders without further comparison.
 SENT = 16
 #: Starts hashed at once.
@@ -67,9 +72,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def anchors(data: np.ndarray, valid: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, valid: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """For each anchor that a string of `least` bytes of data chooses: its hash, its fragment's hash, the first start and
-    the number of starts of the strings that choose it. Only starts marked valid count; data has some MB at most."""
+    the number of starts of the strings that choose it, and 12 bits for what stands before and 12 for what stands after it
+    (0 if no string reaches that far). Only starts marked valid count; data has some MB at most."""
     wide = data.astype(np.uint64) + np.uint64(1)
     step, h, length = np.array([_R]), wide, 1
     while length < ANCHOR:
@@ -91,12 +97,15 @@ def anchors(data: np.ndarray, valid: np.ndarray, least: int) -> tuple[np.ndarray
     power, inverse = _powers(1 << int(len(wide)).bit_length())
     total = np.concatenate([[np.uint64(0)], np.cumsum(wide * power[: len(wide)])])
     fragment = (total[first + count - 1 + least] - total[first]) * inverse[first]
-    return h[chosen[new]], mix(fragment + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first, count
+    at, half = chosen[new], (least - ANCHOR) // 2
+    bits = lambda a: (mix((total[a + half] - total[a]) * inverse[a]) % np.uint64(4095)).astype(np.int64) + 1
+    before = np.where(at - half >= first, bits(np.maximum(at - half, 0)), 0)
+    after = np.where(at + ANCHOR + half <= first + count - 1 + least, bits(np.minimum(at + ANCHOR, len(wide) - half)), 0)
+    return h[at], mix(fragment + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first, count, before, after
 
 
 def batch_anchors(texts: list[bytes], least: int):
-    """(text number, hash, fragment hash, start, count) arrays for all texts; short texts are hashed together, long ones in
-    segments."""
+    """Text number and what `anchors` returns, for all texts; short texts are hashed together, long ones in segments."""
     group: list[int] = []
     size = 0
     for i, data in enumerate([*texts, b""]):
@@ -104,8 +113,8 @@ def batch_anchors(texts: list[bytes], least: int):
             raw = np.frombuffer(data, np.uint8)
             for a in range(0, len(raw) - least + 1, SEGMENT):
                 part = raw[a : a + SEGMENT + least - 1]
-                h, f, first, count = anchors(part, np.ones(len(part), bool), least)
-                yield np.full(len(h), i), h, f, first + a, count
+                h, f, first, *rest = anchors(part, np.ones(len(part), bool), least)
+                yield np.full(len(h), i), h, f, first + a, *rest
         elif len(data) >= least:
             group.append(i)
             size += len(data)
@@ -113,9 +122,9 @@ def batch_anchors(texts: list[bytes], least: int):
             length = np.array([len(texts[g]) for g in group])
             end = np.cumsum(length)
             valid = np.arange(size) + least <= np.repeat(end, length)
-            h, f, first, count = anchors(np.frombuffer(b"".join([texts[g] for g in group]), np.uint8), valid, least)
+            h, f, first, *rest = anchors(np.frombuffer(b"".join([texts[g] for g in group]), np.uint8), valid, least)
             own = np.searchsorted(end, first, "right")
-            yield np.array(group)[own], h, f, first - (end - length)[own], count
+            yield np.array(group)[own], h, f, first - (end - length)[own], *rest
             group, size = [], 0
 
 
@@ -143,6 +152,18 @@ def settle(h: np.ndarray, f: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tup
     return order, doc > earliest, several[np.cumsum(anchor) - 1]
 
 
+def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a key has several documents."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    several = np.minimum.reduceat(doc[order], start) < np.maximum.reduceat(doc[order], start)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(several, np.diff(np.append(start, len(key))))
+    return out
+
+
 def _name(h: np.ndarray, buckets: int) -> np.ndarray:
     """40 bits of an anchor's hash besides its bucket."""
     return (((h // np.uint64(buckets)) & np.uint64((1 << 40) - 1)) * np.uint64(buckets) + h % np.uint64(buckets)).astype(np.int64)
@@ -152,13 +173,13 @@ def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
     """Rows of (bucket, kind, data): kind 0 entries to compare, 1 settled removals, 2 leaders."""
 
     def flush(held):
-        h, f, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, f, doc, at, sides = (np.concatenate(x) for x in zip(*held, strict=True))
         order, repeats, several = settle(h, f, doc, at)
-        h, f, doc, at = h[order], f[order], doc[order], at[order]
+        h, f, doc, at, sides = h[order], f[order], doc[order], at[order], sides[order]
         salt = -1 - int(doc[0] % buckets)
         if repeats.any():
             yield salt, 1, planes(doc[repeats], at[repeats])
-        h, f, doc, at, several = (x[~repeats] for x in (h, f, doc, at, several))
+        h, f, doc, at, sides, several = (x[~repeats] for x in (h, f, doc, at, sides, several))
         # of an anchor with many entries the first ones are compared; the others are leaders whatever comes of those
         new = np.concatenate([[True], h[1:] != h[:-1]])
         which = np.cumsum(new) - 1
@@ -166,12 +187,12 @@ def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         crowded = (np.bincount(which, beyond) > 0)[which]
         if beyond.any():
             yield salt, 2, planes(_name(h[beyond], buckets), doc[beyond], at[beyond])
-        h, f, doc, at, crowded = (x[~beyond] for x in (h, f, doc, at, crowded))
+        h, f, doc, at, sides, crowded = (x[~beyond] for x in (h, f, doc, at, sides, crowded))
         name = _name(h, buckets)
         # document order, in which ids and places compress best
         order = np.lexsort((at, doc, name % buckets))
-        name, f, doc, at, crowded = (x[order] for x in (name, f, doc, at, crowded))
-        mark = (f >> np.uint64(25) << np.uint64(1) | crowded.astype(np.uint64)).view(np.int64)
+        name, f, doc, at, sides, crowded = (x[order] for x in (name, f, doc, at, sides, crowded))
+        mark = (sides << 40) | ((f >> np.uint64(25)).astype(np.int64) << 1) | crowded
         found, edge = np.unique(name % buckets, return_index=True)
         for b, s, e in zip(found.tolist(), edge.tolist(), [*edge[1:].tolist(), len(name)], strict=True):
             yield b, 0, planes(name[s:e] // buckets, mark[s:e], doc[s:e], at[s:e])
@@ -186,8 +207,8 @@ def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
             ids = np.asarray(batch.column("doc_id").fill_null(LAST))
             texts = [t or b"" for t in batch.column("data").to_pylist()]
             names = np.array([variant_of(t) for t in texts], np.int64)
-            for who, h, f, start, count in batch_anchors(texts, least):
-                held.append((h, f, ids[who], pack(names[who], start, count)))
+            for who, h, f, start, count, before, after in batch_anchors(texts, least):
+                held.append((h, f, ids[who], pack(names[who], start, count), before << 12 | after))
                 n += len(h)
             if n >= FLUSH:
                 yield rows(held)
@@ -217,15 +238,18 @@ def _compare(buckets: int):
         rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True))
         h, f, doc, at = unplanes([d for k, d in rows if k == 0], 4)
         gone, lead = unplanes([d for k, d in rows if k == 1], 2), unplanes([d for k, d in rows if k == 2], 3)
-        order, repeats, several = settle(h, f >> 1, doc, at)
-        h, f, doc, at = h[order], f[order], doc[order], at[order]
+        crowded, sides, f = f & 1, (f >> 40) & ((1 << 24) - 1), (f >> 1) & ((1 << 39) - 1)
+        order, repeats, _ = settle(h, f, doc, at)
+        h, doc, at, sides, crowded = h[order], doc[order], at[order], sides[order], crowded[order]
         if len(h):
             new = np.concatenate([[True], h[1:] != h[:-1]])
             start = np.flatnonzero(new)
-            # one fragment alone needs no further look, unless a batch kept others of its anchor
-            more = (f[start] >> 1) < (np.maximum.reduceat(f, start) >> 1)
-            crowded = np.bitwise_or.reduceat(f & 1, start) > 0
-            on = ~repeats & (several & more[np.cumsum(new) - 1] | crowded[np.cumsum(new) - 1])
+            # others of a crowded anchor were kept by a batch; else another leader must agree on one side
+            on = ~repeats & (np.bitwise_or.reduceat(crowded, start) > 0)[np.cumsum(new) - 1]
+            left = np.flatnonzero(~repeats)
+            for side in (sides >> 12, sides & 4095):
+                own = left[side[left] > 0]
+                on[own[_shared(h[own] << 12 | side[own], doc[own])]] = True
             gone = [np.concatenate(x) for x in zip(gone, (doc[repeats], at[repeats]), strict=True)]
             lead = [np.concatenate(x) for x in zip(lead, (h[on] * buckets + table["bucket"][0].as_py(), doc[on], at[on]), strict=True)]
         return _by_document(gone, lead)
@@ -316,18 +340,38 @@ def _block(least: int):
     return run
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """docs with `text` as compressed bytes in `__squeezed`: texts are shuffled twice here."""
+    plain = docs.withColumn("text", F.col("text").cast("binary"))
+    rest = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        shrink = zstandard.ZstdCompressor(level=3).compress
+        for batch in text_chunks(batches):
+            data = [None if t is None else shrink(t) for t in batch.column("text").to_pylist()]
+            yield batch.select(rest).append_column("__squeezed", pa.array(data, pa.binary()))
+
+    schema = StructType([*(plain.schema[c] for c in rest), StructField("__squeezed", BinaryType())])
+    return plain.mapInArrow(run, schema)
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    stretch = zstandard.ZstdDecompressor().decompress
+    return [b"" if t is None else stretch(t) for t in batch.column("__squeezed").to_pylist()]
+
+
 def _fragments(docs: DataFrame, leaders: DataFrame, least: int) -> DataFrame:
-    """The leaders' fragments: h, doc_id, at, fragment."""
-    lists = leaders.groupBy("doc_id").agg(F.flatten(F.collect_list("leaders")).alias("leaders"))
-    joined = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("data")).join(lists, "doc_id")
+    """The fragments of leaders (doc_id, h, at): h, doc_id, at, fragment."""
+    lists = leaders.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at")).alias("leaders"))
+    joined = squeezed(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")).join(lists, "doc_id")
 
     def run(batches):
-        for batch in text_chunks(batches, "data"):
+        for batch in text_chunks(batches, "__squeezed"):
             out = ([], [], [], [])
-            for doc, data, own in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), batch.column("leaders"), strict=True):
+            for doc, data, own in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("leaders"), strict=True):
                 at = np.asarray(own.values.field("at"))
                 variant, start, count = unpack(at)
-                mine = variant == variant_of(data or b"")
+                mine = variant == variant_of(data)
                 for name, place, s, c in zip(np.asarray(own.values.field("h"))[mine].tolist(), at[mine].tolist(), start[mine].tolist(), count[mine].tolist(), strict=True):
                     for column, value in zip(out, (name, doc, place, data[s : s + c - 1 + least]), strict=True):
                         column.append(value)
@@ -349,14 +393,18 @@ def removals(docs: DataFrame, least: int = 50) -> DataFrame:
     buckets = 1 << max(0, (int(size) // BUCKET_BYTES).bit_length())
     schema = "doc_id bigint, gone array<bigint>, leaders array<struct<h:bigint,at:bigint>>"
     found = cut_lineage(_deal(docs, least, buckets).groupBy("bucket").applyInArrow(_compare(buckets), schema))
-    leaders = found.filter("size(leaders) > 0").select("doc_id", "leaders")
-    names = leaders.select(F.explode("leaders.h").alias("h"))
-    many = names.groupBy("h").count().filter(F.col("count") > MOST_LEADERS).select("h")
-    blocks = max(1, names.count() * 2 * least // BLOCK_BYTES)
-    fragments = cut_lineage(_fragments(docs, leaders, least).join(many.withColumn("many", F.lit(True)), "h", "left"))
-    blocked = fragments.filter("many is null").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).groupBy("block").applyInArrow(_block(least), "doc_id bigint, at bigint")
-    single = _one_by_one(fragments.filter("many"), least)
-    spans = found.filter("size(gone) > 0").select("doc_id", "gone").union(blocked.union(single).groupBy("doc_id").agg(F.collect_list("at").alias("gone")))
+    leaders = found.select("doc_id", F.inline("leaders"))
+    counts = leaders.groupBy("h").count()
+    total = counts.agg(F.sum("count"), F.max("count")).first()
+    blocks = max(1, (total[0] or 0) * 2 * least // BLOCK_BYTES)
+    many, single = counts.filter(F.col("count") > MOST_LEADERS).select("h"), None
+    if (total[1] or 0) > MOST_LEADERS:
+        single = _one_by_one(_fragments(docs, leaders.join(many, "h"), least), least)
+        leaders = leaders.join(many, "h", "left_anti")
+    fragments = _fragments(docs, leaders, least).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
+    blocked = fragments.groupBy("block").applyInArrow(_block(least), "doc_id bigint, at bigint")
+    blocked = blocked if single is None else blocked.union(single)
+    spans = found.filter("size(gone) > 0").select("doc_id", "gone").union(blocked.groupBy("doc_id").agg(F.collect_list("at").alias("gone")))
     return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
@@ -376,38 +424,38 @@ def _kept(data: bytes, gone: np.ndarray, least: int) -> tuple[bytes, int]:
 
 
 def _with_removals(docs: DataFrame, least: int) -> DataFrame:
-    gone = removals(doc_text(docs), least).withColumnRenamed("doc_id", "gone_id")
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(LAST)) == gone["gone_id"], "left").drop("gone_id")
+    """docs with `__squeezed` for `text` and the packed removals in `__gone`."""
+    gone = removals(doc_text(docs), least).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
+    rows = squeezed(docs)
+    return rows.join(gone, F.coalesce(rows["doc_id"].cast("bigint"), F.lit(LAST)) == gone["__gone_id"], "left").drop("__gone_id")
 
 
 def passage_digests(docs: DataFrame, least: int = 50) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_removals(doc_text(docs), least).select("doc_id", F.col("text").cast("binary").alias("data"), "gone")
 
     def run(batches):
-        for batch in text_chunks(batches, "data"):
+        for batch in text_chunks(batches, "__squeezed"):
             out = ([], [], [], [])
-            for data, gone in zip(batch.column("data").to_pylist(), batch.column("gone"), strict=True):
-                data = data or b""
+            for data, gone in zip(_texts(batch), batch.column("__gone"), strict=True):
                 left, runs = _kept(data, np.asarray(gone.values), least) if gone.is_valid else (data, 0)
                 for column, value in zip(out, (len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _with_removals(doc_text(docs), least).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, least: int = 50) -> DataFrame:
     """docs, all columns, with repeated passages cut from text; incomplete UTF-8 characters left at a cut go too."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     names = docs.columns
-    rows = _with_removals(docs, least).withColumnRenamed("gone", "gone_from_text")
 
     def run(batches):
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, "__squeezed"):
             text = []
-            for data, gone in zip(batch.column("text").to_pylist(), batch.column("gone_from_text"), strict=True):
-                text.append(_kept(data.encode(), np.asarray(gone.values), least)[0].decode(errors="ignore") if data and gone.is_valid else data)
-            yield batch.select(names).set_column(names.index("text"), "text", pa.array(text, pa.string()))
+            for data, there, gone in zip(_texts(batch), batch.column("__squeezed").is_valid().to_pylist(), batch.column("__gone"), strict=True):
+                text.append((_kept(data, np.asarray(gone.values), least)[0] if gone.is_valid else data).decode(errors="ignore") if there else None)
+            columns = {"text": pa.array(text, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] if c == "text" else batch.column(c) for c in names], names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return _with_removals(docs, least).mapInArrow(run, docs.schema)

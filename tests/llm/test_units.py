@@ -70,7 +70,7 @@ def test_anchors_cover_every_string_and_agree():
     texts = [bytes(random.choices(b"abc", k=n)) for n in (0, 49, 50, 51, 300, 700)]
     texts[4] = texts[5][100:400]
     chosen, starts = {}, {i: set() for i in range(len(texts))}
-    for who, h, f, first, count in passages.batch_anchors(texts, 50):
+    for who, h, f, first, count, _, _ in passages.batch_anchors(texts, 50):
         for i, a, b, s, c in zip(who.tolist(), h.tolist(), f.tolist(), first.tolist(), count.tolist(), strict=True):
             assert not starts[i] & set(range(s, s + c))
             starts[i] |= set(range(s, s + c))
