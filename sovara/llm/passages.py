@@ -39,7 +39,7 @@ from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks
 
 ANCHOR = 16
 #: Entries that a Python worker compares at once, text bytes a bucket, fragment bytes a block, leaders of an anchor in a block.
-FLUSH, BUCKET_BYTES, BLOCK_BYTES, MOST_LEADERS = 700_000, 16 << 20, 1 << 20, 12_000
+FLUSH, BUCKET_BYTES, BLOCK_BYTES, MOST_LEADERS = 300_000, 6 << 20, 1 << 20, 12_000
 #: Occurrences of one anchor in a batch that go to its bucket; the rest are leaders without further comparison.
 SENT = 16
 #: Starts hashed at once.
