@@ -2,7 +2,7 @@
 
 A host is turned round label by label (`www.example.net` -> `net.example.www.`), so a rule for a host covers one interval
 of keys: its own key and everything that begins with it. The distinct hosts of the pages and the rules are dealt by range
-of that key and swept in key order. Because intervals of prefixes nest, the rules that are open at a key form a stack with
+of that key, written once with their range (a checkpoint) and swept in key order. Because intervals of prefixes nest, the rules that are open at a key form a stack with
 one place for each number of labels; a place holds the last rule of that depth and is open while the key still begins with
 its key. What is open at the end of a range is carried into the next ranges. The hosts, with their few open rules, are then
 joined back to the pages, and the longest open rule whose path begins the page's path decides.
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sovara.llm.common import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
@@ -44,14 +46,15 @@ def open_rules(hosts: DataFrame, rules: DataFrame, depths: list[int]) -> DataFra
     events = hosts.select("key", F.lit(1).alias("kind"), F.lit(None).cast(rules.schema["rules"].dataType).alias("rules")).unionByName(
         rules.select("key", F.lit(0).alias("kind"), "rules")
     )
-    swept = events.repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id())
+    # written once: the ranges swept, what they leave open and their list must be of one exchange
+    dealt = cut_lineage(events.repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()))
     so_far = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     place = lambda d: F.when((F.col("kind") == 0) & (F.size(F.split("key", r"\.")) - 1 == d), F.struct("key", "rules"))
-    swept = swept.withColumns({f"open{d}": F.last(place(d), ignorenulls=True).over(so_far) for d in depths})
+    swept = dealt.withColumns({f"open{d}": F.last(place(d), ignorenulls=True).over(so_far) for d in depths})
     # what each range leaves open; a row for each range, so its size follows the number of partitions
     left = swept.filter("kind = 0").groupBy("part").agg(*[F.max_by(f"open{d}", "key").alias(f"open{d}") for d in depths])
     later = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = swept.select("part").distinct().join(left, "part", "left")
+    parts = dealt.select("part").distinct().join(left, "part", "left")
     carried = parts.select("part", *[F.last(f"open{d}", ignorenulls=True).over(later).alias(f"carried{d}") for d in depths])
     swept = swept.filter("kind = 1").join(F.broadcast(carried), "part", "left")
     still = [F.coalesce(f"open{d}", f"carried{d}") for d in depths]

@@ -1,0 +1,31 @@
+"""Jobs that once did less than the whole: several ranges, many texts of one id, repeated rows, sparse labels."""
+
+import pytest
+
+from sovara.llm import urls
+
+
+@pytest.fixture
+def conf(spark):
+    """Sets configuration for one test."""
+    before = {}
+
+    def put(**values):
+        for name, value in values.items():
+            key = "spark.sql." + name.replace("__", ".")
+            before.setdefault(key, spark.conf.get(key))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("coalesce", [False, True])
+def test_url_rules_stay_open_over_several_ranges(spark, conf, coalesce):
+    """A rule for `com` is open over all ranges; the large rule rows in the first ones must not shift the others' bounds."""
+    conf(shuffle__partitions="4", adaptive__coalescePartitions__enabled=str(coalesce).lower(), adaptive__coalescePartitions__parallelismFirst="false", adaptive__advisoryPartitionSizeInBytes="30kb", adaptive__coalescePartitions__minPartitionSize="1kb")
+    table = [("com", "/", "block")] + [(f"h{i:04d}.a.com", f"/{'p' * 60}{j}", "allow") for i in range(300) for j in range(6)]
+    pages = spark.createDataFrame([(i, f"http://{x}{i:04d}.com/x") for x in "hz" for i in range(2000)], "page_id bigint, url string")
+    got = urls.judge_urls(pages, spark.createDataFrame(table, "host string, path string, verdict string"))
+    assert [(r["rule"], r["verdict"], r["count"]) for r in got.groupBy("rule", "verdict").count().collect()] == [("com/", "block", 4000)]
