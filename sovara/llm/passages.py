@@ -20,6 +20,10 @@ in a Spark aggregation and join instead, which no key overloads.
 
 Null text counts as empty. Null doc_ids come after all others and are not earlier than each other; rows with the same doc_id
 are not earlier than each other either. Repeated rows give equal rows. Extra columns are ignored or, in `remove`, kept.
+
+A text is named by doc_id and row: row is 0 where doc_id has one row, else a 64-bit hash of the text, to which the packed places
+add 18 bits of another. Texts are grouped and joined by both; doc_id alone only decides which one is earlier. Repeated rows are
+one text here, so no list is longer than a text's own.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ ANCHOR = 16
 FLUSH, BUCKET_BYTES, BLOCK_BYTES, MOST_LEADERS = 300_000, 6 << 20, 1 << 20, 12_000
 #: Occurrences of one anchor in a batch that go to its bucket; the rest are leaders without further comparison.
 SENT = 16
+#: Most repeated doc_ids that are broadcast; beyond that every row is named by a hash of its text.
+REPEATED_IDS = 100_000
 #: Starts hashed at once.
 SEGMENT = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -49,7 +55,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(variant: int | np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """18 bits that tell texts of one doc_id apart, 38 bits for the first start, 7 bits for the number of starts."""
+    """18 bits that tell texts of a repeated doc_id apart besides row, 38 bits for the first start, 7 bits for the number of starts."""
     return (np.int64(variant) << 45) | (start.astype(np.int64) << 7) | count.astype(np.int64)
 
 
@@ -57,8 +63,30 @@ def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 45, (packed >> 7) & ((1 << 38) - 1), packed & 127
 
 
-def variant_of(data: bytes) -> int:
-    return zlib.crc32(data) & ((1 << 18) - 1)
+def variant_of(row: int, data: bytes) -> int:
+    return zlib.crc32(data) & ((1 << 18) - 1) if row else 0
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """docs with `__id` (LAST for a null doc_id) and `__row`; the distinct texts (doc_id, row, text); the bytes of all texts.
+
+    An id that has one row needs no more to name it, which keeps the entries small.
+    """
+    docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
+    ids = cut_lineage(docs.groupBy("__id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")))
+    again = ids.filter("rows > 1").select("__id", F.lit(True).alias("__again"))
+    size, repeated = ids.agg(F.sum("bytes"), F.count_if(F.col("rows") > 1)).first()
+    by_text = F.xxhash64(F.col("text").cast("binary"))
+    if not repeated:
+        docs = docs.withColumn("__row", F.lit(0).cast("bigint"))
+    elif repeated > REPEATED_IDS:
+        docs = docs.withColumn("__row", by_text)
+    else:
+        docs = docs.join(F.broadcast(again), "__id", "left").withColumn("__row", F.when(F.col("__again"), by_text).otherwise(F.lit(0))).drop("__again")
+    texts = docs.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), "text")
+    if repeated:
+        texts = texts.filter("row = 0").union(texts.filter("row <> 0").distinct())
+    return docs, texts, int(size or 0)
 
 
 @lru_cache(2)
@@ -169,33 +197,34 @@ def _name(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h // np.uint64(buckets)) & np.uint64((1 << 40) - 1)) * np.uint64(buckets) + h % np.uint64(buckets)).astype(np.int64)
 
 
-def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
+def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
     """Rows of (bucket, kind, data): kind 0 entries to compare, 1 settled removals, 2 leaders."""
 
     def flush(held):
-        h, f, doc, at, sides = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, f, doc, row, at, sides = (np.concatenate(x) for x in zip(*held, strict=True))
         order, repeats, several = settle(h, f, doc, at)
-        h, f, doc, at, sides = h[order], f[order], doc[order], at[order], sides[order]
-        salt = -1 - int(doc[0] % buckets)
+        h, f, doc, row, at, sides = (x[order] for x in (h, f, doc, row, at, sides))
+        # differs between batches also where all rows have one id
+        salt = -1 - int(np.bitwise_xor.reduce(mix((doc ^ row ^ at).view(np.uint64)) ^ f, initial=np.uint64(0)) % np.uint64(buckets))
         if repeats.any():
-            yield salt, 1, planes(doc[repeats], at[repeats])
-        h, f, doc, at, sides, several = (x[~repeats] for x in (h, f, doc, at, sides, several))
+            yield salt, 1, planes(doc[repeats], row[repeats], at[repeats])
+        h, f, doc, row, at, sides, several = (x[~repeats] for x in (h, f, doc, row, at, sides, several))
         # of an anchor with many entries the first ones are compared; the others are leaders whatever comes of those
         new = np.concatenate([[True], h[1:] != h[:-1]])
         which = np.cumsum(new) - 1
         beyond = (np.arange(len(h)) - np.flatnonzero(new)[which] >= SENT) & several
         crowded = (np.bincount(which, beyond) > 0)[which]
         if beyond.any():
-            yield salt, 2, planes(_name(h[beyond], buckets), doc[beyond], at[beyond])
-        h, f, doc, at, sides, crowded = (x[~beyond] for x in (h, f, doc, at, sides, crowded))
+            yield salt, 2, planes(_name(h[beyond], buckets), doc[beyond], row[beyond], at[beyond])
+        h, f, doc, row, at, sides, crowded = (x[~beyond] for x in (h, f, doc, row, at, sides, crowded))
         name = _name(h, buckets)
         # document order, in which ids and places compress best
-        order = np.lexsort((at, doc, name % buckets))
-        name, f, doc, at, sides, crowded = (x[order] for x in (name, f, doc, at, sides, crowded))
+        order = np.lexsort((at, row, doc, name % buckets))
+        name, f, doc, row, at, sides, crowded = (x[order] for x in (name, f, doc, row, at, sides, crowded))
         mark = (sides << 40) | ((f >> np.uint64(25)).astype(np.int64) << 1) | crowded
         found, edge = np.unique(name % buckets, return_index=True)
         for b, s, e in zip(found.tolist(), edge.tolist(), [*edge[1:].tolist(), len(name)], strict=True):
-            yield b, 0, planes(name[s:e] // buckets, mark[s:e], doc[s:e], at[s:e])
+            yield b, 0, planes(name[s:e] // buckets, mark[s:e], doc[s:e], row[s:e], at[s:e])
 
     def rows(held):
         out = list(flush(held))
@@ -204,11 +233,11 @@ def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in text_chunks(batches, "data"):
-            ids = np.asarray(batch.column("doc_id").fill_null(LAST))
-            texts = [t or b"" for t in batch.column("data").to_pylist()]
-            names = np.array([variant_of(t) for t in texts], np.int64)
-            for who, h, f, start, count, before, after in batch_anchors(texts, least):
-                held.append((h, f, ids[who], pack(names[who], start, count), before << 12 | after))
+            ids, row = np.asarray(batch.column("doc_id")), np.asarray(batch.column("row"))
+            data = [t or b"" for t in batch.column("data").to_pylist()]
+            names = np.array([variant_of(r, t) for r, t in zip(row.tolist(), data, strict=True)], np.int64)
+            for who, h, f, start, count, before, after in batch_anchors(data, least):
+                held.append((h, f, ids[who], row[who], pack(names[who], start, count), before << 12 | after))
                 n += len(h)
             if n >= FLUSH:
                 yield rows(held)
@@ -216,31 +245,37 @@ def _deal(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         if n:
             yield rows(held)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(run, "bucket int, kind int, data binary")
+    return texts.select("doc_id", "row", F.col("text").cast("binary").alias("data")).mapInArrow(run, "bucket int, kind int, data binary")
 
 
-def _by_document(gone: tuple[np.ndarray, np.ndarray], lead: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
-    """A row per document: its removals and its leaders."""
-    docs = np.unique(np.concatenate([gone[0], lead[1]]))
+def _by_document(gone: tuple[np.ndarray, ...], lead: tuple[np.ndarray, ...]) -> pa.Table:
+    """A row per text: its removals (of gone: doc, row, at) and its leaders (of lead: anchor, doc, row, at)."""
+    doc, row = np.concatenate([gone[0], lead[1]]), np.concatenate([gone[1], lead[2]])
+    order = np.lexsort((row, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    doc, row = doc[order[new]], row[order[new]]
     lists = []
-    for doc, *columns in ((gone[0], gone[1]), (lead[1], lead[0], lead[2])):
-        order = np.argsort(doc, kind="stable")
-        offset = pa.array(np.append(np.searchsorted(doc[order], docs, "left"), len(doc)).astype(np.int32))
+    for own, *columns in ((number[: len(gone[0])], gone[2]), (number[len(gone[0]) :], lead[0], lead[3])):
+        order = np.argsort(own, kind="stable")
+        offset = pa.array(np.searchsorted(own[order], np.arange(len(doc) + 1)).astype(np.int32))
         lists.append((offset, [pa.array(c[order], pa.int64()) for c in columns]))
     leaders = pa.StructArray.from_arrays(lists[1][1], ["h", "at"])
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "gone": pa.ListArray.from_arrays(lists[0][0], lists[0][1][0]), "leaders": pa.ListArray.from_arrays(lists[1][0], leaders)})
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "row": pa.array(row, pa.int64()), "gone": pa.ListArray.from_arrays(lists[0][0], lists[0][1][0]), "leaders": pa.ListArray.from_arrays(lists[1][0], leaders)})
 
 
 def _compare(buckets: int):
-    """Of a bucket: per document, settled removals and leaders (anchor, place)."""
+    """Of a bucket: per text, settled removals and leaders (anchor, place)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True))
-        h, f, doc, at = unplanes([d for k, d in rows if k == 0], 4)
-        gone, lead = unplanes([d for k, d in rows if k == 1], 2), unplanes([d for k, d in rows if k == 2], 3)
+        h, f, doc, row, at = unplanes([d for k, d in rows if k == 0], 5)
+        gone, lead = unplanes([d for k, d in rows if k == 1], 3), unplanes([d for k, d in rows if k == 2], 4)
         crowded, sides, f = f & 1, (f >> 40) & ((1 << 24) - 1), (f >> 1) & ((1 << 39) - 1)
         order, repeats, _ = settle(h, f, doc, at)
-        h, doc, at, sides, crowded = h[order], doc[order], at[order], sides[order], crowded[order]
+        h, doc, row, at, sides, crowded = (x[order] for x in (h, doc, row, at, sides, crowded))
         if len(h):
             new = np.concatenate([[True], h[1:] != h[:-1]])
             start = np.flatnonzero(new)
@@ -250,8 +285,8 @@ def _compare(buckets: int):
             for side in (sides >> 12, sides & 4095):
                 own = left[side[left] > 0]
                 on[own[_shared(h[own] << 12 | side[own], doc[own])]] = True
-            gone = [np.concatenate(x) for x in zip(gone, (doc[repeats], at[repeats]), strict=True)]
-            lead = [np.concatenate(x) for x in zip(lead, (h[on] * buckets + table["bucket"][0].as_py(), doc[on], at[on]), strict=True)]
+            gone = [np.concatenate(x) for x in zip(gone, (doc[repeats], row[repeats], at[repeats]), strict=True)]
+            lead = [np.concatenate(x) for x in zip(lead, (h[on] * buckets + table["bucket"][0].as_py(), doc[on], row[on], at[on]), strict=True)]
         return _by_document(gone, lead)
 
     return run
@@ -321,10 +356,10 @@ def suffix_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _block(least: int):
-    """Of a block of leaders (doc_id, at, fragment): per document, the strings that an earlier document has, packed."""
+    """Of a block of leaders (doc_id, row, at, fragment): per text, the strings that an earlier document has, packed."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, at = np.asarray(table["doc_id"].combine_chunks()), np.asarray(table["at"].combine_chunks())
+        doc, row, at = (np.asarray(table[c].combine_chunks()) for c in ("doc_id", "row", "at"))
         text, offset, group = suffix_runs(table["fragment"].to_pylist(), least)
         earliest = np.full(int(group.max(initial=-1)) + 1, LAST)
         np.minimum.at(earliest, group, doc[text])
@@ -335,7 +370,7 @@ def _block(least: int):
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
         count = np.diff(np.append(new, len(text)))
         variant, start, _ = unpack(at[text[new]])
-        return pa.table({"doc_id": doc[text[new]], "at": pack(variant, start + offset[new], count)})
+        return pa.table({"doc_id": doc[text[new]], "row": row[text[new]], "at": pack(variant, start + offset[new], count)})
 
     return run
 
@@ -360,58 +395,57 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else stretch(t) for t in batch.column("__squeezed").to_pylist()]
 
 
-def _fragments(docs: DataFrame, leaders: DataFrame, least: int) -> DataFrame:
-    """The fragments of leaders (doc_id, h, at): h, doc_id, at, fragment."""
-    lists = leaders.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at")).alias("leaders"))
-    joined = squeezed(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")).join(lists, "doc_id")
+def _fragments(texts: DataFrame, leaders: DataFrame, least: int) -> DataFrame:
+    """The fragments of leaders (doc_id, row, h, at): h, doc_id, row, at, fragment."""
+    lists = leaders.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "at")).alias("leaders"))
+    joined = squeezed(texts).join(lists, ["doc_id", "row"])
 
     def run(batches):
         for batch in text_chunks(batches, "__squeezed"):
-            out = ([], [], [], [])
-            for doc, data, own in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("leaders"), strict=True):
+            out = ([], [], [], [], [])
+            for doc, row, data, own in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _texts(batch), batch.column("leaders"), strict=True):
                 at = np.asarray(own.values.field("at"))
                 variant, start, count = unpack(at)
-                mine = variant == variant_of(data)
+                mine = variant == variant_of(row, data)
                 for name, place, s, c in zip(np.asarray(own.values.field("h"))[mine].tolist(), at[mine].tolist(), start[mine].tolist(), count[mine].tolist(), strict=True):
-                    for column, value in zip(out, (name, doc, place, data[s : s + c - 1 + least]), strict=True):
+                    for column, value in zip(out, (name, doc, row, place, data[s : s + c - 1 + least]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["h", "doc_id", "at", "fragment"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc_id", "row", "at", "fragment"])
 
-    return joined.mapInArrow(run, "h bigint, doc_id bigint, at bigint, fragment binary")
+    return joined.mapInArrow(run, "h bigint, doc_id bigint, row bigint, at bigint, fragment binary")
 
 
 def _one_by_one(fragments: DataFrame, least: int) -> DataFrame:
     """For anchors with too many leaders for a block: every string is a row, compared in an aggregation and a join."""
-    strings = fragments.select("doc_id", "at", F.posexplode(F.expr(f"transform(sequence(1, cast(at & 127 as int)), i -> substring(fragment, i, {least}))")).alias("i", "string"))
+    strings = fragments.select("doc_id", "row", "at", F.posexplode(F.expr(f"transform(sequence(1, cast(at & 127 as int)), i -> substring(fragment, i, {least}))")).alias("i", "string"))
     first = strings.groupBy("string").agg(F.min("doc_id").alias("earliest"))
-    return strings.join(first, "string").filter("doc_id > earliest").select("doc_id", (F.expr("shiftleft(shiftright(at, 7) + i, 7)") + 1).alias("at"))
+    return strings.join(first, "string").filter("doc_id > earliest").select("doc_id", "row", (F.expr("shiftleft(shiftright(at, 7) + i, 7)") + 1).alias("at"))
 
 
-def removals(docs: DataFrame, least: int = 50) -> DataFrame:
-    """doc_id (the largest bigint for null) and `gone`, packed starts of the strings to remove."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(0, (int(size) // BUCKET_BYTES).bit_length())
-    schema = "doc_id bigint, gone array<bigint>, leaders array<struct<h:bigint,at:bigint>>"
-    found = cut_lineage(_deal(docs, least, buckets).groupBy("bucket").applyInArrow(_compare(buckets), schema))
-    leaders = found.select("doc_id", F.inline("leaders"))
+def removals(texts: DataFrame, size: int, least: int = 50) -> DataFrame:
+    """doc_id, row and `gone`, packed starts of the strings to remove, of the texts that `named` gives with their size."""
+    buckets = 1 << max(0, (size // BUCKET_BYTES).bit_length())
+    schema = "doc_id bigint, row bigint, gone array<bigint>, leaders array<struct<h:bigint,at:bigint>>"
+    found = cut_lineage(_deal(texts, least, buckets).groupBy("bucket").applyInArrow(_compare(buckets), schema))
+    leaders = found.select("doc_id", "row", F.inline("leaders"))
     counts = leaders.groupBy("h").count()
     total = counts.agg(F.sum("count"), F.max("count")).first()
     blocks = max(1, (total[0] or 0) * 2 * least // BLOCK_BYTES)
     many, single = counts.filter(F.col("count") > MOST_LEADERS).select("h"), None
     if (total[1] or 0) > MOST_LEADERS:
-        single = _one_by_one(_fragments(docs, leaders.join(many, "h"), least), least)
+        single = _one_by_one(_fragments(texts, leaders.join(many, "h"), least), least)
         leaders = leaders.join(many, "h", "left_anti")
-    fragments = _fragments(docs, leaders, least).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    blocked = fragments.groupBy("block").applyInArrow(_block(least), "doc_id bigint, at bigint")
+    fragments = _fragments(texts, leaders, least).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
+    blocked = fragments.groupBy("block").applyInArrow(_block(least), "doc_id bigint, row bigint, at bigint")
     blocked = blocked if single is None else blocked.union(single)
-    spans = found.filter("size(gone) > 0").select("doc_id", "gone").union(blocked.groupBy("doc_id").agg(F.collect_list("at").alias("gone")))
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    spans = found.filter("size(gone) > 0").select("doc_id", "row", "gone").union(blocked.groupBy("doc_id", "row").agg(F.collect_list("at").alias("gone")))
+    return spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
-def _kept(data: bytes, gone: np.ndarray, least: int) -> tuple[bytes, int]:
+def _kept(row: int, data: bytes, gone: np.ndarray, least: int) -> tuple[bytes, int]:
     """The bytes left and the number of removed runs."""
     variant, start, count = unpack(gone)
-    mine = variant == variant_of(data)
+    mine = variant == variant_of(row, data)
     start, count = start[mine], count[mine]
     if not len(start):
         return data, 0
@@ -425,9 +459,9 @@ def _kept(data: bytes, gone: np.ndarray, least: int) -> tuple[bytes, int]:
 
 def _with_removals(docs: DataFrame, least: int) -> DataFrame:
     """docs with `__squeezed` for `text` and the packed removals in `__gone`."""
-    gone = removals(doc_text(docs), least).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
-    rows = squeezed(docs)
-    return rows.join(gone, F.coalesce(rows["doc_id"].cast("bigint"), F.lit(LAST)) == gone["__gone_id"], "left").drop("__gone_id")
+    docs, texts, size = named(docs)
+    gone = removals(texts, size, least).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    return squeezed(docs).join(gone, ["__id", "__row"], "left")
 
 
 def passage_digests(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -436,8 +470,8 @@ def passage_digests(docs: DataFrame, least: int = 50) -> DataFrame:
     def run(batches):
         for batch in text_chunks(batches, "__squeezed"):
             out = ([], [], [], [])
-            for data, gone in zip(_texts(batch), batch.column("__gone"), strict=True):
-                left, runs = _kept(data, np.asarray(gone.values), least) if gone.is_valid else (data, 0)
+            for row, data, gone in zip(batch.column("__row").to_pylist(), _texts(batch), batch.column("__gone"), strict=True):
+                left, runs = _kept(row, data, np.asarray(gone.values), least) if gone.is_valid else (data, 0)
                 for column, value in zip(out, (len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -453,8 +487,8 @@ def remove(docs: DataFrame, least: int = 50) -> DataFrame:
     def run(batches):
         for batch in text_chunks(batches, "__squeezed"):
             text = []
-            for data, there, gone in zip(_texts(batch), batch.column("__squeezed").is_valid().to_pylist(), batch.column("__gone"), strict=True):
-                text.append((_kept(data, np.asarray(gone.values), least)[0] if gone.is_valid else data).decode(errors="ignore") if there else None)
+            for row, data, there, gone in zip(batch.column("__row").to_pylist(), _texts(batch), batch.column("__squeezed").is_valid().to_pylist(), batch.column("__gone"), strict=True):
+                text.append((_kept(row, data, np.asarray(gone.values), least)[0] if gone.is_valid else data).decode(errors="ignore") if there else None)
             columns = {"text": pa.array(text, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] if c == "text" else batch.column(c) for c in names], names)
 

@@ -1,8 +1,12 @@
 """Jobs that once did less than the whole: several ranges, many texts of one id, repeated rows, sparse labels."""
 
+import hashlib
+import random
+import zlib
+
 import pytest
 
-from sovara.llm import urls
+from sovara.llm import passages, urls
 
 
 @pytest.fixture
@@ -29,3 +33,43 @@ def test_url_rules_stay_open_over_several_ranges(spark, conf, coalesce):
     pages = spark.createDataFrame([(i, f"http://{x}{i:04d}.com/x") for x in "hz" for i in range(2000)], "page_id bigint, url string")
     got = urls.judge_urls(pages, spark.createDataFrame(table, "host string, path string, verdict string"))
     assert [(r["rule"], r["verdict"], r["count"]) for r in got.groupBy("rule", "verdict").count().collect()] == [("com/", "block", 4000)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"REPEATED_IDS": 0}, {"SENT": 1, "MOST_LEADERS": 1, "FLUSH": 50}])
+def test_passages_of_many_texts_of_one_id(spark, settings, monkeypatch):
+    """Texts of null or one repeated doc_id, some of which agree in 18 bits of crc32, and many copies."""
+    for name, value in settings.items():
+        monkeypatch.setattr(passages, name, value)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    bits = lambda t: zlib.crc32(t.encode()) % (1 << 18)
+    shared = noise(80)
+    tail, clean = noise(60), noise(150)
+    wanted = {bits(f"{i}{shared[:60]}{tail}"): i for i in range(3000)}
+    j = next(j for j in range(1_000_000) if bits(f"{j}{clean}") in wanted)
+    twins = [f"{wanted[bits(f'{j}{clean}')]}{shared[:60]}{tail}", f"{j}{clean}"]
+    assert bits(twins[0]) == bits(twins[1])
+    more = [noise(rng.randint(40, 90)) + rng.choice([shared, shared[5:70], ""]) + noise(20) for _ in range(60)]
+    rows = [(1, shared), (2, noise(90)), *((i, t) for i in (7, None) for t in [*twins, *more]), *[(None, more[3]), (7, twins[0])] * 20]
+    rows += [(50 + i, noise(30) + shared[rng.randint(0, 20) :] + noise(30)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    last = 1 << 62
+    order = [last if i is None else i for i, _ in rows]
+    first = {}
+    for i, (_, t) in zip(order, rows, strict=True):
+        for o in range(len(t) - 49):
+            first[t[o : o + 50]] = min(first.get(t[o : o + 50], last), i)
+    wanted = []
+    for i, (doc, t) in zip(order, rows, strict=True):
+        gone = bytearray(len(t))
+        for o in range(len(t) - 49):
+            if first[t[o : o + 50]] < i:
+                gone[o : o + 50] = b"\1" * 50
+        kept = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        wanted.append((doc or 0, len(t), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [(r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in passages.passage_digests(docs).collect()]
+    assert sorted(got) == sorted(wanted)
+    # a list holds what one text has, however many rows have its id
+    _, texts, size = passages.named(docs)
+    longest = max(len(t) for _, t in rows)
+    assert all(len(r["gone"]) == len(set(r["gone"])) <= longest for r in passages.removals(texts, size).collect())
