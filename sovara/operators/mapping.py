@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sovara.functions.text import blank_to_null, header_key, token_sort, token_sort_ratio
 
+#: Aliases in a list that travels as one row, and aliases that are broadcast.
+ALIAS_LIST, BROADCAST_ALIASES = 1_000, 20_000
+
 
 def apply_column_map(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
     """Renames by the map: the first source of a canonical name wins and fills it where it is null; other columns stay."""
@@ -40,15 +43,21 @@ def remembered(headers: DataFrame, memory: DataFrame, target: str) -> DataFrame:
 def fuzzy_matches(headers: DataFrame, aliases: DataFrame, cutoff: float = 60.0, best: int = 5, keep: int = 3) -> DataFrame:
     """Per distinct header: its `keep` likest canonical names among its `best` likest aliases. aliases: alias, canonical.
 
-    The score is computed for each distinct (header, alias) whose lengths and letter counts can still reach the cutoff:
-    common letters, counted with repetition, bound the common subsequence.
+    The score is computed for each distinct (header, alias) whose lengths and characters can still reach the cutoff: the
+    characters of one that occur in the other, counted with repetition, bound the common subsequence. The aliases travel in
+    lists of ALIAS_LIST; they are broadcast only if there are at most BROADCAST_ALIASES of them.
     """
     left = headers.select("source_col").distinct().withColumn("x", token_sort(F.col("source_col")))
     right = aliases.select("alias", "canonical").distinct().withColumn("y", token_sort(F.col("alias")))
-    listed = right.agg(F.collect_list(F.struct("alias", "canonical", "y")).alias("list"))  # the alias dictionary, one row
-    pairs = left.repartition("source_col").crossJoin(F.broadcast(listed)).select("source_col", "x", F.inline("list"))
+    n = right.count()
+    lists = F.pmod(F.xxhash64("alias", "canonical"), F.lit(max(1, -(-n // ALIAS_LIST))))
+    listed = right.groupBy(lists.alias("of")).agg(F.collect_list(F.struct("alias", "canonical", "y")).alias("list")).select("list")
+    if n <= BROADCAST_ALIASES:
+        listed = F.broadcast(listed)
+    pairs = left.repartition("source_col").crossJoin(listed).select("source_col", "x", F.inline("list"))
     shortest, both = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
-    letters = lambda a, b: F.length(F.regexp_replace(a, F.concat(F.lit("[^"), F.regexp_replace(b, r"[^a-z0-9 ]", ""), F.lit(" ]")), F.lit("")))
+    escaped = lambda c: F.regexp_replace(c, r"([\\\[\]^&-])", r"\\$1")
+    letters = lambda a, b: F.length(F.regexp_replace(a, F.concat(F.lit("[^"), escaped(b), F.lit(" ]")), F.lit("")))
     pairs = pairs.filter(200 * F.least(shortest, letters(F.col("x"), F.col("y")), letters(F.col("y"), F.col("x"))) >= cutoff * both)
     scored = pairs.withColumn("score", F.bround(token_sort_ratio(F.col("source_col"), F.col("alias")), 4)).filter(F.col("score") >= cutoff)
     by_alias = Window.partitionBy("source_col").orderBy(F.desc("score"), "alias", "canonical")
