@@ -132,6 +132,7 @@ def keyword_scores(texts: DataFrame, codes: DataFrame, abbreviations: dict[str,
 
     Returns text, code, score, expanded. A keyword scores 1.0 as the whole text, 0.7 and 0.05 for each further word inside
     it, 0.5 if the text is inside the keyword, 0.2 for a common word of more than 3 letters; a description inside the text 0.3.
+    Containment is of characters, also within words: what has no three letters in a row meets on its first one or two characters.
     """
     lower = F.lower("text")
     expanded = expand_words(lower, {k.lower(): v.lower() for k, v in (abbreviations or {}).items()})
@@ -143,7 +144,17 @@ def keyword_scores(texts: DataFrame, codes: DataFrame, abbreviations: dict[str,
     grams = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))))))
     key = lambda c: F.explode(grams(shape(c)))
     phrase = F.concat_ws(" ", "keyword", "description")
-    pairs = rows.select("query", key(F.col("query")).alias("gram")).join(terms.select("code", "pos", key(phrase).alias("gram")), "gram").select("query", "code", "pos").distinct()
+    pairs = rows.select("query", key(F.col("query")).alias("gram")).join(terms.select("code", "pos", key(phrase).alias("gram")), "gram").select("query", "code", "pos")
+    # a phrase without a trigram: one of its pairs of characters (or its only character) stands in whatever contains it
+    short = lambda c: (F.length(c) > 0) & ~c.rlike(r"[\p{L}\p{N}]{3}")
+    head = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"[\p{L}\p{N}]{2}", 0), F.lit("")), F.left(c, F.lit(2)))
+    inside = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(F.substr(c, i, F.lit(1)), F.substr(c, i, F.lit(2)))))))
+    signs = F.coalesce(F.filter(F.split("keyword", r"\s+"), lambda w: (F.length(w) > 3) & ~w.rlike(r"[\p{L}\p{N}]")), F.array().cast("array<string>"))
+    needles = terms.select("code", "pos", F.explode(F.concat(F.array("keyword", "description"), signs)).alias("needle")).filter(short(F.col("needle")))
+    in_text = rows.filter(F.length("query") > 0).select("query", inside(F.col("query")).alias("gram")).join(needles.select("code", "pos", head(F.col("needle")).alias("gram")), "gram").select("query", "code", "pos")
+    asked = rows.filter(short(F.col("query"))).select("query", head(F.col("query")).alias("gram"))
+    in_keyword = asked.join(terms.filter(F.length("keyword") > 0).select("code", "pos", inside(F.col("keyword")).alias("gram")), "gram").select("query", "code", "pos")
+    pairs = pairs.union(in_text).union(in_keyword).distinct()
     scored = pairs.join(rows.select("query", "text", "expanded", words.alias("words")), "query").join(terms, ["code", "pos"])
     k, q = F.col("keyword"), F.col("query")
     long = F.filter(F.split(k, r"\s+"), lambda w: F.length(w) > 3)

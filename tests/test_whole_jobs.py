@@ -1,8 +1,11 @@
 """Operators that once lost matches: against brute force."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from sovara.operators import mapping
+from sovara.operators import codes, mapping
 
 
 @pytest.mark.parametrize("settings", [{}, {"ALIAS_LIST": 3, "BROADCAST_ALIASES": 0}])
@@ -24,3 +27,31 @@ def test_fuzzy_matches_of_all_characters(spark, monkeypatch, settings):
     wanted = {(h, n.upper(), ratio(h, n)) for h in headers if h is not None for n in names if ratio(h, n) >= 60}
     got = mapping.fuzzy_matches(spark.createDataFrame([(h,) for h in headers], "source_col string"), spark.createDataFrame([(n, n.upper()) for n in names], "alias string, canonical string"), best=50, keep=50)
     assert {(r["source_col"], r["canonical"], r["score"]) for r in got.collect()} == wanted and len(wanted) > len(names)
+
+
+def test_keyword_scores_of_short_phrases(spark):
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choices("abc1- /", k=n)).strip() or "a"
+    table = [("AC", "", ["ac"]), ("RC", "rc", ["src frame", "c-1"]), ("S", "#", ["---- x", "+"]), ("L", "", ["vacant lot"])]
+    table += [(f"R{i}", some(rng.randint(1, 4)), [some(rng.randint(1, 9)) for _ in range(3)]) for i in range(25)]
+    texts = ["vacant", "src", "abc-12", "ac", "r", "y ----", "a + b", "#1", *{some(rng.randint(1, 12)) for _ in range(40)}]
+
+    def score(q, keywords, description):
+        total = 0.3 if description and description in q else 0.0
+        for k in keywords:
+            words = k.split()
+            if k == q:
+                total += 1.0
+            elif k in q:
+                total += 0.7 + 0.05 * (len(words) - 1)
+            elif q in k:
+                total += 0.5
+            elif {w for w in words if len(w) > 3} & set(q.split()):
+                total += 0.2
+        return round(total, 4)
+
+    wanted = {(t, c): score(t, ks, d) for t in texts for c, d, ks in table if score(t, ks, d) > 0}
+    dictionary = spark.createDataFrame([(*r, i) for i, r in enumerate(table)], "code string, description string, keywords array<string>, ordinal int")
+    got = codes.keyword_scores(spark.createDataFrame([(t,) for t in set(texts)], "text string"), dictionary)
+    assert {(r["text"], r["code"]): pytest.approx(r["score"]) for r in got.collect()} == wanted
+    assert got.groupBy("text", "code").agg(F.count("*").alias("n")).filter("n > 1").count() == 0
