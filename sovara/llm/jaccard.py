@@ -1,25 +1,26 @@
 """N-gram Jaccard join by a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are the distinct shingle sets (copies of a set are one row), columns are shingles. Two rows x, y of sizes
-nx, ny reach the threshold only if their overlap o satisfies 9 o >= 4 (nx + ny) for 0.8, so
-* sizes differ by a factor of 0.8 at most;
-* if all sets are sorted in one common order, they share a column among the first n - ceil(0.8 n) + 1 of each;
-* if i and j are the places of the first shared column, at most min(nx - i, ny - j) columns are shared;
-* the overlap is at most that of the leading columns and what follows the lead that ends first.
-Only those leading columns are multiplied. The common order puts columns that are frequent within single input batches last
-(a bounded, broadcast list; it affects speed only), so passages that many documents share are rarely among them.
-
-The product is done column block by column block: Spark deals the columns by hash, and in each column the smallest row (the
-hub) meets the others. Entries that pass the bounds are completed: whole rows are fetched, and their overlaps are counted in
-blocks of pairs. Rows found similar get a common root, pairs with a common root are not multiplied again, the hubs leave
-their columns, and the next hubs follow. After a few rounds whatever is left in columns with several roots meets all
-remaining rows of the column. So no link between different sets that joins two components is lost, and groups of copies are
-never expanded into pairs.
-
-Sets are named by a 64-bit hash of their shingles' 64-bit hashes. Texts that are null, empty or blank have no shingles and
-link with nothing; texts with fewer words than a shingle are one shingle. Rows with null doc_id link with nothing and have no
-component. Repeated rows stay; rows with the same doc_id and different texts share a component if linked. Extra columns are
-ignored, an empty table gives an empty result.
+Rows of the matrix are the distinct shingle sets (copies of a set are one row), columns are shingles. Two rows of sizes nx, ny
+reach the threshold only if their sizes differ by a factor of 0.8 at most and their overlap o satisfies 9 o >= 4 (nx + ny),
+for 0.8. If all sets are sorted in one common order, such rows share a column among the first n - ceil(0.8 n) + 1 of each.
+The common order puts columns that are frequent within single input batches last (a bounded, broadcast list; it affects speed
+only), so passages that many documents share are rarely among these leading columns.
+
+Which rows meet. Leading columns that one row has alone are dropped. Columns with the same rows are one class of columns. A
+class whose rows are all in one larger class is dropped too: its pairs meet there. What is left is dealt to blocks with the
+whole rows, each row once for each of its classes.
+
+The product. A block is multiplied with itself in numpy: overlaps are accumulated over groups of columns, and pairs that can
+no longer reach their bound are discarded in between. A block returns a spanning forest of its links, never their pairs. A
+class that is too large for a block is cut into chunks; all of them also hold a few rows of the class in common, so copies
+with small edits are joined in time proportional to the class. Then only what is not yet connected is multiplied: of such a
+class, the rows outside its largest component meet all of its chunks, in pairs of chunks. So no link between different sets
+that joins two components is lost.
+
+Sets are named by 128 bits, and counted by 64-bit hashes of their shingles. Texts that are null, empty or blank have no
+shingles and link with nothing; texts with fewer words than a shingle are one shingle. Rows with null doc_id link with nothing
+and have no component. Repeated rows stay; of rows with the same doc_id and different texts each is linked by its own text.
+Extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks, word_hashes, words_of
+from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks, word_hashes, words_of, written
 from sovara.llm.components import connected
 
-#: Columns in the list of frequent ones, hub rounds, and classes whose ids may be broadcast to fetch their rows.
-FREQUENT, ROUNDS, BROADCAST_IDS = 1 << 17, 3, 1 << 20
+#: Columns in the list of frequent ones, and rows dealt to blocks that may be broadcast to the texts that make them.
+FREQUENT, BROADCAST_ROWS = 1 << 17, 1 << 19
+#: Rows and shingles of a chunk of a class, rows that all chunks of a class have, shingles of a task's blocks.
+ROWS, SHINGLES, HUBS, TASK = 1024, 1 << 20, 32, 1 << 20
+#: Columns with so few rows are counted pair by pair; the others as dense columns, so many entries at once.
+THIN, DENSE = 8, 1 << 22
 
 
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +51,11 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(size):
         if j < len(token):
             whole[: len(token) - j] = whole[: len(token) - j] * step + token[j:]
+    whole = mix(whole)
     values, sizes, at = [], np.zeros(len(counts), np.int64), 0
     for i, n in enumerate(counts.tolist()):
         if n >= size:
-            own = np.unique(mix(whole[at : at + n - size + 1]))
+            own = np.unique(whole[at : at + n - size + 1])
         elif n:
             one = np.array([n], np.uint64)
             for h in token[at : at + n]:
@@ -64,14 +70,24 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_names(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x1234567)))])
+    """Two 64-bit names of each set."""
     end = np.cumsum(sizes)
-    return mix(total[end] - total[end - sizes] + sizes.astype(np.uint64)).view(np.int64)
+    names = []
+    for seed in (0x1234567, 0x89ABCDEF01):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(seed)))])
+        names.append(mix(total[end] - total[end - sizes] + sizes.astype(np.uint64)))
+    return np.stack(names, 1)
+
+
+def _bytes(data: bytes, width: np.ndarray) -> pa.Array:
+    """A binary array of consecutive pieces of data."""
+    offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, name; `frequent` on one row of a batch: columns that several sets of the batch have."""
+    """Per row: doc_id, n_shingles, name, `row` (half of the name); `frequent` on one row of a batch: columns that several
+    sets of the batch have."""
 
     def run(batches):
         for batch in text_chunks(batches):
@@ -80,145 +96,193 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
             several = many > 1
             hot = [{"h": int(h), "n": int(n)} for h, n in zip(found[several].view(np.int64), many[several], strict=True)]
             frequent = pa.array([hot] + [None] * (batch.num_rows - 1), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(set_names(values, sizes)), frequent], ["doc_id", "n_shingles", "name", "frequent"])
+            names = set_names(values, sizes)
+            whole = _bytes(names.tobytes(), np.full(len(sizes), 16))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), whole, pa.array(names[:, 0].view(np.int64)), frequent], ["doc_id", "n_shingles", "name", "row", "frequent"])
 
-    return doc_text(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, name bigint, frequent array<struct<h:bigint,n:bigint>>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, name binary, row bigint, frequent array<struct<h:bigint,n:bigint>>")
 
 
 def leading_columns(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """The entries of the matrix that are multiplied: h (column), name (row), place in the row, n (size of the row)."""
+    """The entries (h, row) of the matrix by which rows meet."""
     last = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     def run(batches):
         late = last.value
         for batch in text_chunks(batches):
             values, sizes = shingle_sets(batch.column("text"), size)
-            names = set_names(values, sizes)
+            rows = set_names(values, sizes)[:, 0].view(np.int64)
             values = values.view(np.int64)
             at = np.minimum(np.searchsorted(late, values), max(0, len(late) - 1))
             is_late = late[at] == values if len(late) else np.zeros(len(values), bool)
-            h, name, place, n = [], [], [], []
             end = np.cumsum(sizes)
-            _, once = np.unique(names, return_index=True)
-            for i in once:
-                if count := int(sizes[i]):
-                    own, own_late = values[end[i] - count : end[i]], is_late[end[i] - count : end[i]]
-                    lead = count - -(-percent * count // 100) + 1
-                    own = np.concatenate([own[~own_late], own[own_late]])[:lead] if own_late.any() else own[:lead]
-                    h.append(own)
-                    name.append(np.full(lead, names[i]))
-                    place.append(np.arange(lead, dtype=np.int32))
-                    n.append(np.full(lead, count, np.int32))
+            _, once = np.unique(rows, return_index=True)
+            once = once[sizes[once] > 0]
+            lead = sizes[once] - -(-percent * sizes[once] // 100) + 1
+            h = []
+            for i, count in zip(once.tolist(), lead.tolist(), strict=True):
+                own, own_late = values[end[i] - sizes[i] : end[i]], is_late[end[i] - sizes[i] : end[i]]
+                h.append(np.concatenate([own[~own_late], own[own_late]])[:count] if own_late.any() else own[:count])
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, name, place, n)], ["h", "name", "place", "n"])
-
-    return docs.mapInArrow(run, "h bigint, name bigint, place int, n int")
-
-
-def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole rows reach the threshold; overlaps are counted for blocks of pairs."""
-    both = (
-        pairs.join(rows.select(F.col("name").alias("a"), F.col("shingles").alias("row_a")), "a")
-        .join(rows.select(F.col("name").alias("b"), F.col("shingles").alias("row_b")), "b")
-    )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(rows[once], lead))], ["h", "row"])
+
+    return docs.mapInArrow(run, "h bigint, row bigint")
+
+
+def column_classes(entries: DataFrame) -> DataFrame:
+    """(class, row): the rows of each class of columns with the same rows, but for classes within another class."""
+    shared = entries.groupBy("h").agg(F.min("row").alias("least"), F.max("row").alias("most")).filter("least < most").select("h")
+    live = cut_lineage(entries.join(shared, "h").distinct())
+    code = live.groupBy("h").agg(F.count("row").alias("k"), F.bit_xor(F.xxhash64("row")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("t"))
+    classes = code.groupBy("k", "s", "t").agg(F.min("h").alias("h")).select("h", "k")
+    members = cut_lineage(live.join(classes, "h").select(F.col("h").alias("class"), "row", "k"))
+    home = members.groupBy("row").agg(F.max(F.struct("k", "class")).alias("home"))
+    homes = members.join(home, "row").groupBy("class").agg(F.min("home").alias("low"), F.max("home").alias("high"))
+    within = homes.filter("low = high and low.class <> class").select("class")
+    return cut_lineage(members.join(within, "class", "left_anti").select("class", "row"))
+
+
+def _parts(rows, shingles):
+    return F.greatest(F.ceil(rows / ROWS), F.ceil(shingles / SHINGLES), F.lit(1)).cast("int")
+
+
+def _spread(column, parts):
+    return F.pmod(F.xxhash64(column), parts).cast("int")
+
+
+def _first_deal(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deals members (class, row, n) to chunks of their class; and the classes of more than one chunk."""
+    classes = members.groupBy("class").agg(F.count("row").alias("k"), F.sum("n").alias("all")).withColumn("parts", _parts(F.col("k"), F.col("all")))
+    large = cut_lineage(classes.filter("parts > 1").select("class", "k", "parts"))
+    common = F.pmod(F.xxhash64(F.lit(2), "row"), F.col("k")) < HUBS
+    chunks = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(common, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_spread("row", F.col("parts"))))
+    return members.join(large, "class", "left").select("class", "row", "n", F.explode(chunks).alias("p")).withColumn("q", F.lit(0)).withColumn("kind", F.lit(0)), large
+
+
+def _second_deal(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Deals members (class, row, name, n) of large classes to pairs of chunks, of which one holds no row of the largest component."""
+    rooted = cut_lineage(members.join(roots, members["name"] == roots["vertex"], "left").select("class", "row", "n", F.coalesce("component", "name").alias("root")))
+    counts = rooted.groupBy("class", "root").agg(F.count("row").alias("k"), F.sum("n").alias("n"))
+    largest = counts.groupBy("class").agg(F.max(F.struct("k", "n", "root")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > top.k")
+    largest = largest.select("class", F.col("top.root").alias("top"), _parts(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("mb"), _parts(F.col("top.k"), F.col("top.n")).alias("gb"))
+    guest = F.col("root") == F.col("top")
+    own = _spread("row", F.when(guest, F.col("gb")).otherwise(F.col("mb")))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
+    inner = F.transform(every("mb"), lambda o: pair(1, F.least(o, own), F.greatest(o, own)))
+    outer = F.transform(every("gb"), lambda g: pair(2, g, own))
+    return rooted.join(largest, "class").select("class", "row", "n", F.inline(F.when(guest, F.transform(every("mb"), lambda m: pair(2, own, m))).otherwise(F.concat(inner, outer))))
+
+
+def block_links(values: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest row that each row of a block (ascending sets, one after another) reaches through links.
+
+    Overlaps grow column group by column group. A pair is discarded once the columns that are left in either row, of those
+    that several rows have, cannot bring it to its bound; a row without pairs leaves the product.
+    """
+    r = len(sizes)
+    row = np.repeat(np.arange(r), sizes)
+    order = np.argsort(values, kind="stable")
+    value, row = values[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    width = np.diff(np.append(start, len(value)))
+    column = np.repeat(np.arange(len(start)), width)
+    low, high = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
+    need = -(-percent * (low + high) // (100 + percent))
+    alive = np.triu(100 * low >= percent * high, 1)
+    thin, count = width[column] <= THIN, np.zeros(r * r, np.int32)
+    for gap in range(1, min(THIN, r)):
+        same = np.flatnonzero((column[gap:] == column[:-gap]) & thin[gap:])
+        pair, n = np.unique(row[same] * r + row[same + gap], return_counts=True)
+        count[pair] += n.astype(np.int32)
+    count = count.reshape(r, r)
+    thick = np.flatnonzero(~thin)
+    row, column = row[thick], column[thick]
+    left = np.bincount(row, minlength=r)
+    while True:
+        alive &= count + np.minimum(left[:, None], left[None]) >= need
+        used = np.flatnonzero(alive.any(0) | alive.any(1))
+        if not len(row) or not len(used):
+            break
+        now = column - column[0] < max(1, DENSE // r)
+        place = np.full(r, -1)
+        place[used] = np.arange(len(used))
+        own = now & (place[row] >= 0)
+        names, at = np.unique(column[own], return_inverse=True)
+        block = np.zeros((len(used), len(names)), np.float32)
+        block[place[row[own]], at] = 1
+        count[np.ix_(used, used)] += (block @ block.T).astype(np.int32)
+        left -= np.bincount(row[now], minlength=r)
+        row, column = row[~now], column[~now]
+    a, b = np.nonzero(alive & (count >= need))
+    root = np.arange(r)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, b, root[a])
+        np.minimum.at(new, a, root[b])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _multiply(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.stack([np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("class", "kind", "p", "q")])
+        order = np.lexsort(keys)
+        edge = np.flatnonzero(np.concatenate([[True], (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(0), [True]])) if len(order) else [0]
+        names, sets = table["name"].combine_chunks(), table["shingles"].combine_chunks()
+        a, b = [], []
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            own = {names[i].as_py(): i for i in order[s:e].tolist()}  # repeated rows are one
+            if len(own) > 1:
+                mine = [np.frombuffer(sets[i].as_buffer(), np.uint64) for i in own.values()]
+                root = block_links(np.concatenate(mine), np.array([len(x) for x in mine]), percent)
+                name = list(own)
+                moved = np.flatnonzero(root != np.arange(len(root))).tolist()
+                a += [name[i] for i in moved]
+                b += [name[root[i]] for i in moved]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _product(docs: DataFrame, sets: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of blocks; dealt has class, kind, p, q, row, n, and sets finds a text for a row."""
+    number, weight = dealt.agg(F.count("row"), F.sum("n")).first()
+    tasks = max(1, (weight or 0) // TASK)
+    blocks = dealt.groupBy("row").agg(F.collect_list(F.struct("class", "kind", "p", "q")).alias("blocks"))  # of one row: its leading columns bound them
+    wanted = sets.join(blocks, "row").select("doc_id", "row", "blocks")
+    texts = docs.join(F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted, "doc_id").select("text", "row", "blocks")
 
     def run(batches):
-        for batch in batches:
-            size = np.asarray(pc.binary_length(batch.column("row_a"))).astype(np.int64) + np.asarray(pc.binary_length(batch.column("row_b")))
-            part = np.cumsum(size) // (4 << 20)
-            for p in np.unique(part):
-                own = np.flatnonzero(part == p)
-                piece = batch.slice(int(own[0]), len(own))
-                sets = [np.frombuffer(x, np.uint64) for c in ("row_a", "row_b") for x in piece.column(c).to_pylist()]
-                count = np.array([len(x) for x in sets])
-                entry = np.concatenate([np.arange(len(own)), np.arange(len(own))]).repeat(count)
-                value = np.concatenate(sets)
-                order = np.lexsort((value, entry))
-                value, entry = value[order], entry[order]
-                overlap = np.bincount(entry[1:][(value[1:] == value[:-1]) & (entry[1:] == entry[:-1])], minlength=len(own))
-                union = count[: len(own)] + count[len(own) :] - overlap
-                yield piece.select(["a", "b"]).filter(pa.array(100 * overlap >= percent * union))
-
-    return both.select("a", "b", "row_a", "row_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def _may_link(left: str, right: str, percent: int):
-    """The bounds on an entry of the product with place and n of both sides."""
-    nx, ny, i, j = (F.col(f"{s}.{c}").cast("bigint") for c in ("n", "place") for s in (left, right))
-    left_over = F.least(nx - i, ny - j)  # columns of both from here on; at the first common column they hold the whole overlap
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * left_over >= percent * (nx + ny))
-
-
-def _enough_in_lead(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, na, nb), those whose overlap within their leading columns can still grow to the threshold: of
-    the row whose lead ends first, only the columns after its lead are not counted yet."""
-    rest = lambda n: F.ceil(F.col(n) * percent / 100).cast("bigint") - 1
-    both = pairs.join(leads.select(F.col("name").alias("a"), F.col("lead").alias("lead_a")), "a").join(leads.select(F.col("name").alias("b"), F.col("lead").alias("lead_b")), "b")
-    counted = F.size(F.array_intersect("lead_a", "lead_b")) + F.greatest(rest("na"), rest("nb"))
-    return both.filter((100 + percent) * counted >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        for batch in text_chunks(batches):
+            values, sizes = shingle_sets(batch.column("text"), size)
+            end, names = np.cumsum(sizes), set_names(values, sizes)
+            right = np.flatnonzero(names[:, 0].view(np.int64) == np.asarray(batch.column("row")))
+            data = [values[end[i] - sizes[i] : end[i]].tobytes() for i in right]
+            yield pa.RecordBatch.from_arrays([_bytes(names[right].tobytes(), np.full(len(right), 16)), pa.array(data, pa.binary()), batch.column("blocks").take(pa.array(right))], ["name", "shingles", "blocks"])
+
+    rows = texts.mapInArrow(run, "name binary, shingles binary, blocks array<struct<class:bigint,kind:int,p:int,q:int>>")
+    rows = rows.select("name", "shingles", F.inline("blocks")).withColumn("task", F.pmod(F.xxhash64("class", "kind", "p", "q"), F.lit(tasks)))
+    return cut_lineage(rows.groupBy("task").applyInArrow(_multiply(percent), "a binary, b binary"))
 
 
 def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between names of different sets that reach the threshold, enough to connect all that are connected."""
-    spark = docs.sparkSession
     top = (
         table.select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.n").alias("n")).filter("n >= 8")
         .orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
     )
-    entries = leading_columns(docs, size, percent, np.asarray(top["h"].combine_chunks()).astype(np.int64))
-    shared = entries.groupBy("h").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most").select("h")
-    entries = cut_lineage(entries.join(shared, "h"))
-    leads = cut_lineage(entries.groupBy("name").agg(F.collect_set("h").alias("lead")))
-    first = table.filter("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    roots, links, tested = None, None, None
-    for round_ in range(ROUNDS + 1):
-        live = entries.withColumn("root", F.col("name")) if roots is None else entries.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-        columns = live.groupBy("h").agg(F.min(F.struct("name", "place", "n", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h", "hub")
-        live = live.join(columns, "h").withColumn("me", F.struct("name", "place", "n", "root")).select("h", "hub", "me")
-        if round_ < ROUNDS:
-            found = live
-        else:
-            found = live.select("h", F.col("me").alias("hub")).join(live.select("h", "me"), "h").filter("hub.name < me.name")
-        pairs = found.filter("hub.name <> me.name and hub.root <> me.root").filter(_may_link("hub", "me", percent)).select(F.col("hub.name").alias("a"), F.col("me.name").alias("b"), F.col("hub.root").alias("root"), F.col("hub.n").alias("na"), F.col("me.n").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.min("root").alias("root"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        likely = cut_lineage(_enough_in_lead(pairs, leads, percent))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        new = None
-        if not likely.isEmpty():
-            names = likely.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-            rows = cut_lineage(_rows(docs, cut_lineage(first.join(names, "name").select("doc_id", "name")), size))
-            new = cut_lineage(_overlaps(likely, rows, percent))
-            links = new if links is None else links.union(new)
-        if round_ == ROUNDS:
-            break
-        if new is not None:
-            moved = new.join(pairs, ["a", "b"]).groupBy(F.col("b").alias("name")).agg(F.min("root").alias("new"))
-            if roots is None:
-                roots = cut_lineage(moved.select("name", F.least("new", "name").alias("root")))
-            else:
-                roots = cut_lineage(roots.join(moved, "name", "full").select("name", F.least(F.coalesce("root", "name"), F.coalesce("new", "name")).alias("root")))
-        entries = cut_lineage(live.filter("hub.name <> me.name").select("h", "me.name", "me.place", "me.n"))
-        if entries.isEmpty():
-            break
-    return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
-
-
-def _rows(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """name and all shingles (bytes of ascending 64-bit hashes) of the sets in ids (doc_id, name); repeated rows repeat."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "name")
-
-    def run(batches):
-        for batch in text_chunks(batches):
-            values, sizes = shingle_sets(batch.column("text"), size)
-            end, mine = np.cumsum(sizes), set_names(values, sizes)
-            right = np.flatnonzero(mine == np.asarray(batch.column("name")))
-            data = [values[end[i] - sizes[i] : end[i]].tobytes() for i in right]
-            yield pa.RecordBatch.from_arrays([pa.array(mine[right]), pa.array(data, pa.binary())], ["name", "shingles"])
-
-    return texts.mapInArrow(run, "name bigint, shingles binary")
+    entries = written(leading_columns(docs, size, percent, np.asarray(top["h"].combine_chunks()).astype(np.int64)))
+    sets = table.filter("n_shingles > 0 and doc_id is not null").groupBy("name", "row", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"))
+    members = cut_lineage(column_classes(entries).join(sets, "row").select("class", "row", "name", "n"))
+    dealt, large = _first_deal(members)
+    links = _product(docs, sets, cut_lineage(dealt), size, percent)
+    if large.isEmpty():
+        return links
+    again = cut_lineage(_second_deal(members.join(large.select("class"), "class"), connected(links)))
+    return links if again.isEmpty() else links.union(_product(docs, sets, again, size, percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -226,8 +290,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = doc_text(docs)
     table = cut_lineage(set_table(docs, size))
     usable = table.filter("n_shingles > 0 and doc_id is not null")
-    links = set_links(docs.filter("doc_id is not null"), table, size, percent)
-    reach = connected(links)
+    reach = connected(set_links(docs.filter("doc_id is not null"), table, size, percent))
     sets = usable.groupBy("name").agg(F.min("doc_id").alias("least"))
     sets = sets.join(reach, sets["name"] == reach["vertex"], "left").select("name", "least", F.coalesce("component", "name").alias("group"))
     least = sets.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -176,11 +176,11 @@ def test_components(spark):
     assert [got.get(i, i) for i in range(120)] == plain_components(120, links)
 
 
-@pytest.mark.parametrize("frequent", [True, False])
-def test_jaccard_on_hard_groups(spark, frequent, monkeypatch):
+@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 1}, {"FREQUENT": 1, "ROWS": 16, "HUBS": 2, "BROADCAST_ROWS": 0}, {"SHINGLES": 400, "TASK": 1000}])
+def test_jaccard_on_hard_groups(spark, settings, monkeypatch):
     """Chains of near copies, a passage that most documents share, groups of copies and short texts."""
-    if not frequent:
-        monkeypatch.setattr(jaccard, "FREQUENT", 1)
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(5000)}"
     shared = [word() for _ in range(40)]

@@ -108,8 +108,30 @@ def test_shingles():
     values, sizes = jaccard.shingle_sets(text, 5)
     assert sizes.tolist() == [2, 2, 1, 0, 0, 5, 1]
     assert values[:2].tolist() == values[2:4].tolist()
-    names = jaccard.set_names(values, sizes)
-    assert names[0] == names[1] and len(set(names.tolist())) == 5
+    names = [n.tobytes() for n in jaccard.set_names(values, sizes)]
+    assert names[0] == names[1] and len(set(names)) == 5 and len(names[0]) == 16
+
+
+@pytest.mark.parametrize("dense", [8, 1 << 22])
+def test_block_links(dense, monkeypatch):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "THIN", 3)
+    rng = random.Random(5)
+    for _ in range(60):
+        base = rng.sample(range(400), rng.randint(5, 40))
+        sets = []
+        for _ in range(rng.randint(2, 30)):
+            own = set(rng.sample(base, rng.randint(max(1, len(base) * 3 // 4), len(base)))) | set(rng.sample(range(400), rng.randint(0, 5)))
+            sets.append(np.sort(np.array(list(own), np.uint64)))
+        got = jaccard.block_links(np.concatenate(sets), np.array([len(s) for s in sets]), 80)
+        want = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = want[i], want[j]
+                    want = [min(a, b) if w in (a, b) else w for w in want]
+        assert got.tolist() == want
 
 
 def test_words_are_ascii_separated():
