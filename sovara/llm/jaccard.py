@@ -6,16 +6,18 @@ for 0.8. If all sets are sorted in one common order, such rows share a column am
 The common order puts columns that are frequent within single input batches last (a bounded, broadcast list; it affects speed
 only), so passages that many documents share are rarely among these leading columns.
 
-Which rows meet. Leading columns that one row has alone are dropped. Columns with the same rows are one class of columns. A
-class whose rows are all in one larger class is dropped too: its pairs meet there. What is left is dealt to blocks with the
-whole rows, each row once for each of its classes.
-
-The product. A block is multiplied with itself in numpy: overlaps are accumulated over groups of columns, and pairs that can
-no longer reach their bound are discarded in between. A block returns a spanning forest of its links, never their pairs. A
-class that is too large for a block is cut into chunks; all of them also hold a few rows of the class in common, so copies
-with small edits are joined in time proportional to the class. Then only what is not yet connected is multiplied: of such a
-class, the rows outside its largest component meet all of its chunks, in pairs of chunks. So no link between different sets
-that joins two components is lost.
+Which rows meet. Leading columns that one row has alone are dropped, and columns with the same rows are one class. Within each
+class, pairs are discarded whose overlap cannot reach its bound: by sizes, by the columns left at the first shared one, and by
+the shared leading columns of the row whose lead ends first. What stays links rows to clusters, in spanning forests. A cluster
+is a cell; of clusters too large for that, and of classes too large to be bounded pair by pair, each class is a cell, but for
+classes within another one.
+
+The product. Whole rows are dealt to blocks by cell, and a block is multiplied with itself in numpy: overlaps are accumulated
+over groups of columns, and pairs that can no longer reach their bound are discarded in between. A block returns a spanning
+forest of its links, never their pairs. A cell that is too large for a block is cut into chunks; all of them also hold a few
+rows of the cell in common, so copies with small edits are joined in time proportional to the cell. Then only what is not yet
+connected is multiplied: of such a cell, the rows outside its largest component meet all of its chunks, in pairs of chunks. So
+no link between different sets that joins two components is lost.
 
 Sets are named by 128 bits, and counted by 64-bit hashes of their shingles. Texts that are null, empty or blank have no
 shingles and link with nothing; texts with fewer words than a shingle are one shingle. Rows with null doc_id link with nothing
@@ -36,8 +38,8 @@ from sovara.llm.components import connected
 
 #: Columns in the list of frequent ones, and rows dealt to blocks that may be broadcast to the texts that make them.
 FREQUENT, BROADCAST_ROWS = 1 << 17, 1 << 19
-#: Rows and shingles of a chunk of a class, rows that all chunks of a class have, shingles of a task's blocks.
-ROWS, SHINGLES, HUBS, TASK = 1024, 1 << 20, 32, 1 << 20
+#: Rows and shingles of a chunk of a cell, rows that all chunks of a cell have, shingles and class members of a task.
+ROWS, SHINGLES, HUBS, TASK, MEMBERS = 1024, 1 << 20, 32, 1 << 20, 100_000
 #: Columns with so few rows are counted pair by pair; the others as dense columns, so many entries at once.
 THIN, DENSE = 8, 1 << 22
 
@@ -104,7 +106,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
 
 def leading_columns(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """The entries (h, row) of the matrix by which rows meet."""
+    """The entries of the matrix by which rows meet: h (column), row, place of the column in the row."""
     last = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     def run(batches):
@@ -124,22 +126,72 @@ def leading_columns(docs: DataFrame, size: int, percent: int, frequent: np.ndarr
                 own, own_late = values[end[i] - sizes[i] : end[i]], is_late[end[i] - sizes[i] : end[i]]
                 h.append(np.concatenate([own[~own_late], own[own_late]])[:count] if own_late.any() else own[:count])
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(rows[once], lead))], ["h", "row"])
+                place = np.arange(lead.sum()) - np.repeat(np.cumsum(lead) - lead, lead)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(rows[once], lead)), pa.array(place.astype(np.int32))], ["h", "row", "place"])
 
-    return docs.mapInArrow(run, "h bigint, row bigint")
+    return docs.mapInArrow(run, "h bigint, row bigint, place int")
 
 
-def column_classes(entries: DataFrame) -> DataFrame:
-    """(class, row): the rows of each class of columns with the same rows, but for classes within another class."""
+def column_classes(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (class, row) of the classes of columns: first place in the row, n (size of the row), shared (its leading
+    columns that other rows lead with too). Should two classes get one name, they are one class, whose pairs include theirs."""
     shared = entries.groupBy("h").agg(F.min("row").alias("least"), F.max("row").alias("most")).filter("least < most").select("h")
-    live = cut_lineage(entries.join(shared, "h").distinct())
-    code = live.groupBy("h").agg(F.count("row").alias("k"), F.bit_xor(F.xxhash64("row")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("t"))
-    classes = code.groupBy("k", "s", "t").agg(F.min("h").alias("h")).select("h", "k")
-    members = cut_lineage(live.join(classes, "h").select(F.col("h").alias("class"), "row", "k"))
-    home = members.groupBy("row").agg(F.max(F.struct("k", "class")).alias("home"))
+    live = cut_lineage(entries.join(shared, "h").dropDuplicates(["h", "row"]))
+    code = live.groupBy("h").agg(F.xxhash64(F.count("row"), F.bit_xor(F.xxhash64("row"))).alias("class"))
+    members = live.join(code, "h").groupBy("class", "row").agg(F.min("place").alias("place"), F.count("h").alias("columns"))
+    size = members.groupBy("row").agg(F.sum("columns").alias("shared")).join(sets.select("row", "n"), "row")
+    return cut_lineage(members.drop("columns").join(size, "row"))
+
+
+def _candidates(percent: int):
+    """Of classes: per class, a spanning forest (class, a, b) of the pairs within the bounds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        of, row, place, n, shared = (np.asarray(table[c].combine_chunks()) for c in ("class", "row", "place", "n", "shared"))
+        order = np.argsort(of, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1], [True]])) if len(of) else [0]
+        rest = -(-percent * n // 100) - 1  # columns after the lead
+        found = [np.zeros((3, 0), np.int64)]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            own = order[s:e]
+            size, left, lead, after = n[own], n[own] - place[own], shared[own], rest[own]
+            low, high = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+            most = np.minimum(np.minimum(left[:, None], left), np.minimum(lead[:, None], lead) + np.maximum(after[:, None], after))
+            a, b = np.nonzero(np.triu((100 * low >= percent * high) & ((100 + percent) * most >= percent * (low + high)), 1))
+            if len(a):
+                root = _roots(len(own), a, b)
+                moved = np.flatnonzero(root != np.arange(len(own)))
+                found.append(np.stack([np.full(len(moved), of[own[0]]), row[own[moved]], row[own[root[moved]]]]))
+        return pa.table(dict(zip(("class", "a", "b"), np.concatenate(found, 1), strict=True)))
+
+    return run
+
+
+def cells(members: DataFrame, percent: int) -> DataFrame:
+    """(cell, row, n): rows that must be multiplied with each other."""
+    large = members.groupBy("class").agg(F.count("row").alias("k")).filter(F.col("k") > ROWS).select("class")
+    tasks = max(1, members.count() // MEMBERS)
+    small = members.join(large, "class", "left_anti").withColumn("task", F.pmod(F.xxhash64("class"), F.lit(tasks)))
+    forest = cut_lineage(small.groupBy("task").applyInArrow(_candidates(percent), "class bigint, a bigint, b bigint"))
+    reach = connected(forest.select("a", "b"))
+    sizes = members.select("row", "n").distinct()
+    rows = forest.select("class", F.explode(F.array("a", "b")).alias("row")).distinct().join(sizes, "row")
+    rows = rows.join(reach, rows["row"] == reach["vertex"], "left").select("class", "row", "n", F.coalesce("component", "row").alias("cluster"))
+    clustered = cut_lineage(rows)
+    clusters = clustered.select("cluster", "row", "n").distinct()
+    heavy = clusters.groupBy("cluster").agg(F.count("row").alias("k"), F.sum("n").alias("n")).filter((F.col("k") > ROWS) | (F.col("n") > SHINGLES)).select("cluster")
+    whole = clusters.join(heavy, "cluster", "left_anti").select(F.col("cluster").alias("cell"), "row", "n")
+    by_class = clustered.join(heavy, "cluster").select("class", "row", "n").union(members.join(large, "class").select("class", "row", "n"))
+    return whole.union(_not_within(cut_lineage(by_class)))
+
+
+def _not_within(members: DataFrame) -> DataFrame:
+    """members without the classes whose rows are all in one larger class."""
+    counted = members.join(members.groupBy("class").agg(F.count("row").alias("k")), "class")
+    home = counted.groupBy("row").agg(F.max(F.struct("k", "class")).alias("home"))
     homes = members.join(home, "row").groupBy("class").agg(F.min("home").alias("low"), F.max("home").alias("high"))
     within = homes.filter("low = high and low.class <> class").select("class")
-    return cut_lineage(members.join(within, "class", "left_anti").select("class", "row"))
+    return members.join(within, "class", "left_anti").select(F.col("class").alias("cell"), "row", "n")
 
 
 def _parts(rows, shingles):
@@ -151,27 +203,40 @@ def _spread(column, parts):
 
 
 def _first_deal(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Deals members (class, row, n) to chunks of their class; and the classes of more than one chunk."""
-    classes = members.groupBy("class").agg(F.count("row").alias("k"), F.sum("n").alias("all")).withColumn("parts", _parts(F.col("k"), F.col("all")))
-    large = cut_lineage(classes.filter("parts > 1").select("class", "k", "parts"))
+    """Deals members (cell, row, n) to chunks of their cell; and the cells of more than one chunk."""
+    sizes = members.groupBy("cell").agg(F.count("row").alias("k"), F.sum("n").alias("all")).withColumn("parts", _parts(F.col("k"), F.col("all")))
+    large = cut_lineage(sizes.filter("parts > 1").select("cell", "k", "parts"))
     common = F.pmod(F.xxhash64(F.lit(2), "row"), F.col("k")) < HUBS
     chunks = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(common, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_spread("row", F.col("parts"))))
-    return members.join(large, "class", "left").select("class", "row", "n", F.explode(chunks).alias("p")).withColumn("q", F.lit(0)).withColumn("kind", F.lit(0)), large
+    return members.join(large, "cell", "left").select("cell", "row", "n", F.explode(chunks).alias("p")).withColumn("q", F.lit(0)).withColumn("kind", F.lit(0)), large
 
 
 def _second_deal(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Deals members (class, row, name, n) of large classes to pairs of chunks, of which one holds no row of the largest component."""
-    rooted = cut_lineage(members.join(roots, members["name"] == roots["vertex"], "left").select("class", "row", "n", F.coalesce("component", "name").alias("root")))
-    counts = rooted.groupBy("class", "root").agg(F.count("row").alias("k"), F.sum("n").alias("n"))
-    largest = counts.groupBy("class").agg(F.max(F.struct("k", "n", "root")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > top.k")
-    largest = largest.select("class", F.col("top.root").alias("top"), _parts(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("mb"), _parts(F.col("top.k"), F.col("top.n")).alias("gb"))
+    """Deals members (cell, row, name, n) of large cells to pairs of chunks, of which one holds no row of the largest component."""
+    rooted = cut_lineage(members.join(roots, members["name"] == roots["vertex"], "left").select("cell", "row", "n", F.coalesce("component", "name").alias("root")))
+    counts = rooted.groupBy("cell", "root").agg(F.count("row").alias("k"), F.sum("n").alias("n"))
+    largest = counts.groupBy("cell").agg(F.max(F.struct("k", "n", "root")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > top.k")
+    largest = largest.select("cell", F.col("top.root").alias("top"), _parts(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("mb"), _parts(F.col("top.k"), F.col("top.n")).alias("gb"))
     guest = F.col("root") == F.col("top")
     own = _spread("row", F.when(guest, F.col("gb")).otherwise(F.col("mb")))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     pair = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
     inner = F.transform(every("mb"), lambda o: pair(1, F.least(o, own), F.greatest(o, own)))
     outer = F.transform(every("gb"), lambda g: pair(2, g, own))
-    return rooted.join(largest, "class").select("class", "row", "n", F.inline(F.when(guest, F.transform(every("mb"), lambda m: pair(2, own, m))).otherwise(F.concat(inner, outer))))
+    return rooted.join(largest, "cell").select("cell", "row", "n", F.inline(F.when(guest, F.transform(every("mb"), lambda m: pair(2, own, m))).otherwise(F.concat(inner, outer))))
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n vertices that each one reaches through the links a, b."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, b, root[a])
+        np.minimum.at(new, a, root[b])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def block_links(values: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -215,20 +280,12 @@ def block_links(values: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarr
         left -= np.bincount(row[now], minlength=r)
         row, column = row[~now], column[~now]
     a, b = np.nonzero(alive & (count >= need))
-    root = np.arange(r)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, b, root[a])
-        np.minimum.at(new, a, root[b])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+    return _roots(r, a, b)
 
 
 def _multiply(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        keys = np.stack([np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("class", "kind", "p", "q")])
+        keys = np.stack([np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("cell", "kind", "p", "q")])
         order = np.lexsort(keys)
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(0), [True]])) if len(order) else [0]
         names, sets = table["name"].combine_chunks(), table["shingles"].combine_chunks()
@@ -248,10 +305,10 @@ def _multiply(percent: int):
 
 
 def _product(docs: DataFrame, sets: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of blocks; dealt has class, kind, p, q, row, n, and sets finds a text for a row."""
+    """Links (a, b) of blocks; dealt has cell, kind, p, q, row, n, and sets finds a text for a row."""
     number, weight = dealt.agg(F.count("row"), F.sum("n")).first()
     tasks = max(1, (weight or 0) // TASK)
-    blocks = dealt.groupBy("row").agg(F.collect_list(F.struct("class", "kind", "p", "q")).alias("blocks"))  # of one row: its leading columns bound them
+    blocks = dealt.groupBy("row").agg(F.collect_list(F.struct("cell", "kind", "p", "q")).alias("blocks"))  # of one row: bounded by its leading columns
     wanted = sets.join(blocks, "row").select("doc_id", "row", "blocks")
     texts = docs.join(F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted, "doc_id").select("text", "row", "blocks")
 
@@ -263,8 +320,8 @@ def _product(docs: DataFrame, sets: DataFrame, dealt: DataFrame, size: int, perc
             data = [values[end[i] - sizes[i] : end[i]].tobytes() for i in right]
             yield pa.RecordBatch.from_arrays([_bytes(names[right].tobytes(), np.full(len(right), 16)), pa.array(data, pa.binary()), batch.column("blocks").take(pa.array(right))], ["name", "shingles", "blocks"])
 
-    rows = texts.mapInArrow(run, "name binary, shingles binary, blocks array<struct<class:bigint,kind:int,p:int,q:int>>")
-    rows = rows.select("name", "shingles", F.inline("blocks")).withColumn("task", F.pmod(F.xxhash64("class", "kind", "p", "q"), F.lit(tasks)))
+    rows = texts.mapInArrow(run, "name binary, shingles binary, blocks array<struct<cell:bigint,kind:int,p:int,q:int>>")
+    rows = rows.select("name", "shingles", F.inline("blocks")).withColumn("task", F.pmod(F.xxhash64("cell", "kind", "p", "q"), F.lit(tasks)))
     return cut_lineage(rows.groupBy("task").applyInArrow(_multiply(percent), "a binary, b binary"))
 
 
@@ -276,12 +333,13 @@ def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> Dat
     )
     entries = written(leading_columns(docs, size, percent, np.asarray(top["h"].combine_chunks()).astype(np.int64)))
     sets = table.filter("n_shingles > 0 and doc_id is not null").groupBy("name", "row", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"))
-    members = cut_lineage(column_classes(entries).join(sets, "row").select("class", "row", "name", "n"))
+    members = cut_lineage(cells(column_classes(entries, sets), percent))
     dealt, large = _first_deal(members)
     links = _product(docs, sets, cut_lineage(dealt), size, percent)
     if large.isEmpty():
         return links
-    again = cut_lineage(_second_deal(members.join(large.select("class"), "class"), connected(links)))
+    again = members.join(large.select("cell"), "cell").join(sets.select("row", "name"), "row")
+    again = cut_lineage(_second_deal(again, connected(links)))
     return links if again.isEmpty() else links.union(_product(docs, sets, again, size, percent))
 
 

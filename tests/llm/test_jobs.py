@@ -176,7 +176,7 @@ def test_components(spark):
     assert [got.get(i, i) for i in range(120)] == plain_components(120, links)
 
 
-@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 1}, {"FREQUENT": 1, "ROWS": 16, "HUBS": 2, "BROADCAST_ROWS": 0}, {"SHINGLES": 400, "TASK": 1000}])
+@pytest.mark.parametrize("settings", [{}, {"FREQUENT": 1}, {"FREQUENT": 1, "ROWS": 16, "HUBS": 2, "BROADCAST_ROWS": 0}, {"SHINGLES": 400, "TASK": 1000, "MEMBERS": 50}])
 def test_jaccard_on_hard_groups(spark, settings, monkeypatch):
     """Chains of near copies, a passage that most documents share, groups of copies and short texts."""
     for name, value in settings.items():
