@@ -15,8 +15,8 @@ one side at least, so a few bits of a hash of those bytes on either side must ag
 Suffix order. Leaders' fragments are dealt to blocks by anchor. A block's fragments are one text with separators; from its
 Burrows-Wheeler transform, intervals are extended backwards breadth first, and the interval ends met at step l get common
 prefix l. Extension stops at `least`: ends without a value are suffixes that share at least so many bytes. In each such run
-of suffixes the earliest document keeps its copy. Anchors with too many leaders for a block compare their strings one by one
-in a Spark aggregation and join instead, which no key overloads.
+of suffixes the earliest document keeps its copy. An anchor with more leaders than a block takes is dealt to several blocks;
+the strings that each of them keeps are merged by an aggregation, which no key overloads.
 
 Null text counts as empty. Null doc_ids come after all others and are not earlier than each other; rows with the same doc_id
 are not earlier than each other either. Repeated rows give equal rows. Extra columns are ignored or, in `remove`, kept.
@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks
+from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks, written
 
 ANCHOR = 16
 #: Entries that a Python worker compares at once, text bytes a bucket, fragment bytes a block, leaders of an anchor in a block.
-FLUSH, BUCKET_BYTES, BLOCK_BYTES, MOST_LEADERS = 300_000, 6 << 20, 1 << 20, 12_000
+FLUSH, BUCKET_BYTES, BLOCK_BYTES, BLOCK_LEADERS = 300_000, 6 << 20, 1 << 20, 8000
 #: Occurrences of one anchor in a batch that go to its bucket; the rest are leaders without further comparison.
 SENT = 16
 #: Most repeated doc_ids that are broadcast; beyond that every row is named by a hash of its text.
@@ -68,7 +68,8 @@ def variant_of(row: int, data: bytes) -> int:
 
 
 def named(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """docs with `__id` (LAST for a null doc_id) and `__row`; the distinct texts (doc_id, row, text); the bytes of all texts.
+    """docs with `__id` (LAST for a null doc_id) and `__row`; the distinct texts by these, which are docs themselves if no id
+    repeats; the bytes of all texts.
 
     An id that has one row needs no more to name it, which keeps the entries small.
     """
@@ -83,9 +84,10 @@ def named(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         docs = docs.withColumn("__row", by_text)
     else:
         docs = docs.join(F.broadcast(again), "__id", "left").withColumn("__row", F.when(F.col("__again"), by_text).otherwise(F.lit(0))).drop("__again")
-    texts = docs.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), "text")
+    texts = docs
     if repeated:
-        texts = texts.filter("row = 0").union(texts.filter("row <> 0").distinct())
+        texts = docs.select("__id", "__row", "text")
+        texts = texts.filter("__row = 0").union(texts.filter("__row <> 0").distinct())
     return docs, texts, int(size or 0)
 
 
@@ -221,10 +223,10 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
         # document order, in which ids and places compress best
         order = np.lexsort((at, row, doc, name % buckets))
         name, f, doc, row, at, sides, crowded = (x[order] for x in (name, f, doc, row, at, sides, crowded))
-        mark = (sides << 40) | ((f >> np.uint64(25)).astype(np.int64) << 1) | crowded
+        mark, f = (sides << 1) | crowded, f.view(np.int64)
         found, edge = np.unique(name % buckets, return_index=True)
         for b, s, e in zip(found.tolist(), edge.tolist(), [*edge[1:].tolist(), len(name)], strict=True):
-            yield b, 0, planes(name[s:e] // buckets, mark[s:e], doc[s:e], row[s:e], at[s:e])
+            yield b, 0, planes(name[s:e] // buckets, mark[s:e], f[s:e], doc[s:e], row[s:e], at[s:e])
 
     def rows(held):
         out = list(flush(held))
@@ -245,49 +247,39 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
         if n:
             yield rows(held)
 
-    return texts.select("doc_id", "row", F.col("text").cast("binary").alias("data")).mapInArrow(run, "bucket int, kind int, data binary")
-
-
-def _by_document(gone: tuple[np.ndarray, ...], lead: tuple[np.ndarray, ...]) -> pa.Table:
-    """A row per text: its removals (of gone: doc, row, at) and its leaders (of lead: anchor, doc, row, at)."""
-    doc, row = np.concatenate([gone[0], lead[1]]), np.concatenate([gone[1], lead[2]])
-    order = np.lexsort((row, doc))
-    new = np.ones(len(order), bool)
-    new[1:] = (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    doc, row = doc[order[new]], row[order[new]]
-    lists = []
-    for own, *columns in ((number[: len(gone[0])], gone[2]), (number[len(gone[0]) :], lead[0], lead[3])):
-        order = np.argsort(own, kind="stable")
-        offset = pa.array(np.searchsorted(own[order], np.arange(len(doc) + 1)).astype(np.int32))
-        lists.append((offset, [pa.array(c[order], pa.int64()) for c in columns]))
-    leaders = pa.StructArray.from_arrays(lists[1][1], ["h", "at"])
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "row": pa.array(row, pa.int64()), "gone": pa.ListArray.from_arrays(lists[0][0], lists[0][1][0]), "leaders": pa.ListArray.from_arrays(lists[1][0], leaders)})
+    return texts.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.col("text").cast("binary").alias("data")).mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def _compare(buckets: int):
-    """Of a bucket: per text, settled removals and leaders (anchor, place)."""
+    """Of a bucket: settled removals (doc_id, row, at) and leaders, which have an anchor h too."""
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
         rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True))
-        h, f, doc, row, at = unplanes([d for k, d in rows if k == 0], 5)
+        h, mark, f, doc, row, at = unplanes([d for k, d in rows if k == 0], 6)
         gone, lead = unplanes([d for k, d in rows if k == 1], 3), unplanes([d for k, d in rows if k == 2], 4)
-        crowded, sides, f = f & 1, (f >> 40) & ((1 << 24) - 1), (f >> 1) & ((1 << 39) - 1)
+        del rows
         order, repeats, _ = settle(h, f, doc, at)
-        h, doc, row, at, sides, crowded = (x[order] for x in (h, doc, row, at, sides, crowded))
+        del f
+        h, doc, row, at, mark = (x[order] for x in (h, doc, row, at, mark))
+        out = [[x, y] for x, y in zip(gone, lead[1:], strict=True)]
+        anchor = [lead[0]]
         if len(h):
             new = np.concatenate([[True], h[1:] != h[:-1]])
             start = np.flatnonzero(new)
             # others of a crowded anchor were kept by a batch; else another leader must agree on one side
-            on = ~repeats & (np.bitwise_or.reduceat(crowded, start) > 0)[np.cumsum(new) - 1]
+            on = ~repeats & (np.bitwise_or.reduceat(mark & 1, start) > 0)[np.cumsum(new) - 1]
             left = np.flatnonzero(~repeats)
-            for side in (sides >> 12, sides & 4095):
+            for side in (mark >> 13, (mark >> 1) & 4095):
                 own = left[side[left] > 0]
                 on[own[_shared(h[own] << 12 | side[own], doc[own])]] = True
-            gone = [np.concatenate(x) for x in zip(gone, (doc[repeats], row[repeats], at[repeats]), strict=True)]
-            lead = [np.concatenate(x) for x in zip(lead, (h[on] * buckets + table["bucket"][0].as_py(), doc[on], row[on], at[on]), strict=True)]
-        return _by_document(gone, lead)
+            for own, x in zip(out, (doc, row, at), strict=True):
+                own[:] = [np.concatenate([own[0], x[repeats]]), own[1], x[on]]
+            anchor.append(h[on] * buckets + bucket)
+        anchor = np.concatenate(anchor)
+        columns = {name: pa.array(np.concatenate(own), pa.int64()) for name, own in zip(("doc_id", "row", "at"), out, strict=True)}
+        columns["h"] = pa.concat_arrays([pa.nulls(len(out[0][0]), pa.int64()), pa.array(anchor, pa.int64())])
+        return pa.table(columns)
 
     return run
 
@@ -356,11 +348,13 @@ def suffix_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _block(least: int):
-    """Of a block of leaders (doc_id, row, at, fragment): per text, the strings that an earlier document has, packed."""
+    """Of a block of leaders (doc_id, row, at, divided, fragment): packed, the strings that an earlier document of the block
+    has; and one by one, with their bytes, the others of anchors that are divided among blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, row, at = (np.asarray(table[c].combine_chunks()) for c in ("doc_id", "row", "at"))
-        text, offset, group = suffix_runs(table["fragment"].to_pylist(), least)
+        doc, row, at, divided = (np.asarray(table[c].combine_chunks()) for c in ("doc_id", "row", "at", "divided"))
+        fragments = table["fragment"].to_pylist()
+        text, offset, group = suffix_runs(fragments, least)
         earliest = np.full(int(group.max(initial=-1)) + 1, LAST)
         np.minimum.at(earliest, group, doc[text])
         later = doc[text] > earliest[group]
@@ -368,9 +362,16 @@ def _block(least: int):
         order = np.lexsort((offset, text))
         text, offset = text[order], offset[order]
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(text)))
-        variant, start, _ = unpack(at[text[new]])
-        return pa.table({"doc_id": doc[text[new]], "row": row[text[new]], "at": pack(variant, start + offset[new], count)})
+        variant, start, count = unpack(at)
+        open_ = np.flatnonzero(divided)
+        kept = np.repeat(open_, count[open_])
+        place = np.arange(len(kept)) - np.repeat(np.cumsum(count[open_]) - count[open_], count[open_])
+        still = ~np.isin(kept << 7 | place, text << 7 | offset)
+        kept, place = kept[still], place[still]
+        who = np.concatenate([text[new], kept])
+        packed = pack(variant[who], start[who] + np.concatenate([offset[new], place]), np.concatenate([np.diff(np.append(new, len(text))), np.ones(len(kept), np.int64)]))
+        strings = [None] * len(new) + [fragments[i][o : o + least] for i, o in zip(kept.tolist(), place.tolist(), strict=True)]
+        return pa.table({"doc_id": doc[who], "row": row[who], "at": packed, "string": pa.array(strings, pa.binary())})
 
     return run
 
@@ -396,50 +397,54 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _fragments(texts: DataFrame, leaders: DataFrame, least: int) -> DataFrame:
-    """The fragments of leaders (doc_id, row, h, at): h, doc_id, row, at, fragment."""
-    lists = leaders.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "at")).alias("leaders"))
-    joined = squeezed(texts).join(lists, ["doc_id", "row"])
+    """The fragments of leaders (doc_id, row, at, block, divided); texts as `squeezed` gives them, with all their columns, so
+    that they are exchanged once for this and for the result."""
+    lists = leaders.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("at", "block", "divided")).alias("__leaders"))
+    joined = texts.join(lists, ["__id", "__row"])
+    names = ["doc_id", "row", "at", "block", "divided"]
 
     def run(batches):
         for batch in text_chunks(batches, "__squeezed"):
-            out = ([], [], [], [], [])
-            for doc, row, data, own in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _texts(batch), batch.column("leaders"), strict=True):
-                at = np.asarray(own.values.field("at"))
-                variant, start, count = unpack(at)
-                mine = variant == variant_of(row, data)
-                for name, place, s, c in zip(np.asarray(own.values.field("h"))[mine].tolist(), at[mine].tolist(), start[mine].tolist(), count[mine].tolist(), strict=True):
-                    for column, value in zip(out, (name, doc, row, place, data[s : s + c - 1 + least]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc_id", "row", "at", "fragment"])
-
-    return joined.mapInArrow(run, "h bigint, doc_id bigint, row bigint, at bigint, fragment binary")
-
-
-def _one_by_one(fragments: DataFrame, least: int) -> DataFrame:
-    """For anchors with too many leaders for a block: every string is a row, compared in an aggregation and a join."""
-    strings = fragments.select("doc_id", "row", "at", F.posexplode(F.expr(f"transform(sequence(1, cast(at & 127 as int)), i -> substring(fragment, i, {least}))")).alias("i", "string"))
-    first = strings.groupBy("string").agg(F.min("doc_id").alias("earliest"))
-    return strings.join(first, "string").filter("doc_id > earliest").select("doc_id", "row", (F.expr("shiftleft(shiftright(at, 7) + i, 7)") + 1).alias("at"))
-
-
-def removals(texts: DataFrame, size: int, least: int = 50) -> DataFrame:
-    """doc_id, row and `gone`, packed starts of the strings to remove, of the texts that `named` gives with their size."""
+            own = batch.column("__leaders")
+            flat = own.flatten()
+            at = np.asarray(flat.field("at"))
+            variant, start, count = unpack(at)
+            parent = np.asarray(own.value_parent_indices())
+            rows, data = np.asarray(batch.column("__row")), _texts(batch)
+            tags = np.array([variant_of(r, t) for r, t in zip(rows.tolist(), data, strict=True)], np.int64)
+            of = np.flatnonzero(variant == tags[parent])
+            fragments = [data[p][s : s + c - 1 + least] for p, s, c in zip(parent[of].tolist(), start[of].tolist(), count[of].tolist(), strict=True)]
+            columns = [pa.array(np.asarray(batch.column("__id"))[parent[of]]), pa.array(rows[parent[of]]), *(flat.field(c).take(pa.array(of)) for c in names[2:])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fragments, pa.binary())], [*names, "fragment"])
+
+    return joined.mapInArrow(run, "doc_id bigint, row bigint, at bigint, block bigint, divided boolean, fragment binary")
+
+
+def removals(texts: DataFrame, shrunk: DataFrame, size: int, least: int = 50) -> DataFrame:
+    """doc_id, row and `gone`, packed starts of the strings to remove, of the texts that `named` gives with their size; shrunk
+    are the same texts squeezed."""
     buckets = 1 << max(0, (size // BUCKET_BYTES).bit_length())
-    schema = "doc_id bigint, row bigint, gone array<bigint>, leaders array<struct<h:bigint,at:bigint>>"
-    found = cut_lineage(_deal(texts, least, buckets).groupBy("bucket").applyInArrow(_compare(buckets), schema))
-    leaders = found.select("doc_id", "row", F.inline("leaders"))
+    found = written(_deal(texts, least, buckets).groupBy("bucket").applyInArrow(_compare(buckets), "doc_id bigint, row bigint, at bigint, h bigint"))
+    leaders = found.filter("h is not null")
     counts = leaders.groupBy("h").count()
-    total = counts.agg(F.sum("count"), F.max("count")).first()
-    blocks = max(1, (total[0] or 0) * 2 * least // BLOCK_BYTES)
-    many, single = counts.filter(F.col("count") > MOST_LEADERS).select("h"), None
-    if (total[1] or 0) > MOST_LEADERS:
-        single = _one_by_one(_fragments(texts, leaders.join(many, "h"), least), least)
-        leaders = leaders.join(many, "h", "left_anti")
-    fragments = _fragments(texts, leaders, least).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    blocked = fragments.groupBy("block").applyInArrow(_block(least), "doc_id bigint, row bigint, at bigint")
-    blocked = blocked if single is None else blocked.union(single)
-    spans = found.filter("size(gone) > 0").select("doc_id", "row", "gone").union(blocked.groupBy("doc_id", "row").agg(F.collect_list("at").alias("gone")))
-    return spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    blocks = F.lit(max(1, (total or 0) * 2 * least // BLOCK_BYTES))
+    divided = (most or 0) > BLOCK_LEADERS
+    if divided:
+        parts = counts.filter(F.col("count") > BLOCK_LEADERS).select("h", F.ceil(F.col("count") / BLOCK_LEADERS).alias("parts"))
+        leaders = leaders.join(parts, "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "row", "at"), "parts"), F.lit(0)))
+    else:
+        leaders = leaders.withColumn("parts", F.lit(None).cast("bigint")).withColumn("part", F.lit(0))
+    leaders = leaders.select("doc_id", "row", "at", F.pmod(F.xxhash64("h", "part"), blocks).alias("block"), F.col("parts").isNotNull().alias("divided"))
+    blocked = _fragments(shrunk, leaders, least).groupBy("block").applyInArrow(_block(least), "doc_id bigint, row bigint, at bigint, string binary")
+    if divided:
+        blocked = written(blocked)
+        left = blocked.filter("string is not null")
+        first = left.groupBy("string").agg(F.min("doc_id").alias("earliest"))
+        merged = left.join(first, "string").filter("doc_id > earliest").select("doc_id", "row", "at")
+        blocked = blocked.filter("string is null").select("doc_id", "row", "at").union(merged)
+    spans = found.filter("h is null").select("doc_id", "row", "at").union(blocked.select("doc_id", "row", "at"))
+    return spans.groupBy("doc_id", "row").agg(F.collect_list("at").alias("gone"))
 
 
 def _kept(row: int, data: bytes, gone: np.ndarray, least: int) -> tuple[bytes, int]:
@@ -460,8 +465,9 @@ def _kept(row: int, data: bytes, gone: np.ndarray, least: int) -> tuple[bytes, i
 def _with_removals(docs: DataFrame, least: int) -> DataFrame:
     """docs with `__squeezed` for `text` and the packed removals in `__gone`."""
     docs, texts, size = named(docs)
-    gone = removals(texts, size, least).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
-    return squeezed(docs).join(gone, ["__id", "__row"], "left")
+    shrunk = squeezed(docs)
+    gone = removals(texts, shrunk if texts is docs else squeezed(texts), size, least).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    return shrunk.join(gone, ["__id", "__row"], "left")
 
 
 def passage_digests(docs: DataFrame, least: int = 50) -> DataFrame:

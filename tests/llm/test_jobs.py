@@ -205,7 +205,7 @@ def test_jaccard_on_hard_groups(spark, settings, monkeypatch):
     assert [got[i][1] for i in range(len(texts))] == plain_components(len(texts), links)
 
 
-@pytest.mark.parametrize("settings", [{}, {"SENT": 1, "MOST_LEADERS": 1, "FLUSH": 50}, {"SENT": 2, "MOST_LEADERS": 3, "FLUSH": 400, "BUCKET_BYTES": 3000, "BLOCK_BYTES": 400}])
+@pytest.mark.parametrize("settings", [{}, {"SENT": 1, "BLOCK_LEADERS": 1, "FLUSH": 50}, {"SENT": 2, "BLOCK_LEADERS": 3, "FLUSH": 400, "BUCKET_BYTES": 3000, "BLOCK_BYTES": 400}])
 def test_passages_on_hard_groups(spark, settings, monkeypatch):
     for name, value in settings.items():
         monkeypatch.setattr(passages, name, value)
