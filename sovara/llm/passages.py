@@ -43,13 +43,13 @@ from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks, written
 
 ANCHOR = 16
 #: Entries that a Python worker compares at once, text bytes a bucket, fragment bytes a block, leaders of an anchor in a block.
-FLUSH, BUCKET_BYTES, BLOCK_BYTES, BLOCK_LEADERS = 300_000, 6 << 20, 1 << 20, 8000
+FLUSH, BUCKET_BYTES, BLOCK_BYTES, BLOCK_LEADERS = 300_000, 6 << 20, 1 << 19, 4000
 #: Occurrences of one anchor in a batch that go to its bucket; the rest are leaders without further comparison.
 SENT = 16
 #: Most repeated doc_ids that are broadcast; beyond that every row is named by a hash of its text.
 REPEATED_IDS = 100_000
 #: Starts hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 LAST = np.iinfo(np.int64).max
 _R = np.uint64(0x9E3779B97F4A7C15)
 
@@ -234,7 +234,7 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for batch in text_chunks(batches, "data"):
+        for batch in text_chunks(batches, "data", SEGMENT):
             ids, row = np.asarray(batch.column("doc_id")), np.asarray(batch.column("row"))
             data = [t or b"" for t in batch.column("data").to_pylist()]
             names = np.array([variant_of(r, t) for r, t in zip(row.tolist(), data, strict=True)], np.int64)
@@ -293,37 +293,42 @@ def suffix_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray,
     """
     length = np.array([len(t) + 1 for t in texts])
     n = int(length.sum())
-    code = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    code = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     close = np.cumsum(length) - 1
     code[close] = 0
-    left = np.repeat(close, length) - np.arange(n)  # bytes before the separator
+    left = (np.repeat(close, length) - np.arange(n)).astype(np.int32)  # bytes before the separator
     # sort by the first 7 bytes, then by twice as many, and so on; equal texts stay in their order
-    key, padded = np.zeros(n, np.int64), np.append(code, np.zeros(7, np.int64))
+    key, padded = np.zeros(n, np.int64), np.append(code, np.zeros(7, np.int16))
     for j in range(7):
-        key = (key << 9) | np.where(left >= j, padded[j : j + n], 0)
+        key <<= 9
+        key |= np.where(left >= j, padded[j : j + n], np.int16(0))
     depth = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        rank = np.empty(n, np.int32)
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
         if depth > left.max() or rank[order[-1]] == n - 1:
             break
-        key = rank * (n + 1) + np.where(left >= depth, np.append(rank[depth:], np.zeros(min(depth, n), np.int64))[:n] + 1, 0)
+        key = rank * np.int64(n + 1)
+        key[: max(0, n - depth)] += np.where(left[: max(0, n - depth)] >= depth, rank[depth:] + 1, 0)
         depth *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    del key, rank, left
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     back = place[order - 1]  # last-to-first
-    head = np.where(code[order] > 0, code[order], -np.arange(n))  # separators differ
-    prefix = np.full(n + 1, -1, np.int64)  # common prefix with the suffix before; unset where it is not found
+    del place
+    head = np.where(code[order] > 0, code[order], -np.arange(n, dtype=np.int32))  # separators differ
+    prefix = np.full(n + 1, -1, np.int8 if least < 128 else np.int32)  # common prefix with the suffix before; unset where it is not found
     prefix[0] = prefix[n] = 0
-    active, owner = np.arange(n), np.zeros(n, np.int64)
-    of = np.empty(n, np.int64)
+    active, owner = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    of = np.empty(n, np.int32)
     flag = np.zeros(n, bool)
     for level in range(least):
         to = back[active]
         of[to] = owner
         flag[to] = True
-        active = np.flatnonzero(flag) if len(to) * 16 > n else np.sort(to)
+        active = np.flatnonzero(flag).astype(np.int32) if len(to) * 16 > n else np.sort(to)
         flag[to] = False
         owner = of[active]
         # an interval: neighbours that come from one interval and begin with the same byte
@@ -334,7 +339,7 @@ def suffix_runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray,
         prefix[end[fresh]] = level
         if level == 0:
             fresh[:] = True  # the last interval ends with the text
-        which = np.cumsum(new) - 1
+        which = np.cumsum(new, dtype=np.int32) - 1
         keep = fresh[which]
         active, owner = active[keep], which[keep]
         if not len(active):
