@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sovara.llm.common import cut_lineage
 
+#: Links of a partition: a small table is in few partitions, so its rounds exchange and write few files.
+LINKS = 200_000
+
 
 def connected(links: DataFrame) -> DataFrame:
     """links: a, b (bigint), in any direction. Returns vertex, component for the vertices that are not the smallest of theirs.
@@ -21,9 +24,10 @@ def connected(links: DataFrame) -> DataFrame:
         if now[0] == 0 or now == state:
             return pairs.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
         state = now
-        both = pairs.union(pairs.select("b", "a"))
+        pairs = pairs.coalesce(-(-now[0] // LINKS))
+        both = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        pairs = cut_lineage(small.union(low.select("a", "low")).distinct())
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))
+        pairs = cut_lineage(large.join(low, "a").select(F.inline(ends)).filter("a <> b").distinct())
