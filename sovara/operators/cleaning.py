@@ -20,22 +20,28 @@ UPGRADE_WORDS = r"\b(upgrade[sd]?|renovat(e|ed|ion)?|retrofit(ted)?|rehab(bed)?|
 STORY_WORDS = {"single": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 WOOD_FRAME = ("101", "102", "103", "104", "105")
 COUNT_WORDS = {
-    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
-    "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17,
-    "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "a": 1, "an": 1,
-    "twenty-one": 21, "twenty-two": 22, "twenty-three": 23, "twenty-four": 24, "twenty-five": 25,
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "dual": 2, "double": 2, "triple": 3, "ground": 1, "a": 1, "an": 1,
+    "twenty-one": 21, "twenty-two": 22, "twenty-three": 23, "twenty-four": 24, "twenty-five": 25, "thirty": 30, "forty": 40, "fifty": 50,
 }
-SIDE_STRUCTURES = ("clubhouse", "club house", "center", "office", "shed", "garage", "aux", "main building", "reception", "gym", "pool house", "annex", "pavilion", "chapel", "library", "lobby")
+SIDE_STRUCTURES = (
+    "clubhouse", "club house", "community center", "center", "office", "shed", "maintenance shed", "garage", "auxiliary", "aux", "main building", "reception", "gym",
+    "pool house", "amenity center", "annex", "pavilion", "chapel", "library", "lobby",
+)
 VAGUE_COUNT = r"(?i)^(n/?a|various|multiple buildings?|multiple|tbd|unknown|several|numerous|many|tba|none|nil|na|-)$"
 SINGLE_COUNT = r"(?i)^(single building|single|one building|one)$"
 FOREIGN_AREA = r"(?i)\b(acre|acres|ac|hectare|hectares|ha|sq\s*meters?|sqm|m2)\b"
 VAGUE_AREA = r"(?i)^(n/?a|various|varies|tbd|unknown|none|nil|included|-)$"
 CURRENCY_SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR"}
 NO_VALUE = ("-", "n/a", "na", "none", "nil")
-CURRENCIES = ("USD", "EUR", "GBP", "JPY", "INR", "CAD", "AUD", "CHF", "CNY", "SEK", "NOK", "DKK", "NZD", "MXN", "BRL", "ZAR", "SGD", "HKD", "KRW", "TRY", "PLN")
+CURRENCIES = tuple(  # active codes of ISO 4217
+    "AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR "
+    "FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD "
+    "MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC "
+    "SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VED VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG".split()
+)
 CURRENCY_COLUMNS = ("Currency", "CV1LCUR", "CV2LCUR", "CV3LCUR", "EQCV1LCUR", "EQCV2LCUR", "EQCV3LCUR", "WSCV3LCUR", "TOCV3LCUR", "HUCV3LCUR", "FPCV3LCUR", "TRCV3LCUR")
-SPRINKLED = ("yes", "y", "true", "1", "full", "partial", "sprinklered")
-UNSPRINKLED = ("no", "n", "false", "0", "none", "unsprinklered")
+SPRINKLED = ("yes", "y", "1", "true", "sprinklered", "wet pipe", "dry pipe", "wet", "dry")
+UNSPRINKLED = ("no", "n", "0", "false", "none", "no sprinkler", "unsprinklered")
 
 
 def _at(df: DataFrame, name: str) -> Column:
@@ -184,11 +190,11 @@ def clean_values(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
     return add_flags(df.withColumns(cells), *flags).withColumns(values).drop(*[f"_{k}{i}" for k in ("raw", "v", "c") for i in (1, 2, 3)])
 
 
-def clean_currency(df: DataFrame) -> DataFrame:
-    """Currency of a row: the only one found in its currency columns; several are a conflict."""
+def clean_currency(df: DataFrame, currencies: tuple[str, ...] = CURRENCIES) -> DataFrame:
+    """Currency of a row: the only one of the valid currencies found in its currency columns; several are a conflict."""
     columns = [c for c in CURRENCY_COLUMNS if c in df.columns]
     text = {c: F.upper(blank_to_null(F.col(c))) for c in columns}
-    code = {c: F.coalesce(F.when(F.right(t, F.lit(3)).isin(*CURRENCIES), F.right(t, F.lit(3))), F.when(t.isin(*CURRENCIES), t)) for c, t in text.items()}
+    code = {c: F.coalesce(F.when(F.right(t, F.lit(3)).isin(*currencies), F.right(t, F.lit(3))), F.when(t.isin(*currencies), t)) for c, t in text.items()}
     rows = df.withColumn("_found", F.array_sort(F.array_distinct(F.filter(F.array(*code.values()), lambda x: x.isNotNull()))))
     rows = add_flags(
         rows, *[flag(text[c].isNotNull() & code[c].isNull(), c, "unrecognized_currency", F.col(c)) for c in columns],

@@ -38,7 +38,7 @@ def internal_duplicates(entries: DataFrame) -> DataFrame:
 
 def duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New entries whose code exists already."""
-    old = existing.select(F.upper(F.trim("code")).alias("_key"), F.col("description").alias("existing_description")).dropDuplicates(["_key"])
+    old = existing.groupBy(F.upper(F.trim("code")).alias("_key")).agg(F.min_by("description", F.struct("code", "description")).alias("existing_description"))
     return new.join(old, F.upper(F.trim("code")) == F.col("_key")).drop("_key")
 
 

@@ -24,15 +24,16 @@ def uniform_policy(df: DataFrame, rules: Rules = Rules(), column: str = "PolicyI
     return rows.withColumn(column, F.coalesce("_policy", column)).drop("_policy")
 
 
-def serial_numbers(df: DataFrame, policy: str = "PolicyID", out: str = "LocationID", parts: int = 64) -> DataFrame:
+def serial_numbers(df: DataFrame, policy: str = "PolicyID", out: str = "LocationID", range_rows: int = 500_000) -> DataFrame:
     """Numbers 1..n within each policy in row order; rows without policy are one group.
 
-    A policy may hold a large part of all rows, so its rows are ranked within ranges of row_index and the sizes of the
-    ranges before are added: no task needs a whole policy.
+    A policy may hold a large part of all rows, so its rows are ranked within ranges of row_index of about range_rows rows and
+    the sizes of the ranges before are added: no task needs a whole policy.
     """
     key = F.coalesce(blank_to_null(F.col(policy)), F.lit(""))
-    bounds = df.agg(F.min("row_index").alias("low"), F.max("row_index").alias("high"))
-    step = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / F.lit(parts)), F.lit(1))
+    bounds = df.agg(F.min("row_index").alias("low"), F.max("row_index").alias("high"), F.count("row_index").alias("rows"))
+    parts = F.greatest(F.ceil(F.col("rows") / range_rows), F.lit(64))
+    step = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / parts), F.lit(1))
     rows = df.withColumn("_policy", key).crossJoin(F.broadcast(bounds.select("low", step.alias("step")))).withColumn("_part", F.floor((F.col("row_index") - F.col("low")) / F.col("step"))).drop("low", "step")
     sizes = rows.groupBy("_policy", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_policy").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,7 +29,7 @@ def mapping_conflicts(column_map: DataFrame) -> DataFrame:
 
 def missing_required(uploads: DataFrame, required: DataFrame, column_map: DataFrame) -> DataFrame:
     """Required canonical names that an upload does not map. required is a short fixed list."""
-    need = uploads.select("upload_id").distinct().withColumn("canonical", F.lit(None).cast("string")).drop("canonical")
+    need = uploads.select("upload_id").distinct()
     wanted = required.agg(F.collect_set("canonical").alias("all"))
     return need.crossJoin(F.broadcast(wanted)).select("upload_id", F.explode("all").alias("canonical")).join(column_map.select("upload_id", "canonical"), ["upload_id", "canonical"], "left_anti")
 

@@ -70,7 +70,7 @@ SQL = {
     "rms_layout": f"{_RMS} SELECT ACCNTNUM, '' AS LOCNAME, CASE WHEN y = 9999 THEN '12/31/9999' WHEN y BETWEEN 1700 AND 2026 THEN '01/01/' || y ELSE y::VARCHAR END AS YEARBUILT, CASE WHEN u IS NULL THEN '' ELSE u::VARCHAR END AS YEARUPGRAD, coalesce(e::VARCHAR, '') AS EQCV1VAL, coalesce(e::VARCHAR, '') AS TOCV1VAL, 'USD' AS FLCV1LCUR FROM r",
     "column_map_apply": f"{_V} SELECT row_index, coalesce(Street, Area) AS Street, City AS Place FROM v",
     "mapping_conflicts": f"WITH {_HEADERS} SELECT upload_id, canonical, array_to_string(list_sort(list(DISTINCT source_col)), '|') AS sources FROM h WHERE canonical IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT source_col) > 1",
-    "missing_required": f"WITH {_HEADERS}, f AS (SELECT * FROM h WHERE source_col < 'col 2'), q(canonical) AS (VALUES ('C1'), ('C7'), ('Z9')) SELECT u.upload_id, q.canonical FROM (SELECT DISTINCT upload_id FROM f) u, q WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.upload_id = u.upload_id AND f.canonical = q.canonical)",
+    "missing_required": f"WITH {_HEADERS}, f AS (SELECT * FROM h), q(canonical) AS (VALUES ('C1'), ('C7'), ('Z9')) SELECT u.upload_id, q.canonical FROM (SELECT DISTINCT upload_id FROM f) u, q WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.upload_id = u.upload_id AND f.canonical = q.canonical)",
     "clean_years": f"{_YEARS} SELECT row_index, built AS YearBuilt, retro AS YearRetrofitted, issues FROM c",
     "clean_stories": f"""{_V}, s AS (SELECT row_index, row_index % 8 AS k, {_BLANK('NumberOfStories')} AS t FROM v),
 n AS (SELECT *, list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?'), lambda x: CAST(x AS DOUBLE)) AS ns FROM s)
@@ -153,6 +153,18 @@ SELECT p.return_period, k.curve, round(1.0 / p.return_period, 6)::DOUBLE AS exce
     "stream_clean": f"SELECT event_id AS row_index, {_EVENT_MONEY} AS BuildingValue, 'USD' AS Currency FROM events",
 }
 
+SQL["geocode_components"] = """WITH r AS (
+  SELECT c_custkey AS row_index, n_nationkey AS k, n_name, c_custkey AS i, c_name AS a,
+    CASE WHEN c_custkey % 7 = 0 THEN 'provided' WHEN c_custkey % 10 = 0 OR length(n_name) < 5 THEN 'insufficient_address' WHEN n_nationkey % 2 = 0 THEN 'geocoded' ELSE 'failed' END AS Geocode_Status
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT *, Geocode_Status = 'geocoded' AS g, CASE WHEN i % 3 <> 0 THEN trim(concat(a, ', Town ', k, ', 1000', k)) END AS s FROM r)
+SELECT row_index, Geocode_Status,
+  CASE WHEN g AND k % 4 = 0 THEN 'Place Street 5' WHEN g THEN coalesce(nullif(trim(regexp_replace(CASE WHEN i % 3 <> 0 THEN a ELSE n_name END, '[,\\s]+$', '')), ''), '') WHEN Geocode_Status = 'failed' THEN coalesce(s, n_name) ELSE s END AS Street,
+  CASE WHEN g THEN concat('Town ', k) WHEN i % 2 = 0 THEN 'Own City' END AS City, CASE WHEN g AND k % 4 = 0 THEN 'TX' WHEN g AND k % 8 = 2 THEN 'ZZ' ELSE 'CA' END AS State,
+  CASE WHEN g THEN concat('1000', k) ELSE '99999' END AS PostalCode, CASE WHEN g AND k % 4 = 0 THEN 'US' ELSE n_name END AS CountryISO,
+  CASE WHEN g THEN k + 10.25 WHEN Geocode_Status = 'provided' THEN 12.5 END AS Latitude, CASE WHEN g THEN k - 60.5 WHEN Geocode_Status = 'provided' THEN 7.0 END AS Longitude,
+  CASE WHEN g THEN 0.9 END AS Geo_Confidence, CASE WHEN g THEN CASE WHEN k % 4 = 0 THEN 'valid' WHEN k % 8 = 2 THEN 'invalid' ELSE 'missing' END END AS StateCodeValidation
+FROM o"""
 SQL["geocode_outcomes"] = f"WITH g AS ({SQL['geocode_join']}) SELECT " + ", ".join(f"count_if(Geocode_Status = '{k}') AS {k}" for k in ("provided", "geocoded", "failed", "insufficient_address")) + " FROM g"
 SQL["qa_summary"] = f"""WITH y AS ({SQL['clean_years']}), c AS ({SQL['clean_currency']}), j AS (SELECT y.issues AS yi, c.issues AS ci, c.Currency_Conflicts AS k FROM y JOIN c USING (row_index)),
 n AS (SELECT count(*) AS r, count_if(k) AS x, count_if(yi <> '') AS b, count_if(yi <> '' OR ci <> '') AS f, sum(CASE WHEN yi = '' THEN 0 ELSE 1 END + CASE WHEN ci = '' THEN 0 ELSE len(string_split(ci, '|')) END)::BIGINT AS t FROM j)

@@ -108,8 +108,8 @@ def mapping_conflicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def missing_required(s: SparkSession, d: str) -> DataFrame:
-    few = _headers(s, d).filter("source_col < 'col 2'")
-    return mapping.missing_required(few, s.createDataFrame([("C1",), ("C7",), ("Z9",)], "canonical string"), few)
+    headers = _headers(s, d)
+    return mapping.missing_required(headers, s.createDataFrame([("C1",), ("C7",), ("Z9",)], "canonical string"), headers)
 
 
 def clean_years(s: SparkSession, d: str) -> DataFrame:
@@ -175,6 +175,19 @@ def geocode_join(s: SparkSession, d: str) -> DataFrame:
     return address.geocode(rows, gazetteer).select("row_index", "Geocode_Status", "Latitude", "Longitude")
 
 
+def geocode_components(s: SparkSession, d: str) -> DataFrame:
+    nation = s.read.parquet(f"{d}/nation.parquet")
+    gazetteer = nation.filter("n_nationkey % 2 = 0").selectExpr(
+        "lower(n_name) AS address_key", "n_nationkey + 10.25D AS lat", "n_nationkey - 60.5D AS lon", "0.9D AS confidence", "CASE WHEN n_nationkey % 4 = 0 THEN 'Place Street 5' END AS street", "concat('Town ', n_nationkey) AS city",
+        "CASE WHEN n_nationkey % 4 = 0 THEN 'TX' WHEN n_nationkey % 8 = 2 THEN 'ZZ' END AS state_code", "concat('1000', n_nationkey) AS postcode", "CASE WHEN n_nationkey % 4 = 0 THEN 'US' END AS country",
+    )
+    rows = s.read.parquet(f"{d}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "c_custkey AS row_index", "CASE WHEN c_custkey % 10 = 0 THEN '' ELSE n_name END AS CombinedAddress", "CASE WHEN c_custkey % 3 <> 0 THEN concat(c_name, ', Town ', n_nationkey, ', 1000', n_nationkey) END AS Street",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Own City' END AS City", "'CA' AS State", "'99999' AS PostalCode", "n_name AS CountryISO", "CASE WHEN c_custkey % 7 = 0 THEN '12.5' END AS Latitude", "'7' AS Longitude",
+    )
+    return address.geocode(rows, gazetteer).select("row_index", "Geocode_Status", "Street", "City", "State", "PostalCode", "CountryISO", "Latitude", "Longitude", "Geo_Confidence", "StateCodeValidation")
+
+
 def geocode_outcomes(s: SparkSession, d: str) -> DataFrame:
     return address.geocode_counts(geocode_join(s, d))
 

@@ -235,3 +235,32 @@ def test_exceedance_curve(spark):
     losses = spark.createDataFrame([(y, float(y)) for y in range(1, 101)] + [(100, 5.0)], "year int, loss double")
     out = {(r["curve"], r["return_period"]): r["loss_amount"] for r in portfolio.exceedance_curve(losses, 100).collect()}
     assert out[("oep", 10)] == 91.0 and out[("aep", 100)] == 105.0
+
+
+def test_lookup_tables_are_whole(spark):
+    """Every entry of the address tables, and texts that a shorter table would answer wrongly."""
+    def of(make, texts):
+        return [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", make(F.col("c")).alias("v")).orderBy("i").select("v").collect()]
+
+    assert of(address.country, [*address.COUNTRIES, *address.ALPHA3]) == [*address.COUNTRIES.values(), *address.ALPHA3.values()]
+    assert of(address.country, ["Austria", "Hong Kong", "U.A.E.", "Korea", "Atlantis", "XYZ", None]) == ["AT", "HK", "AE", "KR", "AT", "XYZ", None]
+    us = lambda c: address.state(c, F.lit("US"))
+    assert of(us, list(address.STATES)) == list(address.STATES.values())
+    assert of(us, ["D.C.", "Washington DC", "n.y.", "Okla", "Guam", "QQ"]) == ["DC", "DC", "NY", "OK", "GU", None]
+    assert of(address.city, ["W Palm Beach", "Pt Arthur", "St. Louis", "ft worth"]) == ["W Palm Beach", "Point Arthur", "Saint Louis", "Fort Worth"]
+    assert of(address.street, [f"5 Oak {w}" for w in address.STREET_WORDS]) == [f"5 Oak {v}" for v in address.STREET_WORDS.values()]
+
+
+def test_words_of_cells(spark):
+    rows = [("wet pipe", "triple", "AED"), ("no sprinkler", "dual buildings", "THB"), ("full", "eleven", "ILS"), ("dry", "twenty-one", "XXX")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_index int, SprinklerSystem string, RiskCount string, Currency string")
+    got = cleaning.clean_currency(cleaning.clean_count(cleaning.clean_sprinkler(df))).orderBy("row_index").select("SprinklerSystem", "RiskCount", "Currency").collect()
+    assert [tuple(r) for r in got] == [(1, 3, "AED"), (0, 2, "THB"), (None, None, "ILS"), (1, 21, None)]
+    only = cleaning.clean_currency(df.select("row_index", "Currency"), ("AED",)).filter("Currency is not null").collect()
+    assert [r["Currency"] for r in only] == ["AED"]
+
+
+def test_serial_numbers_in_many_ranges(spark):
+    df = spark.createDataFrame([(i, "p" if i % 3 else None) for i in range(400)], "row_index bigint, PolicyID string")
+    got = {r["row_index"]: r["LocationID"] for r in identity.serial_numbers(df, range_rows=5).collect()}
+    assert [got[i] for i in range(400) if i % 3] == list(range(1, 267)) and [got[i] for i in range(0, 400, 3)] == list(range(1, 135))
