@@ -85,7 +85,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     )
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / capacity).cast("int") - 1, F.lit(0)))))
     items = items.withColumn("size", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity))
-    shards = max(1, -(-docs.count() // SHARD_ITEMS))
+    # a piece has `capacity` words, which take two bytes each at least: no shard is dealt more than SHARD_ITEMS on average
+    most = docs.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) / (2 * capacity)))).first()[0] or 0
+    shards = max(1, -(-most // SHARD_ITEMS))
     # the salt spreads repeated rows; full pieces need no search but count as items
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int"))
 
