@@ -28,8 +28,12 @@ def add_flags(df: DataFrame, *flags: Column) -> DataFrame:
 
 
 def flags_table(df: DataFrame) -> DataFrame:
-    """One row per flag."""
-    return df.select(F.inline("flags"))
+    """One row per flag.
+
+    Rows without flags are dropped after the explosion: to drop them before, Spark would copy all that makes the flags into
+    a filter of its own.
+    """
+    return df.select(F.explode_outer("flags").alias("f")).filter("f is not null").select("f.*")
 
 
 def drop_flags(flags: DataFrame, done: DataFrame) -> DataFrame:
