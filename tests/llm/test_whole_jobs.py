@@ -73,3 +73,15 @@ def test_passages_of_many_texts_of_one_id(spark, settings, monkeypatch):
     _, texts, size = passages.named(docs)
     longest = max(len(t) for _, t in rows)
     assert all(len(r["gone"]) == len(set(r["gone"])) <= longest for r in passages.removals(texts, passages.squeezed(texts), size).collect())
+
+
+def test_passages_of_thousands_of_texts_without_id(spark):
+    """5,000 texts with null doc_id and 2,000 of one doc_id, all with a passage of document 1: only that passage goes."""
+    rng = random.Random(9)
+    shared = "".join(rng.choices("abcdefgh ", k=60))
+    edge = lambda i: "%" if i < 5000 else "#"  # noqa: E731  what surrounds the passage differs between the ids
+    rows = [(1, shared), *((None if i < 5000 else 7, f"{i:07d}{rng.getrandbits(100):030d}{edge(i)}{shared}{edge(i)}{rng.getrandbits(90):028d}") for i in range(7000))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"] or 0, r["n_removed"], r["kept_sha256"]) for r in passages.passage_digests(docs).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 0, sha(shared)), *((i or 0, 60, sha(t.replace(shared, ""))) for i, t in rows[1:])])
