@@ -401,7 +401,11 @@ def stream_clean(s: SparkSession, d: str) -> DataFrame:
     """Events streamed file by file through the money job; what the stream wrote is returned."""
     from sovara.streaming.ingest import start_append
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not s.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     root = f"{base.rstrip('/')}/stream-{s.sql('select uuid()').first()[0]}"
     schema = s.read.parquet(f"{d}/events.parquet").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
