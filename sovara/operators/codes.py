@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sovara.functions.text import blank_to_null, expand_words, simplify
+from sovara.rules import Rules
 
 # Labels, classes and tokens that the results depend on.
 ATC_SCHEMES = ("ATC", "ATC_CLASS", "ATC_OCC", "OCCTYPE", "OCC_TYPE", "RMS", "RMS_OCC", "RMS_OCC_CODE", "RMSATC")
@@ -199,15 +200,20 @@ def tfidf_confidence(similarity: Column) -> Column:
     return F.when(similarity >= 0.65, 0.68).when(similarity >= 0.45, 0.58).when(similarity >= 0.25, 0.48).otherwise(0.40)
 
 
-def cascade(pairs: DataFrame, stages: list[DataFrame], default: str = "100", threshold: float = 0.0) -> DataFrame:
+def confident(stage: DataFrame, rules: Rules) -> DataFrame:
+    """Hits of a stage that reach the rules' threshold for their method; exact look-ups have none."""
+    least = F.when(F.col("method").isin("conflict", "keywords"), rules.deterministic_score_threshold).when(F.col("method") == "tfidf", rules.tfidf_confidence_threshold).otherwise(0.0)
+    return stage.filter(F.col("confidence") >= least)
+
+
+def cascade(pairs: DataFrame, stages: list[DataFrame], default: str = "100", rules: Rules | None = None) -> DataFrame:
     """Of the stages (each scheme, value, code, confidence, method, scheme_override), the first with a hit per pair; else the default.
 
-    Hits under the threshold give way to later stages but still come before the default.
+    With rules, a hit under the threshold of its method is none: later stages are asked, and at last the default holds.
     """
     columns = ["scheme", "value", "code", "confidence", "method", "scheme_override"]
-    union = reduce(DataFrame.unionByName, [s.select(*columns, F.lit(i).alias("stage")) for i, s in enumerate(stages)])
-    low = F.col("confidence") < threshold
-    first = union.groupBy("scheme", "value").agg(F.min_by(F.struct("code", "confidence", "method", "scheme_override"), F.struct(low, F.when(low, -F.col("confidence")).otherwise(F.lit(0.0)), "stage", "code")).alias("hit"))
+    union = reduce(DataFrame.unionByName, [(s if rules is None else confident(s, rules)).select(*columns, F.lit(i).alias("stage")) for i, s in enumerate(stages)])
+    first = union.groupBy("scheme", "value").agg(F.min_by(F.struct("code", "confidence", "method", "scheme_override"), F.struct("stage", "code")).alias("hit"))
     rows = pairs.join(first, ["scheme", "value"], "left")
     return rows.select(*pairs.columns, F.coalesce("hit.code", F.lit(default)).alias("code"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("hit.method", F.lit("default")).alias("method"), F.col("hit.scheme_override").alias("scheme_override"))
 

@@ -180,3 +180,10 @@ SELECT scheme, value, CASE WHEN lower(value) = 'furniture' THEN CASE WHEN contai
 SQL["dict_upsert"] = """WITH e AS (SELECT p_name AS code, min(p_type) AS d FROM part GROUP BY 1), c AS (SELECT DISTINCT n AS code FROM (SELECT p_brand, max(p_name) AS n FROM part WHERE p_size > 45 GROUP BY 1))
 SELECT code, CASE WHEN c.code IS NOT NULL THEN 'new' ELSE d END AS description, CASE WHEN c.code IS NOT NULL THEN 'k' ELSE d END AS keywords FROM e FULL JOIN c USING (code) WHERE code NOT IN (SELECT p_name FROM part WHERE p_size = 1)"""
 SQL["remembered_headers"] = f"WITH {_MEMORY}, h AS (SELECT DISTINCT 'USER-' || (c_custkey % 400) AS source_col FROM customer) SELECT source_col, canonical, CASE WHEN canonical IS NOT NULL THEN 1.0 END AS score FROM h LEFT JOIN m ON m.source_col_normalized = replace(lower(source_col), '-', ' ')"
+SQL["cascade_thresholds"] = f"""{_CASCADE}, t AS (SELECT *, method = 'conflict' AND confidence < 0.85 AS low FROM c)
+SELECT scheme, value, rows, CASE WHEN low THEN '100' ELSE code END AS code, CASE WHEN low THEN 0.0 ELSE confidence END::DOUBLE AS confidence, CASE WHEN low THEN 'default' ELSE method END AS method FROM t"""
+SQL["dict_keywords"] = "SELECT p_partkey::VARCHAR AS code, replace(p_type, ' ', '|') || CASE WHEN p_size < 10 THEN '|' || p_brand ELSE '' END AS keywords FROM part"
+SQL["dict_first_category"] = "SELECT code, category, description FROM (SELECT p_brand AS code, p_type AS category, p_name AS description, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_type, p_name) AS n FROM part) WHERE n = 1"
+SQL["dict_aliases"] = "SELECT p_type AS section, p_brand AS code, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS aliases FROM part GROUP BY 1, 2"
+SQL["dict_sections"] = "WITH s AS (SELECT p_partkey, ['roof_cover', 'wall_type', 'rms_roofsys', 'rms_cladsys', 'foundation_type', 'soft_story', 'other'][p_partkey % 7 + 1] AS section FROM part) SELECT * FROM s WHERE section LIKE 'rms%' OR section IN ('foundation_type', 'soft_story')"
+SQL["memory_forget"] = f"WITH {_MEMORY} SELECT * FROM m WHERE source_col_normalized <> 'user 7'"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, normalize, portfolio, review
 from sovara.flags import drop_flags, flags_table
 from sovara.plans.exposure import exposure
-from sovara.rules import Rules
+from sovara.rules import PRESETS, Rules
 from sovara.streaming.ingest import clean_stream
 
 RULES = Rules(max_building_value=400_000)
@@ -223,17 +223,21 @@ def conflict_rules(s: SparkSession, d: str) -> DataFrame:
     return codes.by_conflict(_pairs(s, d)).select("scheme", "value", "code", "confidence")
 
 
-def _cascade(s: SparkSession, d: str) -> DataFrame:
+def _cascade(s: SparkSession, d: str, rules: Rules | None = None) -> DataFrame:
     pairs = _pairs(s, d)
     iso = codes.by_class(pairs, s.createDataFrame(ISO, CLASS), codes.is_iso(F.col("scheme"), F.col("value")), "iso_direct")
     rms = codes.by_class(pairs, s.createDataFrame(RMS, CLASS), F.col("scheme").isin(*codes.RMS_SCHEMES), "rms_direct", 0.98)
-    return codes.cascade(pairs, [iso, rms, codes.by_conflict(pairs)])
+    return codes.cascade(pairs, [iso, rms, codes.by_conflict(pairs)], rules=rules)
 
 
 def cascade_default(s: SparkSession, d: str) -> DataFrame:
     return _cascade(s, d).select("scheme", "value", "rows", "code", "confidence", "method")
 
 
+def cascade_thresholds(s: SparkSession, d: str) -> DataFrame:
+    return _cascade(s, d, PRESETS["Balanced"]).select("scheme", "value", "rows", "code", "confidence", "method")
+
+
 def enrich_codes(s: SparkSession, d: str) -> DataFrame:
     return codes.enrich(exposure(s, d), _cascade(s, d), "const_scheme", "construction", "Construction").select("row_index", "Construction_Code", "Construction_Confidence", "Construction_Method", "Construction_Scheme")
 
@@ -296,6 +300,29 @@ def dict_clean_entries(s: SparkSession, d: str) -> DataFrame:
     return dictionary.clean_entries(new, part.filter("p_size < 20").select("code", F.col("p_type").alias("description")))
 
 
+def dict_keywords(s: SparkSession, d: str) -> DataFrame:
+    part = s.read.parquet(f"{d}/part.parquet")
+    entries = part.select(F.col("p_partkey").cast("string").alias("code"), F.split("p_type", " ").alias("keywords"))
+    more = part.filter("p_size < 10").select(F.col("p_partkey").cast("string").alias("code"), F.array(F.substring_index("p_type", " ", 1), "p_brand").alias("keywords"))
+    return dictionary.add_keywords(entries, more).select("code", F.array_join("keywords", "|").alias("keywords"))
+
+
+def dict_first_category(s: SparkSession, d: str) -> DataFrame:
+    part = s.read.parquet(f"{d}/part.parquet")
+    return dictionary.first_category(part.select(F.col("p_brand").alias("code"), F.col("p_size").alias("priority"), F.col("p_type").alias("category"), F.col("p_name").alias("description")))
+
+
+def dict_aliases(s: SparkSession, d: str) -> DataFrame:
+    part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("section"), F.col("p_brand").alias("code"), F.col("p_name").alias("alias"))
+    return dictionary.aliases_of(part).select("section", "code", F.array_join("aliases", "|").alias("aliases"))
+
+
+def dict_sections(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("roof_cover", "wall_type", "rms_roofsys", "rms_cladsys", "foundation_type", "soft_story", "other")))
+    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 7 + 1).cast("int")).alias("section"))
+    return dictionary.section_filter(part, "RMS")
+
+
 def dict_upload_errors(s: SparkSession, d: str) -> DataFrame:
     part = s.read.parquet(f"{d}/part.parquet").select(F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).alias("Code"), F.when(F.col("p_partkey") % 7 > 0, F.col("p_name")).alias("Description"), F.regexp_replace("p_type", " ", "; ").alias("Keywords"))
     return dictionary.validate_upload(part).groupBy(F.array_join("errors", "|").alias("errors")).agg(F.count("*").alias("entries"), F.sum(F.size("keywords")).alias("keywords"))
@@ -307,6 +334,10 @@ def memory_upsert(s: SparkSession, d: str) -> DataFrame:
     return mapping.upsert_memory(None, confirmed)
 
 
+def memory_forget(s: SparkSession, d: str) -> DataFrame:
+    return mapping.forget(memory_upsert(s, d), F.lit("USER-7"), "AIR")
+
+
 def memory_stats(s: SparkSession, d: str) -> DataFrame:
     return mapping.memory_statistics(memory_upsert(s, d))
 

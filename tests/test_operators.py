@@ -264,3 +264,15 @@ def test_serial_numbers_in_many_ranges(spark):
     df = spark.createDataFrame([(i, "p" if i % 3 else None) for i in range(400)], "row_index bigint, PolicyID string")
     got = {r["row_index"]: r["LocationID"] for r in identity.serial_numbers(df, range_rows=5).collect()}
     assert [got[i] for i in range(400) if i % 3] == list(range(1, 267)) and [got[i] for i in range(0, 400, 3)] == list(range(1, 135))
+
+
+def test_cascade_takes_confident_hits(spark):
+    pairs = table(spark, ["scheme", "value"], [("", "brick"), ("", "wood"), ("", "tile"), ("", "mud")])
+    hit = "scheme string, value string, code string, confidence double, method string, scheme_override string"
+    rules = spark.createDataFrame([("", "brick", "119", 0.70, "conflict", None), ("", "wood", "101", 0.85, "conflict", None)], hit)
+    near = spark.createDataFrame([("", "brick", "103", 0.58, "tfidf", None), ("", "tile", "104", 0.48, "tfidf", None), ("", "wood", "999", 0.68, "tfidf", None)], hit)
+    got = lambda rules_: {r["value"]: (r["code"], r["confidence"], r["method"]) for r in codes.cascade(pairs, [rules, near], rules=rules_).collect()}
+    assert got(PRESETS["Balanced"]) == {"brick": ("103", 0.58, "tfidf"), "wood": ("101", 0.85, "conflict"), "tile": ("100", 0.0, "default"), "mud": ("100", 0.0, "default")}
+    assert got(PRESETS["Permissive"])["brick"] == ("119", 0.70, "conflict")
+    assert got(PRESETS["Conservative"]) == {v: ("100", 0.0, "default") for v in ("brick", "tile", "mud")} | {"wood": ("999", 0.68, "tfidf")}
+    assert got(None)["tile"] == ("104", 0.48, "tfidf")
