@@ -187,3 +187,11 @@ SQL["dict_first_category"] = "SELECT code, category, description FROM (SELECT p_
 SQL["dict_aliases"] = "SELECT p_type AS section, p_brand AS code, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS aliases FROM part GROUP BY 1, 2"
 SQL["dict_sections"] = "WITH s AS (SELECT p_partkey, ['roof_cover', 'wall_type', 'rms_roofsys', 'rms_cladsys', 'foundation_type', 'soft_story', 'other'][p_partkey % 7 + 1] AS section FROM part) SELECT * FROM s WHERE section LIKE 'rms%' OR section IN ('foundation_type', 'soft_story')"
 SQL["memory_forget"] = f"WITH {_MEMORY} SELECT * FROM m WHERE source_col_normalized <> 'user 7'"
+SQL["tfidf_topk"] = r"""WITH w AS (SELECT code, word, count(*) AS tf FROM (SELECT item_id::VARCHAR AS code, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM benchmark) WHERE length(word) > 1 GROUP BY 1, 2),
+i AS (SELECT word, ln(((SELECT count(DISTINCT item_id) FROM benchmark) + 1) / (count(*) + 1)) + 1 AS idf FROM w GROUP BY 1),
+c AS (SELECT code, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY code)) AS w FROM w JOIN i USING (word)),
+q AS (SELECT text, word, count(*) AS tf FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM (SELECT DISTINCT text FROM conversations)) WHERE length(word) > 1 GROUP BY 1, 2),
+t AS (SELECT text, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY text)) AS w FROM q JOIN i USING (word)),
+n AS (SELECT text, code, round(sum(t.w * c.w), 6) AS similarity FROM t JOIN c USING (word) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY similarity DESC, code) AS rank FROM n WHERE similarity > 0.1)
+SELECT text, code, similarity, rank::INT AS rank, CASE WHEN similarity >= 0.65 THEN 0.68 WHEN similarity >= 0.45 THEN 0.58 WHEN similarity >= 0.25 THEN 0.48 ELSE 0.40 END::DOUBLE AS confidence FROM r WHERE rank <= 3"""
