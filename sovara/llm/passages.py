@@ -204,6 +204,7 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def flush(held):
         h, f, doc, row, at, sides = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()  # what follows copies the columns several times; the pieces need not stay beside them
         order, repeats, several = settle(h, f, doc, at)
         h, f, doc, row, at, sides = (x[order] for x in (h, f, doc, row, at, sides))
         # differs between batches also where all rows have one id
