@@ -9,6 +9,9 @@ also occurs in an earlier document is removed as a whole at once, first within a
 that very many documents share is one entry a batch. Of an anchor that several documents share with different fragments,
 the remaining occurrences (leaders) go on.
 
+A bucket is compared as a stream that is thinned on the way, so what a task holds does not grow with the number of entries of one
+anchor.
+
 A leader goes on only if it can share a string with another one: a string around an anchor has half of its other bytes on
 one side at least, so a few bits of a hash of those bytes on either side must agree.
 
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +50,8 @@ ANCHOR = 16
 FLUSH, BUCKET_BYTES, BLOCK_BYTES, BLOCK_LEADERS = 300_000, 6 << 20, 1 << 19, 4000
 #: Occurrences of one anchor in a batch that go to its bucket; the rest are leaders without further comparison.
 SENT = 16
+#: Entries of a bucket that a Python worker holds before it thins them.
+HELD = 600_000
 #: Most repeated doc_ids that are broadcast; beyond that every row is named by a hash of its text.
 REPEATED_IDS = 100_000
 #: Starts hashed at once.
@@ -168,20 +174,46 @@ def unplanes(blobs: list[bytes], columns: int) -> list[np.ndarray]:
     return [np.concatenate([np.ascontiguousarray(p[c].T).view(np.int64).ravel() for p in parts]) if parts else np.zeros(0, np.int64) for c in range(columns)]
 
 
-def settle(h: np.ndarray, f: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (anchor, fragment, doc); whether an entry repeats a fragment of an earlier document; whether its anchor has several documents."""
+def settle(h: np.ndarray, f: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (anchor, fragment, doc); whether an entry repeats a fragment of an earlier document; whether its anchor has several texts."""
     order = np.lexsort((at, doc, f, h))
-    h, f, doc = h[order], f[order], doc[order]
+    h, f, doc, row = h[order], f[order], doc[order], row[order]
     if not len(h):
         return order, np.zeros(0, bool), np.zeros(0, bool)
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
     earliest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
     anchor = np.concatenate([[True], h[1:] != h[:-1]])
     start = np.flatnonzero(anchor)
-    several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+    several = (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)) | (np.minimum.reduceat(row, start) < np.maximum.reduceat(row, start))
     return order, doc > earliest, several[np.cumsum(anchor) - 1]
 
 
+def thin(entries: list[np.ndarray], sent: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of entries (anchor, fragment, doc, row, at, mark): those left, in order; settled removals (doc, row, at); leaders (anchor,
+    doc, row, at). The first `sent` of an anchor are left, marked by the lowest bit if others of it are leaders; the list given
+    is used up."""
+    order, repeats, several = settle(*entries[:5])
+    for i, column in enumerate(entries):
+        entries[i] = column[order]
+    gone = [entries[i][repeats] for i in (2, 3, 4)]
+    if repeats.any():
+        several = several[~repeats]
+        for i, column in enumerate(entries):
+            entries[i] = column[~repeats]
+    h = entries[0]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    which = np.cumsum(new) - 1
+    # of an anchor with many entries the first ones are compared; the others are leaders whatever comes of those
+    beyond = (np.arange(len(h)) - np.flatnonzero(new)[which] >= sent) & several
+    crowded = (np.bincount(which, beyond) > 0)[which]
+    lead = [entries[i][beyond] for i in (0, 2, 3, 4)]
+    entries[5] = entries[5] | crowded
+    if beyond.any():
+        for i, column in enumerate(entries):
+            entries[i] = column[~beyond]
+    return entries, gone, lead
+
+
 def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a key has several documents."""
     if not len(key):
@@ -203,31 +235,23 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
     """Rows of (bucket, kind, data): kind 0 entries to compare, 1 settled removals, 2 leaders."""
 
     def flush(held):
-        h, f, doc, row, at, sides = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()  # what follows copies the columns several times; the pieces need not stay beside them
-        order, repeats, several = settle(h, f, doc, at)
-        h, f, doc, row, at, sides = (x[order] for x in (h, f, doc, row, at, sides))
+        entries = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()  # what follows copies the columns; the pieces need not stay beside them
         # differs between batches also where all rows have one id
-        salt = -1 - int(np.bitwise_xor.reduce(mix((doc ^ row ^ at).view(np.uint64)) ^ f, initial=np.uint64(0)) % np.uint64(buckets))
-        if repeats.any():
-            yield salt, 1, planes(doc[repeats], row[repeats], at[repeats])
-        h, f, doc, row, at, sides, several = (x[~repeats] for x in (h, f, doc, row, at, sides, several))
-        # of an anchor with many entries the first ones are compared; the others are leaders whatever comes of those
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        which = np.cumsum(new) - 1
-        beyond = (np.arange(len(h)) - np.flatnonzero(new)[which] >= SENT) & several
-        crowded = (np.bincount(which, beyond) > 0)[which]
-        if beyond.any():
-            yield salt, 2, planes(_name(h[beyond], buckets), doc[beyond], row[beyond], at[beyond])
-        h, f, doc, row, at, sides, crowded = (x[~beyond] for x in (h, f, doc, row, at, sides, crowded))
+        salt = -1 - int(np.bitwise_xor.reduce(mix((entries[2] ^ entries[3] ^ entries[4]).view(np.uint64)) ^ entries[1], initial=np.uint64(0)) % np.uint64(buckets))
+        entries, gone, lead = thin(entries, SENT)
+        if len(gone[0]):
+            yield salt, 1, planes(*gone)
+        if len(lead[0]):
+            yield salt, 2, planes(_name(lead[0], buckets), *lead[1:])
+        h, f, doc, row, at, mark = entries
         name = _name(h, buckets)
         # document order, in which ids and places compress best
         order = np.lexsort((at, row, doc, name % buckets))
-        name, f, doc, row, at, sides, crowded = (x[order] for x in (name, f, doc, row, at, sides, crowded))
-        mark, f = (sides << 1) | crowded, f.view(np.int64)
+        name, f, doc, row, at, mark = (x[order] for x in (name, f.view(np.int64), doc, row, at, mark))
         found, edge = np.unique(name % buckets, return_index=True)
         for b, s, e in zip(found.tolist(), edge.tolist(), [*edge[1:].tolist(), len(name)], strict=True):
-            yield b, 0, planes(name[s:e] // buckets, mark[s:e], f[s:e], doc[s:e], row[s:e], at[s:e])
+            yield b, 0, planes(name[s:e] // buckets, f[s:e], doc[s:e], row[s:e], at[s:e], mark[s:e])
 
     def rows(held):
         out = list(flush(held))
@@ -240,7 +264,7 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
             data = [t or b"" for t in batch.column("data").to_pylist()]
             names = np.array([variant_of(r, t) for r, t in zip(row.tolist(), data, strict=True)], np.int64)
             for who, h, f, start, count, before, after in batch_anchors(data, least):
-                held.append((h, f, ids[who], row[who], pack(names[who], start, count), before << 12 | after))
+                held.append((h, f, ids[who], row[who], pack(names[who], start, count), (before << 12 | after) << 1))
                 n += len(h)
             if n >= FLUSH:
                 yield rows(held)
@@ -252,35 +276,53 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
 
 
 def _compare(buckets: int):
-    """Of a bucket: settled removals (doc_id, row, at) and leaders, which have an anchor h too."""
+    """Of a bucket: settled removals (doc_id, row, at) and leaders, which have an anchor h too.
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True))
-        h, mark, f, doc, row, at = unplanes([d for k, d in rows if k == 0], 6)
-        gone, lead = unplanes([d for k, d in rows if k == 1], 3), unplanes([d for k, d in rows if k == 2], 4)
-        del rows
-        order, repeats, _ = settle(h, f, doc, at)
+    A bucket comes in batches. Whenever it has more than HELD entries, or twice what was left the last time, they are thinned:
+    what is held depends on the number of anchors in the bucket, not on how often one occurs.
+    """
+    names = ["doc_id", "row", "at", "h"]
+
+    def found(gone, lead, bucket):
+        columns = [pa.array(np.concatenate([x, y]), pa.int64()) for x, y in zip(gone, lead[1:], strict=True)]
+        anchor = pa.array(lead[0] * buckets + bucket if bucket >= 0 else lead[0], pa.int64())
+        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(gone[0]), pa.int64()), anchor])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most, bucket = [], 0, HELD, -1
+        nothing = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            bucket = batch.column("bucket")[0].as_py()
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                columns = unplanes([data.as_buffer()], (6, 3, 4)[kind])
+                if kind:
+                    yield found(columns, nothing, bucket) if kind == 1 else found(nothing[1:], columns, bucket)
+                    continue
+                held.append(columns)
+                n += len(columns[0])
+                if n > most:
+                    entries = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held.clear()
+                    entries, gone, lead = thin(entries, SENT)
+                    yield found(gone, lead, bucket)
+                    held, n = [entries], len(entries[0])
+                    most = max(HELD, 2 * n)
+        if not held:
+            return
+        h, f, doc, row, at, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order, repeats, _ = settle(h, f, doc, row, at)
         del f
         h, doc, row, at, mark = (x[order] for x in (h, doc, row, at, mark))
-        out = [[x, y] for x, y in zip(gone, lead[1:], strict=True)]
-        anchor = [lead[0]]
-        if len(h):
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            start = np.flatnonzero(new)
-            # others of a crowded anchor were kept by a batch; else another leader must agree on one side
-            on = ~repeats & (np.bitwise_or.reduceat(mark & 1, start) > 0)[np.cumsum(new) - 1]
-            left = np.flatnonzero(~repeats)
-            for side in (mark >> 13, (mark >> 1) & 4095):
-                own = left[side[left] > 0]
-                on[own[_shared(h[own] << 12 | side[own], doc[own])]] = True
-            for own, x in zip(out, (doc, row, at), strict=True):
-                own[:] = [np.concatenate([own[0], x[repeats]]), own[1], x[on]]
-            anchor.append(h[on] * buckets + bucket)
-        anchor = np.concatenate(anchor)
-        columns = {name: pa.array(np.concatenate(own), pa.int64()) for name, own in zip(("doc_id", "row", "at"), out, strict=True)}
-        columns["h"] = pa.concat_arrays([pa.nulls(len(out[0][0]), pa.int64()), pa.array(anchor, pa.int64())])
-        return pa.table(columns)
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        start = np.flatnonzero(new)
+        # others of a crowded anchor were kept by a batch; else another leader must agree on one side
+        on = ~repeats & (np.bitwise_or.reduceat(mark & 1, start) > 0)[np.cumsum(new) - 1]
+        left = np.flatnonzero(~repeats)
+        for side in (mark >> 13, (mark >> 1) & 4095):
+            own = left[side[left] > 0]
+            on[own[_shared(h[own] << 12 | side[own], doc[own])]] = True
+        yield found([x[repeats] for x in (doc, row, at)], [x[on] for x in (h, doc, row, at)], bucket)
 
     return run
 

@@ -35,7 +35,7 @@ def test_url_rules_stay_open_over_several_ranges(spark, conf, coalesce):
     assert [(r["rule"], r["verdict"], r["count"]) for r in got.groupBy("rule", "verdict").count().collect()] == [("com/", "block", 4000)]
 
 
-@pytest.mark.parametrize("settings", [{}, {"REPEATED_IDS": 0}, {"SENT": 1, "BLOCK_LEADERS": 1, "FLUSH": 50}])
+@pytest.mark.parametrize("settings", [{}, {"REPEATED_IDS": 0}, {"SENT": 1, "BLOCK_LEADERS": 1, "FLUSH": 50}, {"SENT": 2, "FLUSH": 50, "HELD": 30}])
 def test_passages_of_many_texts_of_one_id(spark, settings, monkeypatch):
     """Texts of null or one repeated doc_id, some of which agree in 18 bits of crc32, and many copies."""
     for name, value in settings.items():
