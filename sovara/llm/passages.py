@@ -188,18 +188,22 @@ def settle(h: np.ndarray, f: np.ndarray, doc: np.ndarray, row: np.ndarray, at: n
     return order, doc > earliest, several[np.cumsum(anchor) - 1]
 
 
+def _reorder(columns: list[np.ndarray], by: np.ndarray) -> None:
+    """Takes rows of all columns, in place of the list, so that one column at a time is there twice."""
+    for i in range(len(columns)):
+        columns[i] = columns[i][by]
+
+
 def thin(entries: list[np.ndarray], sent: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Of entries (anchor, fragment, doc, row, at, mark): those left, in order; settled removals (doc, row, at); leaders (anchor,
     doc, row, at). The first `sent` of an anchor are left, marked by the lowest bit if others of it are leaders; the list given
     is used up."""
     order, repeats, several = settle(*entries[:5])
-    for i, column in enumerate(entries):
-        entries[i] = column[order]
+    _reorder(entries, order)
     gone = [entries[i][repeats] for i in (2, 3, 4)]
     if repeats.any():
         several = several[~repeats]
-        for i, column in enumerate(entries):
-            entries[i] = column[~repeats]
+        _reorder(entries, ~repeats)
     h = entries[0]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     which = np.cumsum(new) - 1
@@ -209,8 +213,7 @@ def thin(entries: list[np.ndarray], sent: int) -> tuple[list[np.ndarray], list[n
     lead = [entries[i][beyond] for i in (0, 2, 3, 4)]
     entries[5] = entries[5] | crowded
     if beyond.any():
-        for i, column in enumerate(entries):
-            entries[i] = column[~beyond]
+        _reorder(entries, ~beyond)
     return entries, gone, lead
 
 
@@ -236,7 +239,7 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def flush(held):
         entries = [np.concatenate(x) for x in zip(*held, strict=True)]
-        held.clear()  # what follows copies the columns; the pieces need not stay beside them
+        held.clear()  # what follows copies columns; the pieces need not stay beside them
         # differs between batches also where all rows have one id
         salt = -1 - int(np.bitwise_xor.reduce(mix((entries[2] ^ entries[3] ^ entries[4]).view(np.uint64)) ^ entries[1], initial=np.uint64(0)) % np.uint64(buckets))
         entries, gone, lead = thin(entries, SENT)
@@ -244,17 +247,31 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
             yield salt, 1, planes(*gone)
         if len(lead[0]):
             yield salt, 2, planes(_name(lead[0], buckets), *lead[1:])
-        h, f, doc, row, at, mark = entries
-        name = _name(h, buckets)
+        del gone, lead
+        entries[:2] = _name(entries[0], buckets), entries[1].view(np.int64)
         # document order, in which ids and places compress best
-        order = np.lexsort((at, row, doc, name % buckets))
-        name, f, doc, row, at, mark = (x[order] for x in (name, f.view(np.int64), doc, row, at, mark))
-        found, edge = np.unique(name % buckets, return_index=True)
-        for b, s, e in zip(found.tolist(), edge.tolist(), [*edge[1:].tolist(), len(name)], strict=True):
-            yield b, 0, planes(name[s:e] // buckets, f[s:e], doc[s:e], row[s:e], at[s:e], mark[s:e])
+        _, _, doc, row, at, _ = entries
+        order = np.lexsort((at, row, doc, entries[0] % buckets))
+        del doc, row, at
+        _reorder(entries, order)
+        found, edge = np.unique(entries[0] % buckets, return_index=True)
+        entries[0] //= buckets
+        for b, s, e in zip(found.tolist(), edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+            yield b, 0, planes(*(x[s:e] for x in entries))
 
     def rows(held):
-        out = list(flush(held))
+        # some rows at a time, so that not all packed columns are there beside the plain ones
+        out, size = [], 0
+        for r in flush(held):
+            out.append(r)
+            size += len(r[2])
+            if size >= 1 << 20:
+                yield batch_of(out)
+                out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "kind", "data"])
 
     def run(batches):
@@ -267,10 +284,10 @@ def _deal(texts: DataFrame, least: int, buckets: int) -> DataFrame:
                 held.append((h, f, ids[who], row[who], pack(names[who], start, count), (before << 12 | after) << 1))
                 n += len(h)
             if n >= FLUSH:
-                yield rows(held)
+                yield from rows(held)
                 held, n = [], 0
         if n:
-            yield rows(held)
+            yield from rows(held)
 
     return texts.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.col("text").cast("binary").alias("data")).mapInArrow(run, "bucket int, kind int, data binary")
 
