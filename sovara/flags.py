@@ -9,22 +9,19 @@ FLAG = "struct<row_index:bigint,field:string,issue:string,current_value:string,c
 
 
 def flag(when: Column, field: str, issue: str | Column, value: Column, message: str | Column = "") -> Column:
-    """The flag of a row where `when` holds, else null."""
+    """The flag of a row where `when` holds, else null: field, issue, value and message."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.when(
-        when,
-        F.struct(
-            F.col("row_index").cast("bigint").alias("row_index"), F.lit(field).alias("field"), text(issue).alias("issue"), value.cast("string").alias("current_value"),
-            F.lit(None).cast("double").alias("confidence"), F.array().cast("array<string>").alias("alternatives"), text(message).alias("message"),
-        ),
-    )
+    return F.when(when, F.array(F.lit(field), text(issue), value.cast("string"), text(message)))
 
 
 def add_flags(df: DataFrame, *flags: Column) -> DataFrame:
     """Appends the flags that are not null to the column `flags`, which is made if absent."""
-    new = F.filter(F.array(*flags), lambda x: x.isNotNull())
-    before = F.col("flags") if "flags" in df.columns else F.array().cast(f"array<{FLAG}>")
-    return df.withColumn("flags", F.concat(before, new))
+    before = F.col("flags") if "flags" in df.columns else F.expr(f"cast(array() as array<{FLAG}>)")
+    if not flags:
+        return df.withColumn("flags", before)
+    rows = df.withColumn("_flags", F.array_compact(F.array(*flags)))
+    whole = "named_struct('row_index', cast(row_index as bigint), 'field', f[0], 'issue', f[1], 'current_value', f[2], 'confidence', cast(null as double), 'alternatives', cast(array() as array<string>), 'message', f[3])"
+    return rows.withColumn("flags", F.concat(before, F.expr(f"transform(_flags, f -> {whole})"))).drop("_flags")
 
 
 def flags_table(df: DataFrame) -> DataFrame:

@@ -87,6 +87,26 @@ def common_length(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(F.split(a, ""), start, row), -1))
 
 
+#: Longest text whose places fit the bits of a bigint that additions do not overflow.
+MASK_LENGTH = 61
+
+
+def letter_masks(c: Column) -> Column:
+    """letter -> the places where it stands, as bits; null for texts longer than MASK_LENGTH."""
+    letters = F.split(c, "")
+    places = lambda x: F.aggregate(F.transform(letters, lambda y, i: F.when(y == x, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda m, bit: m.bitwiseOR(bit))
+    return F.when(F.length(c) <= MASK_LENGTH, F.map_from_entries(F.transform(F.array_distinct(letters), lambda x: F.struct(x, places(x)))))
+
+
+def masked_common_length(a: Column, masks: Column, length: Column) -> Column:
+    """common_length of a and a text of which masks and length are given: one step per letter of a, on all places at once."""
+    every = F.call_function("shiftleft", F.lit(1).cast("bigint"), length) - 1
+    hit = lambda x: F.coalesce(F.try_element_at(masks, x), F.lit(0).cast("bigint"))
+    step = lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(every)
+    left = F.aggregate(F.transform(F.split(a, ""), hit), every, step)
+    return F.when((F.length(a) == 0) | (length == 0), F.lit(0)).otherwise(length - F.bit_count(left))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Likeness from 0 to 100 of two texts with their words in order: 200 * common / (length + length)."""
     x, y = token_sort(a), token_sort(b)

@@ -1,6 +1,7 @@
 """Cleaning jobs over exposure tables: each takes and returns a DataFrame with a column `row_index` and gathers `flags`.
 
-Intermediate values are columns of one `select`, so each is computed once a row; helper columns are dropped at the end.
+A job has two parts. What a cell says is a Reading (see cells): it looks at the text alone, so equal texts need it once. What
+follows for the row, its columns and flags is decided by the job. A job reads in place unless the results are there already.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 
 from sovara.flags import add_flags, flag
 from sovara.functions.text import blank_to_null, first_filled, look_up, number, rewrite
+from sovara.operators.cells import Reading, Use, in_place
 from sovara.rules import Rules
 
 # Words and codes that the results depend on.
-ROOF_WORDS = r"\b(roofs?|electrical|plumb(ing)?|hvac|mechanical|cosmetic|interior|tenant|appraisal)\b"
-UPGRADE_WORDS = r"\b(upgrade[sd]?|renovat(e|ed|ion)?|retrofit(ted)?|rehab(bed)?|modernize[sd]?|code|reconstruct(ion|ed)?|rebuilt|reno|seismic(ally)?|update[sd]?)\b"
+ROOF_WORDS = "roof roofs electrical plumb plumbing hvac mechanical cosmetic interior tenant appraisal".split()
+UPGRADE_WORDS = (
+    "upgrade upgrades upgraded renovat renovate renovated renovation retrofit retrofitted rehab rehabbed modernize modernizes modernized code "
+    "reconstruct reconstruction reconstructed rebuilt reno seismic seismically update updates updated"
+).split()
 STORY_WORDS = {"single": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 WOOD_FRAME = ("101", "102", "103", "104", "105")
 COUNT_WORDS = {
@@ -52,110 +57,157 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(c, ",", "").try_cast("bigint")
 
 
+def _word(text: str, words: list[str]) -> Column:
+    return F.col(text).rlike(rf"\b({'|'.join(words)})\b")
+
+
+def _years_in_text(rows: DataFrame, rules: Rules) -> DataFrame:
+    rows = rows.withColumn("_years_text", F.lower(F.trim(F.concat_ws(" ", "_years_built", "_years_upgrade"))))
+    long = F.transform(F.regexp_extract_all("_years_text", F.lit(r"\b([12]\d{3})\b"), F.lit(1)), lambda y: y.cast("int"))
+    short = F.transform(F.regexp_extract_all("_years_text", F.lit(r"\b(\d{2})\b"), F.lit(1)), lambda y: y.cast("int") + F.when(y.cast("int") >= rules.year_pivot, 1900).otherwise(2000))
+    rows = rows.withColumn("_years", F.when(F.size(long) > 0, long).otherwise(short)).withColumn("_years", F.array_distinct(F.filter("_years", lambda y: y.between(rules.year_min, rules.year_max))))
+    rows = rows.withColumns({"_years_alpha": F.col("_years_text").rlike(r"\b(19|20)\d[a-z]\b"), "_years_first": F.array_min("_years"), "_years_last": F.array_max("_years"), "_years_found": F.size("_years")})
+    first = F.col("_years_first").cast("string")
+    only_upgrade = (F.col("_years_found") == 1) & ~F.col("_years_built").contains(first) & F.col("_years_upgrade").contains(first)
+    later = (F.col("_years_found") > 1) & (_word("_years_text", UPGRADE_WORDS) | ~_word("_years_text", ROOF_WORDS))
+    return rows.withColumns({"_years_good": ~F.col("_years_alpha") & (F.col("_years_found") > 0) & ~only_upgrade, "_years_later": later}).drop("_years", "_years_text")
+
+
+def years_use(df: DataFrame, rules: Rules) -> Use:
+    reading = Reading(f"years {rules.year_min} {rules.year_max} {rules.year_pivot}", ("_years_built", "_years_upgrade"), ("_years_alpha", "_years_first", "_years_last", "_years_found", "_years_good", "_years_later"), lambda rows: _years_in_text(rows, rules))
+    cell = lambda *names: F.coalesce(first_filled(*[_at(df, n) for n in names]), F.lit(""))
+    return Use(reading, (cell("YearBuilt", "YEARBUILT"), cell("YearRetrofitted", "YEARUPGRAD")))
+
+
 def clean_years(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
-    """Year built and year of the last structural upgrade, from free text in two cells."""
+    """Year built and year of the last structural upgrade, from free text in two cells.
+
+    A text without a valid year is blanked and flagged; by rules.invalid_year_action it is not flagged (`none`), or gets
+    year_default (`set_default`).
+    """
     built, upgrade = ("YearBuilt", "YearRetrofitted") if target == "AIR" else ("YEARBUILT", "YEARUPGRAD")
-    rows = df.withColumns({"_b": F.coalesce(first_filled(_at(df, "YearBuilt"), _at(df, "YEARBUILT")), F.lit("")), "_u": F.coalesce(first_filled(_at(df, "YearRetrofitted"), _at(df, "YEARUPGRAD")), F.lit(""))})
-    rows = rows.withColumn("_raw", F.trim(F.concat_ws(" ", "_b", "_u"))).withColumn("_t", F.lower("_raw"))
-    long = F.transform(F.regexp_extract_all("_t", F.lit(r"\b([12]\d{3})\b"), F.lit(1)), lambda y: y.cast("int"))
-    short = F.transform(F.regexp_extract_all("_t", F.lit(r"\b(\d{2})\b"), F.lit(1)), lambda y: y.cast("int") + F.when(y.cast("int") >= rules.year_pivot, 1900).otherwise(2000))
-    rows = rows.withColumn("_y", F.when(F.size(long) > 0, long).otherwise(short)).withColumn("_y", F.array_distinct(F.filter("_y", lambda y: y.between(rules.year_min, rules.year_max))))
-    rows = rows.withColumns({"_alpha": F.col("_t").rlike(r"\b(19|20)\d[a-z]\b"), "_min": F.array_min("_y"), "_max": F.array_max("_y"), "_n": F.size("_y")})
-    in_upgrade = ~F.col("_b").contains(F.col("_min").cast("string")) & F.col("_u").contains(F.col("_min").cast("string"))
-    good = ~F.col("_alpha") & (F.col("_n") > 0) & ~((F.col("_n") == 1) & in_upgrade)
-    later = (F.col("_n") > 1) & (F.col("_t").rlike(UPGRADE_WORDS) | ~F.col("_t").rlike(ROOF_WORDS))
-    rows = rows.withColumns({built: F.when(good, F.col("_min")), upgrade: F.when(good, F.when(later, F.col("_max")).otherwise(9999))})
-    rows = add_flags(rows, flag(F.col("_alpha"), built, "invalid_alpha_year", F.col("_raw"), "year with a letter"), flag((F.col("_raw") != "") & ~F.col("_alpha") & (F.col("_n") == 0), built, "unparseable_year", F.col("_raw"), "no valid year"))
-    return rows.drop("_b", "_u", "_raw", "_t", "_y", "_alpha", "_min", "_max", "_n")
+    use = years_use(df, rules)
+    rows = in_place(df, use).withColumn("_raw", F.trim(F.concat_ws(" ", *use.cells)))
+    good, bad = F.col("_years_good"), (F.col("_raw") != "") & (F.col("_years_alpha") | (F.col("_years_found") == 0))
+    default = (F.when(bad, rules.year_default), F.when(bad, 9999)) if rules.invalid_year_action == "set_default" else (F.lit(None).cast("int"),) * 2
+    rows = rows.withColumns({built: F.when(good, F.col("_years_first")).otherwise(default[0]), upgrade: F.when(good, F.when(F.col("_years_later"), F.col("_years_last")).otherwise(9999)).otherwise(default[1])})
+    flags = [flag(F.col("_years_alpha"), built, "invalid_alpha_year", F.col("_raw"), "year with a letter"), flag(bad & ~F.col("_years_alpha"), built, "unparseable_year", F.col("_raw"), "no valid year")]
+    return add_flags(rows, *([] if rules.invalid_year_action == "none" else flags)).drop("_raw", *use.results)
 
 
-def clean_stories(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
-    """Number of stories from free text; wood frames above the limit follow the rules."""
-    out, code = ("NumberOfStories", "ConstructionCode") if target == "AIR" else ("NUMSTORIES", "BLDGCLASS")
+def _stories_in_text(rows: DataFrame) -> DataFrame:
+    # the steps and their order are fixed: what a step leaves is what the next one sees
     sums = r"\d+(?:\.\d+)?(?:\s*\+\s*\d+(?:\.\d+)?)+"
     add = lambda run: F.concat(F.lit(" "), F.aggregate(F.split(run, r"\+"), F.lit(0.0), lambda a, x: a + F.trim(x).cast("double")).cast("string"), F.lit(" "))
-    rows = df.withColumn("_raw", first_filled(_at(df, "NumberOfStories"), _at(df, "NUMSTORIES"))).withColumn("_s", F.lower("_raw"))
-    rows = rows.withColumn("_t", rewrite(F.col("_s"), sums, add))
-    rows = rows.withColumn("_t", rewrite(F.col("_t"), r"\bg(?:round)?\s*\+\s*\d+\b", lambda g: F.concat(F.lit(" "), (F.regexp_extract(g, r"(\d+)", 1).cast("int") + 1).cast("string"), F.lit(" "))))
+    rows = rows.withColumn("_stories_left", rewrite(F.lower("_stories_text"), sums, add))
+    rows = rows.withColumn("_stories_left", rewrite(F.col("_stories_left"), r"\bg(?:round)?\s*\+\s*\d+\b", lambda g: F.concat(F.lit(" "), (F.regexp_extract(g, r"(\d+)", 1).cast("int") + 1).cast("string"), F.lit(" "))))
     low = r"mezzanine|mezz|basement|bsmt"
-    rows = rows.withColumns({"_low": F.col("_t").rlike(low), "_t": F.regexp_replace("_t", rf"(\+\s*)?\b(\d+\s+)?({low})\b", " ")})
-    rows = rows.withColumn("_t", F.regexp_replace("_t", r"\b(\d+)\s+(buildings?|bldgs?|structures?)\b", " "))
-    rows = rows.withColumn("_t", reduce(lambda t, w: F.regexp_replace(t, rf"\b{w}\b", str(STORY_WORDS[w])), STORY_WORDS, F.col("_t")))
-    rows = rows.withColumn("_n", F.regexp_extract_all(F.regexp_replace("_t", r"[-–/,(]+|\bto\b", " "), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)))
-    negative = F.col("_raw").rlike(r"^-\s*\d+(\.\d+)?$")
-    found = F.col("_raw").isNotNull() & ~negative & (F.size("_n") > 0)
-    rows = rows.withColumn(out, F.when(found, F.array_max(F.transform("_n", lambda x: F.ceil(x.cast("double")))).cast("int")))
-    summed = F.col("_raw").contains("+") & (F.size("_n") == 1) & (F.trim("_t") != F.col("_raw"))
-    how = F.when(summed, "summed_stories").when(F.size("_n") > 1, "multiple_story_values").when(F.exists("_n", lambda x: x.contains(".")), "decimal_stories")
-    over = found & (F.col(out) > rules.max_stories_wood_frame) & F.coalesce(_at(df, "ConstructionCode"), _at(df, "BLDGCLASS")).isin(*WOOD_FRAME)
-    rows = rows.withColumn("_over", F.coalesce(over, F.lit(False)))
-    raw = F.col("_raw")
+    rows = rows.withColumns({"_stories_low": F.col("_stories_left").rlike(low), "_stories_left": F.regexp_replace("_stories_left", rf"(\+\s*)?\b(\d+\s+)?({low})\b", " ")})
+    rows = rows.withColumn("_stories_left", F.regexp_replace("_stories_left", r"\b(\d+)\s+(buildings?|bldgs?|structures?)\b", " "))
+    rows = rows.withColumn("_stories_left", reduce(lambda t, w: F.regexp_replace(t, rf"\b{w}\b", str(STORY_WORDS[w])), STORY_WORDS, F.col("_stories_left")))
+    rows = rows.withColumn("_stories_all", F.regexp_extract_all(F.regexp_replace("_stories_left", r"[-–/,(]+|\bto\b", " "), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)))
+    raw, n = F.col("_stories_text"), F.size("_stories_all")
+    negative = raw.rlike(r"^-\s*\d+(\.\d+)?$")
+    summed = raw.contains("+") & (n == 1) & (F.trim("_stories_left") != raw)
+    how = F.when(raw.isNull(), None).when(negative, "negative_stories").when(n == 0, "unparseable_stories").when(summed, "summed_stories").when(n > 1, "multiple_story_values").when(F.exists("_stories_all", lambda x: x.contains(".")), "decimal_stories")
+    value = F.when(~negative & (n > 0), F.array_max(F.transform("_stories_all", lambda x: F.ceil(x.cast("double")))).cast("int"))
+    return rows.withColumns({"_stories_value": value, "_stories_how": how, "_stories_low": F.col("_stories_low") & ~negative}).drop("_stories_left", "_stories_all")
+
+
+def stories_use(df: DataFrame) -> Use:
+    return Use(Reading("stories", ("_stories_text",), ("_stories_value", "_stories_how", "_stories_low"), _stories_in_text), (first_filled(_at(df, "NumberOfStories"), _at(df, "NUMSTORIES")),))
+
+
+def clean_stories(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
+    """Number of stories from free text; wood frames above the limit follow the rules."""
+    out, code = ("NumberOfStories", "ConstructionCode") if target == "AIR" else ("NUMSTORIES", "BLDGCLASS")
+    use = stories_use(df)
+    how, value = F.col("_stories_how"), F.col("_stories_value")
+    wood = F.coalesce(_at(df, "ConstructionCode"), _at(df, "BLDGCLASS")).isin(*WOOD_FRAME)
+    rows = in_place(df, use).withColumns({"_raw": use.cells[0], "_over": F.coalesce((value > rules.max_stories_wood_frame) & wood, F.lit(False))})
+    raw, bad = F.col("_raw"), how.isin("negative_stories", "unparseable_stories")
     rows = add_flags(
-        rows, flag(negative, out, "negative_stories", raw), flag(raw.isNotNull() & ~negative & F.col("_low"), out, "ignored_mezzanine_basement", raw),
-        flag(raw.isNotNull() & ~negative & (F.size("_n") == 0), out, "unparseable_stories", raw), flag(found & how.isNotNull(), out, how, raw),
+        rows, flag(how == "negative_stories", out, how, raw), flag(F.col("_stories_low"), out, "ignored_mezzanine_basement", raw), flag(how == "unparseable_stories", out, how, raw), flag(how.isNotNull() & ~bad, out, how, raw),
         flag(F.col("_over"), code if rules.stories_exceeded_action == "reset_construction" else out, "wood_frame_stories_exceeded", raw),
     )
     if rules.stories_exceeded_action == "reset_construction" and code in df.columns:
         rows = rows.withColumns({"Construction_Code_Original": F.when(F.col("_over"), F.col(code)), code: F.when(F.col("_over"), F.lit("100")).otherwise(F.col(code))})
-    elif rules.stories_exceeded_action == "reset_stories":
-        rows = rows.withColumn(out, F.when(~F.col("_over"), F.col(out)))
-    return rows.drop("_raw", "_s", "_t", "_low", "_n", "_over")
+    kept = F.when(~F.col("_over"), value) if rules.stories_exceeded_action == "reset_stories" else value
+    return rows.withColumn(out, kept).drop("_raw", "_over", *use.results)
 
 
-def clean_count(df: DataFrame, target: str = "AIR") -> DataFrame:
-    """Number of buildings from free text: the candidates of all readings are computed, the first that applies wins."""
-    out = "RiskCount" if target == "AIR" else "NUMBLDGS"
-    word = F.regexp_extract("_s", r"^(\S+)", 1)
-    rows = df.withColumn("_raw", first_filled(_at(df, "RiskCount"), _at(df, "NUMBLDGS"))).withColumn("_s", F.lower("_raw"))
-    rows = rows.withColumn("_s", F.coalesce(F.concat(look_up(word, COUNT_WORDS).cast("string"), F.substr("_s", F.length(word) + 1)), F.col("_s")))
-    rows = rows.withColumn("_flat", F.trim(F.regexp_replace("_s", r"[()]", " ")))
+def _count_in_text(rows: DataFrame) -> DataFrame:
+    """The candidates of all readings are computed, the first that applies wins."""
+    word = F.regexp_extract("_count_s", r"^(\S+)", 1)
+    rows = rows.withColumn("_count_s", F.lower("_count_text"))
+    rows = rows.withColumn("_count_s", F.coalesce(F.concat(look_up(word, COUNT_WORDS).cast("string"), F.substr("_count_s", F.length(word) + 1)), F.col("_count_s")))
+    rows = rows.withColumn("_count_flat", F.trim(F.regexp_replace("_count_s", r"[()]", " ")))
     part = lambda p: F.trim(F.regexp_replace(p, r"\b(buildings?|bldgs?|structures?)\b", ""))
-    side = lambda p: reduce(lambda a, b: a | b, [part(p).contains(s) for s in SIDE_STRUCTURES])
+    side = lambda p: part(p).rlike("|".join(SIDE_STRUCTURES))
     worth = lambda p: F.coalesce(_plain(F.nullif(F.regexp_extract(p, r"(\d[\d,]*)", 1), F.lit(""))), look_up(F.regexp_extract(F.trim(p), r"^(\S+)", 1), COUNT_WORDS).cast("bigint"), F.when(side(p), F.lit(1)).when(part(p) == "", F.lit(0)).cast("bigint"))
-    pieces = F.transform(F.filter(F.split("_s", r"\+|&|\band\b"), lambda p: F.trim(p) != ""), worth)
-    total = F.when(F.col("_s").rlike(r"\+|&|\band\b") & F.forall(pieces, lambda x: x.isNotNull()), F.aggregate(pieces, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    pieces = F.transform(F.filter(F.split("_count_s", r"\+|&|\band\b"), lambda p: F.trim(p) != ""), worth)
+    total = F.when(F.col("_count_s").rlike(r"\+|&|\band\b") & F.forall(pieces, lambda x: x.isNotNull()), F.aggregate(pieces, F.lit(0).cast("bigint"), lambda a, x: a + x))
     group = lambda c, pattern, n=1: _plain(F.nullif(F.regexp_extract(c, pattern, n), F.lit("")))
-    pair = lambda pattern: F.greatest(group("_flat", pattern, 1), group("_flat", pattern, 2))
-    bare = F.transform(F.regexp_extract_all("_flat", F.lit(r"(\d[\d,]*)"), F.lit(1)), _plain)
-    rows = rows.withColumns({
-        "_units": group("_s", r"\d[\d,]*\s+units?\s+in\s+(\d[\d,]*)\s+buildings?"), "_each": group("_s", r"(\d[\d,]*)\s+buildings?\s*\(\s*\d+\s+units?"),
-        "_total": F.nullif(total, F.lit(0).cast("bigint")), "_incl": group("_s", r"^(\d[\d,]*)\s*\(including\b"),
-        "_range": pair(r"(\d[\d,]*)\s*[-–to]+\s*(\d[\d,]*)"), "_slash": pair(r"(\d[\d,]*)\s*/\s*(\d[\d,]*)"),
-        "_deci": F.ceil(F.nullif(F.regexp_extract("_flat", r"(\d+\.\d+)", 1), F.lit("")).cast("double")), "_bare": bare,
-    })
-    raw = F.col("_raw")
-    readings = [("_units", "units_vs_buildings"), ("_each", None), ("_total", "additive_building_count"), ("_incl", None), ("_range", "building_count_range"), ("_slash", "building_count_slash"), ("_deci", "decimal_building_count")]
+    pair = lambda pattern: F.greatest(group("_count_flat", pattern, 1), group("_count_flat", pattern, 2))
+    readings = {
+        "_count_units": (group("_count_s", r"\d[\d,]*\s+units?\s+in\s+(\d[\d,]*)\s+buildings?"), "units_vs_buildings"), "_count_each": (group("_count_s", r"(\d[\d,]*)\s+buildings?\s*\(\s*\d+\s+units?"), None),
+        "_count_total": (F.nullif(total, F.lit(0).cast("bigint")), "additive_building_count"), "_count_incl": (group("_count_s", r"^(\d[\d,]*)\s*\(including\b"), None),
+        "_count_range": (pair(r"(\d[\d,]*)\s*[-–to]+\s*(\d[\d,]*)"), "building_count_range"), "_count_slash": (pair(r"(\d[\d,]*)\s*/\s*(\d[\d,]*)"), "building_count_slash"),
+        "_count_deci": (F.ceil(F.nullif(F.regexp_extract("_count_flat", r"(\d+\.\d+)", 1), F.lit("")).cast("double")), "decimal_building_count"),
+    }
+    rows = rows.withColumns({c: x for c, (x, _) in readings.items()} | {"_count_bare": F.transform(F.regexp_extract_all("_count_flat", F.lit(r"(\d[\d,]*)"), F.lit(1)), _plain)})
+    raw = F.col("_count_text")
     negative, vague, single = raw.rlike(r"^-\s*\d"), raw.rlike(VAGUE_COUNT), raw.rlike(SINGLE_COUNT)
     how = F.when(raw.isNull(), None).when(negative, "negative_building_count").when(vague, "vague_building_count").when(single, None)
     value = F.when(raw.isNull() | negative | vague, None).when(single, 1)
-    for column, issue in readings:
+    for column, (_, issue) in readings.items():
         how, value = how.when(F.col(column).isNotNull(), issue), value.when(F.col(column).isNotNull(), F.col(column))
-    how = how.when(F.size("_bare") > 1, "multiple_integers_in_count").when(F.size("_bare") == 0, "unresolvable_building_count")
-    rows = rows.withColumns({"_how": how, out: value.otherwise(F.array_max("_bare")).cast("int")})
-    return add_flags(rows, flag(F.col("_how").isNotNull(), out, F.col("_how"), raw)).drop("_raw", "_s", "_flat", "_units", "_each", "_total", "_incl", "_range", "_slash", "_deci", "_bare", "_how")
+    how = how.when(F.size("_count_bare") > 1, "multiple_integers_in_count").when(F.size("_count_bare") == 0, "unresolvable_building_count")
+    return rows.withColumns({"_count_how": how, "_count_value": value.otherwise(F.array_max("_count_bare")).cast("int")}).drop("_count_s", "_count_flat", "_count_bare", *readings)
 
 
-def clean_area(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
-    """Floor area in square feet from free text."""
-    out = "GrossArea" if target == "AIR" else "FLOORAREA"
+def count_use(df: DataFrame) -> Use:
+    return Use(Reading("count", ("_count_text",), ("_count_value", "_count_how"), _count_in_text), (first_filled(_at(df, "RiskCount"), _at(df, "NUMBLDGS")),))
+
+
+def clean_count(df: DataFrame, target: str = "AIR") -> DataFrame:
+    """Number of buildings from free text."""
+    out = "RiskCount" if target == "AIR" else "NUMBLDGS"
+    use = count_use(df)
+    rows = in_place(df, use)
+    return add_flags(rows, flag(F.col("_count_how").isNotNull(), out, F.col("_count_how"), use.cells[0])).withColumn(out, F.col("_count_value")).drop(*use.results)
+
+
+def _area_in_text(rows: DataFrame) -> DataFrame:
     value = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^\d.,]", ""), ",", "").try_cast("double")
     plain = lambda x: F.concat(F.lit(" "), x.cast("decimal(30,4)").cast("string"), F.lit(" "))
-    rows = df.withColumn("_raw", first_filled(_at(df, "GrossArea"), _at(df, "FLOORAREA"))).withColumn("_s", F.lower("_raw"))
-    rows = rows.withColumn("_s", rewrite(F.col("_s"), r"\b\d[\d,\.]*\s*(?:k|mn|million|m)[bs]?\b", lambda g: plain(value(g) * F.when(g.contains("k"), 1000).otherwise(1_000_000))))
+    rows = rows.withColumn("_area_s", F.lower("_area_text"))
+    rows = rows.withColumn("_area_s", rewrite(F.col("_area_s"), r"\b\d[\d,\.]*\s*(?:k|mn|million|m)[bs]?\b", lambda g: plain(value(g) * F.when(g.contains("k"), 1000).otherwise(1_000_000))))
     sides = lambda g: F.split(g, r"\(each\)")
-    rows = rows.withColumn("_s", rewrite(F.col("_s"), r"\d[\d,\.]*\s*\(each\)\s*\d[\d,\.]*", lambda g: plain(value(F.get(sides(g), F.lit(0))) * value(F.get(sides(g), F.lit(1))))))
+    rows = rows.withColumn("_area_s", rewrite(F.col("_area_s"), r"\d[\d,\.]*\s*\(each\)\s*\d[\d,\.]*", lambda g: plain(value(F.get(sides(g), F.lit(0))) * value(F.get(sides(g), F.lit(1))))))
     numbers = lambda c, pattern: F.filter(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), value), lambda x: x.isNotNull())
-    parts = F.transform(F.split("_s", r"\+|&"), lambda p: F.coalesce(F.array_max(numbers(p, r"((?<!-)\b\d[\d,\.]*)")), F.lit(0.0)))
-    total = F.when(F.col("_s").rlike(r"[+&]"), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
-    single = F.array_max(numbers(F.regexp_replace("_s", r"[-–/]", " "), r"(\d[\d,\.]*)"))
-    raw = F.col("_raw")
+    parts = F.transform(F.split("_area_s", r"\+|&"), lambda p: F.coalesce(F.array_max(numbers(p, r"((?<!-)\b\d[\d,\.]*)")), F.lit(0.0)))
+    total = F.when(F.col("_area_s").rlike(r"[+&]"), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+    single = F.array_max(numbers(F.regexp_replace("_area_s", r"[-–/]", " "), r"(\d[\d,\.]*)"))
+    raw = F.col("_area_text")
     foreign, negative, vague = raw.rlike(FOREIGN_AREA), raw.rlike(r"^-\s*\d+(\.\d+)?$"), raw.rlike(VAGUE_AREA)
-    rows = rows.withColumn("_v", F.when(raw.isNotNull() & ~foreign & ~negative & ~vague, F.coalesce(F.when(total > 0, total), single)))
-    how = F.when(foreign, "invalid_area_unit").when(negative, "negative_area").when(vague, "vague_area").when(F.col("_v").isNull(), "unparseable_area")
+    rows = rows.withColumn("_area_value", F.when(raw.isNotNull() & ~foreign & ~negative & ~vague, F.coalesce(F.when(total > 0, total), single)))
+    how = F.when(raw.isNull(), None).when(foreign, "invalid_area_unit").when(negative, "negative_area").when(vague, "vague_area").when(F.col("_area_value").isNull(), "unparseable_area")
+    return rows.withColumn("_area_how", how).drop("_area_s")
+
+
+def area_use(df: DataFrame) -> Use:
+    return Use(Reading("area", ("_area_text",), ("_area_value", "_area_how"), _area_in_text), (first_filled(_at(df, "GrossArea"), _at(df, "FLOORAREA")),))
+
+
+def clean_area(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
+    """Floor area in square feet from free text."""
+    out = "GrossArea" if target == "AIR" else "FLOORAREA"
+    use = area_use(df)
+    rows, how = in_place(df, use), F.col("_area_how")
     if rules.invalid_area_action == "flag_review":
-        how = how.when(F.col("_v") < rules.min_area_sqft, "area_below_minimum")
-    rows = add_flags(rows.withColumn("_how", how), flag(raw.isNotNull() & F.col("_how").isNotNull(), out, F.col("_how"), raw))
-    return rows.withColumn(out, F.bround("_v", 2)).drop("_raw", "_s", "_v", "_how")
+        how = F.coalesce(how, F.when(F.col("_area_value") < rules.min_area_sqft, "area_below_minimum"))
+    return add_flags(rows, flag(how.isNotNull(), out, how, use.cells[0])).withColumn(out, F.bround("_area_value", 2)).drop(*use.results)
 
 
 def money(c: Column) -> tuple[Column, Column]:
@@ -168,26 +220,42 @@ def money(c: Column) -> tuple[Column, Column]:
     return F.bround(value, 0).cast("bigint"), currency
 
 
+def _money_in_text(rows: DataFrame) -> DataFrame:
+    value, currency = money(F.col("_money_text"))
+    return rows.withColumns({"_money_value": value, "_money_currency": currency})
+
+
+MONEY_COLUMNS = ("BuildingValue", "ContentsValue", "TimeElementValue")
+
+
+def money_uses(df: DataFrame, target: str = "AIR") -> list[Use]:
+    """The cells of the three coverages share one dictionary."""
+    reading = Reading("money", ("_money_text",), ("_money_value", "_money_currency"), _money_in_text)
+    own = lambda i, source: source if target == "AIR" else f"EQCV{i}VAL"
+    return [Use(reading, (first_filled(_at(df, own(i, source)), _at(df, source)),), str(i)) for i, source in enumerate(MONEY_COLUMNS, 1)]
+
+
 def clean_values(df: DataFrame, rules: Rules, target: str = "AIR") -> DataFrame:
     """Money of the three coverages with caps; a currency sign fills the currency where it is blank."""
     caps = (rules.max_building_value, rules.max_contents_value, rules.max_bi_value)
-    sources = ("BuildingValue", "ContentsValue", "TimeElementValue")
-    cells, flags, values = {}, [], {}
-    for i, (source, cap) in enumerate(zip(sources, caps, strict=True), 1):
+    uses, rows, flags, values = money_uses(df, target), df, [], {}
+    for i, (use, source, cap) in enumerate(zip(uses, MONEY_COLUMNS, caps, strict=True), 1):
         out = source if target == "AIR" else f"EQCV{i}VAL"
-        raw = first_filled(_at(df, out), _at(df, source))
-        value, currency = money(raw)
-        cells |= {f"_raw{i}": raw, f"_v{i}": value, f"_c{i}": currency}
-        high = F.col(f"_v{i}") > cap
-        flags += [flag(F.col(f"_v{i}").isNull(), out, "unparseable_value", F.col(f"_raw{i}")), flag(F.col(f"_v{i}") < 0, out, "negative_value", F.col(f"_v{i}"))]
+        rows, value = in_place(rows, use), F.col(f"_money_value{i}")
+        flags += [flag(value.isNull(), out, "unparseable_value", use.cells[0]), flag(value < 0, out, "negative_value", value)]
         if rules.invalid_value_action != "none":
-            flags.append(flag(high, out, "value_exceeds_max", F.col(f"_v{i}")))
-        values[out] = F.when(~high, F.col(f"_v{i}")) if rules.invalid_value_action == "reset_value" else F.col(f"_v{i}")
+            flags.append(flag(value > cap, out, "value_exceeds_max", value))
+        values[out] = F.when(~(value > cap), value) if rules.invalid_value_action == "reset_value" else value
         if target != "AIR":
-            values[f"EQCV{i}LCUR"] = F.coalesce(blank_to_null(_at(df, f"EQCV{i}LCUR")), F.col(f"_c{i}"))
+            values[f"EQCV{i}LCUR"] = F.coalesce(blank_to_null(_at(df, f"EQCV{i}LCUR")), F.col(f"_money_currency{i}"))
     if target == "AIR":
-        values["Currency"] = F.coalesce(blank_to_null(_at(df, "Currency")), *[F.col(f"_c{i}") for i in (1, 2, 3)])
-    return add_flags(df.withColumns(cells), *flags).withColumns(values).drop(*[f"_{k}{i}" for k in ("raw", "v", "c") for i in (1, 2, 3)])
+        values["Currency"] = F.coalesce(blank_to_null(_at(df, "Currency")), *[F.col(f"_money_currency{i}") for i in (1, 2, 3)])
+    return add_flags(rows, *flags).withColumns(values).drop(*[c for use in uses for c in use.results])
+
+
+def cell_uses(df: DataFrame, rules: Rules, target: str = "AIR") -> list[Use]:
+    """All readings of the jobs whose texts are worth a dictionary."""
+    return [years_use(df, rules), stories_use(df), count_use(df), area_use(df), *money_uses(df, target)]
 
 
 def clean_currency(df: DataFrame, currencies: tuple[str, ...] = CURRENCIES) -> DataFrame:

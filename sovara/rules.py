@@ -10,6 +10,8 @@ class Rules:
     year_min: int = 1700
     year_max: int = 2026
     year_pivot: int = 25
+    invalid_year_action: str = "flag_review"  # or none, reset_year, set_default
+    year_default: int = 1980
     max_stories_wood_frame: int = 3
     stories_exceeded_action: str = "flag_review"  # or reset_construction, reset_stories
     min_area_sqft: float = 100.0

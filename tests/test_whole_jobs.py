@@ -5,30 +5,44 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sovara.functions import text
 from sovara.operators import codes, mapping
 
 
-@pytest.mark.parametrize("settings", [{}, {"ALIAS_LIST": 3, "BROADCAST_ALIASES": 0}])
-def test_fuzzy_matches_of_all_characters(spark, monkeypatch, settings):
-    for name, value in settings.items():
-        monkeypatch.setattr(mapping, name, value)
-    names = ["année", "Straße Nr", "год постройки", "建築年", "év_épült", "a-b]c^d&&e", "[x\\y]", "year built", "😀 é", "--"]
-    headers = [*names, "annee", "strasse nr", "год", "建築", "a-b]c", "built year", "é 😀x", None, ""]
+def ratio(a, b):
+    a, b = (" ".join(sorted(x.lower().split())) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, before = [0], row
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return round(200 * row[-1] / (len(a) + len(b)), 4) if a or b else 100.0
 
-    def ratio(a, b):
-        a, b = (" ".join(sorted(x.lower().split())) for x in (a, b))
-        row = [0] * (len(b) + 1)
-        for x in a:
-            row, before = [0], row
-            for j, y in enumerate(b):
-                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
-        return round(200 * row[-1] / (len(a) + len(b)), 4) if a or b else 100.0
 
+@pytest.mark.parametrize("longest", [61, 3])
+def test_fuzzy_matches_of_all_characters(spark, monkeypatch, longest):
+    monkeypatch.setattr(text, "MASK_LENGTH", longest)
+    names = ["année", "Straße Nr", "год постройки", "建築年", "év_épült", "a-b]c^d&&e", "[x\\y]", "year built", "😀 é", "--"]
+    headers = [*names, "annee", "strasse nr", "год", "建築", "a-b]c", "built year", "é 😀x", None, ""]
     wanted = {(h, n.upper(), ratio(h, n)) for h in headers if h is not None for n in names if ratio(h, n) >= 60}
     got = mapping.fuzzy_matches(spark.createDataFrame([(h,) for h in headers], "source_col string"), spark.createDataFrame([(n, n.upper()) for n in names], "alias string, canonical string"), best=50, keep=50)
     assert {(r["source_col"], r["canonical"], r["score"]) for r in got.collect()} == wanted and len(wanted) > len(names)
 
 
+@pytest.mark.parametrize("cutoff", [25.0, 60.0, 87.5, 100.0])
+def test_fuzzy_pairs_against_brute_force(spark, cutoff):
+    """Every pair that reaches the cutoff is found, and none below it, in several alphabets and lengths."""
+    rng = random.Random(7)
+    some = lambda letters: "".join(rng.choices(letters, k=rng.randint(0, 14))).strip()
+    names = [some(rng.choice(["abc ", "abcdefghijklmnop ", "где постр ", "建築年ab ", "éè e"])) for _ in range(120)] + ["x" * 80, "x" * 70 + "y" * 9, "total insured value " * 5, ""]
+    headers = [some(rng.choice(["abc ", "abcdefghijklmnop ", "где постр ", "建築年ab ", "éè e"])) for _ in range(160)] + names[:20] + ["x" * 75, "insured total value " * 5, " ", ""]
+    wanted = {(h, n): ratio(h, n) for h in set(headers) for n in set(names) if ratio(h, n) >= cutoff}
+    pairs = mapping.fuzzy_pairs(spark.createDataFrame([(h,) for h in [*headers, None]], "source_col string"), spark.createDataFrame([(n, "c") for n in [*names, None]], "alias string, canonical string"), cutoff)
+    got = {(r["source_col"], r["alias"]): r["score"] for r in pairs.collect()}
+    assert got == wanted and len(wanted) >= 20
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keyword_scores_of_short_phrases(spark):
     rng = random.Random(3)
     some = lambda n: "".join(rng.choices("abc1- /", k=n)).strip() or "a"
