@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sovara.sources.scratch import shared_folder, written  # noqa: F401  of the operators here
+
 #: Text bytes that a Python worker turns into arrays at once.
 CHUNK_BYTES = 2 << 20
 
@@ -28,31 +28,12 @@ def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def _shared_folder(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir; a folder of its own only where none is set and all runs on one machine (tests)."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of the session."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: compressed, and read by columns, where a checkpoint is neither."""
-    spark = df.sparkSession
-    _shared_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id, parts: int):
     """crc32 of the id as text, modulo parts: the fold that decides what may be learnt from."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

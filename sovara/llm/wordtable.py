@@ -2,8 +2,12 @@
 
 Spark splits texts into words. Every block of texts keeps its distinct words once and, in place of each word, its number in
 that list; only the lists meet in a shuffle, where every distinct word of the corpus is encoded once. The ids go back to the
-blocks, where they stand in for the numbers by position. A frequent word costs one row per block, not one per occurrence.
-Decoding is a join of ids with their pieces, put together by position.
+blocks, where they stand in for the numbers by position. A frequent word is sent once per block, not once per occurrence.
+Decoding joins ids with their pieces and puts the pieces together by position.
+
+Blocks are written once, bucketed by their name, so only what is sent between words and blocks is shuffled. Lists of words and
+ids travel as compressed pieces, one per block and bucket of words; a bucket holds BUCKET_WORDS of them on average, however many
+blocks there are.
 
 Null text counts as empty: no tokens, digests of the empty string. Repeated rows and repeated or null doc_ids give one row each,
 a very long text is a block of its own, and extra columns are ignored.
@@ -14,23 +18,29 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sovara.llm.common import doc_text, written
+from sovara.llm.common import doc_text, shared_folder, written
 
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
-BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, numbers binary, words array<string>"
+BLOCK_BYTES = 12 << 20
+#: Words, counted once per block, that one task encodes on average.
+BUCKET_WORDS = 2_000_000
+BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, numbers binary, n_words int, words binary"
+PIECES = "bucket int, block bigint, places binary, words binary"
+CODED = "block bigint, places binary, sizes binary, ids binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-ENCODED = "word string, ids array<int>"
 
 # Code points that the vocabulary's splitter knows as letters and numbers and Java 17 does not know yet.
 LETTERS = (
@@ -133,14 +143,35 @@ def words_of(text: Column, added: list[str]) -> Column:
     return F.when(text.rlike(cut), F.flatten(parts)).otherwise(split(text))
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, with the length in front; short data as it is."""
+    return b"\0" + data if len(data) < 256 else b"\1" + len(data).to_bytes(6, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _opened(data: bytes) -> bytes:
+    return data[1:] if data[0] == 0 else pa.decompress(data[7:], int.from_bytes(data[1:7], "little"), "zstd", asbytes=True)
+
+
 def _pack(numbers: np.ndarray) -> bytes:
-    """Word numbers as compressed bytes: low, middle and high bytes apart."""
-    wide = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return pa.compress(np.ascontiguousarray(wide).tobytes(), "zstd", asbytes=True)
+    """Numbers below 2^31 as compressed bytes: low, middle and high bytes apart."""
+    return _squeezed(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
 
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_opened(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n).T).view("<u4").ravel() if n else np.zeros(0, np.uint32)
+
+def _pack_words(words: list[str]) -> bytes:
+    """Lengths, then all bytes."""
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    return _squeezed(len(data).to_bytes(4, "little") + np.fromiter(map(len, data), "<u4", len(data)).tobytes() + b"".join(data))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    data = _opened(data)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -152,7 +183,11 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(docs: DataFrame, added: list[str]) -> DataFrame:
-    """Blocks of texts, written once: doc_ids, words per text, the words' numbers (by falling frequency), distinct words."""
+    """Blocks of texts: doc_ids, words per text, the words' numbers (by falling frequency) and the distinct words.
+
+    They are written once, so that a block has one name and one list for all that follows, and bucketed by that name, so that
+    what comes back joins them without another shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
@@ -160,32 +195,63 @@ def blocks(docs: DataFrame, added: list[str]) -> DataFrame:
             for part in _chunks(batch):
                 lists = part.column("words")
                 coded = lists.flatten().dictionary_encode()
-                numbers = np.asarray(coded.indices).astype(np.int64)
+                numbers = np.asarray(coded.indices)
                 order = np.argsort(-np.bincount(numbers, minlength=len(coded.dictionary)), kind="stable")
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
                 counts = pc.fill_null(pc.list_value_length(lists), 0)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([name], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts.to_pylist()], pa.list_(pa.int32())),
-                    pa.array([_pack(rank[numbers])], pa.binary()), pa.array([coded.dictionary.take(pa.array(order)).to_pylist()], pa.list_(pa.string())),
-                ], ["block", "doc_ids", "counts", "numbers", "words"])
+                    pa.array([name], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts.to_pylist()], pa.list_(pa.int32())), pa.array([_pack(rank[numbers])], pa.binary()),
+                    pa.array([len(order)], pa.int32()), pa.array([_pack_words(coded.dictionary.take(pa.array(order)).to_pylist())], pa.binary()),
+                ], ["block", "doc_ids", "counts", "numbers", "n_words", "words"])
                 name += 1
 
     text = F.coalesce("text", F.lit(""))
-    rows = doc_text(docs).select("doc_id", words_of(text, added).alias("words"), F.octet_length(text).alias("size"))
-    return written(rows.mapInArrow(run, BLOCKS))
+    rows = doc_text(docs).select("doc_id", words_of(text, added).alias("words"), F.octet_length(text).alias("size")).mapInArrow(run, BLOCKS)
+    spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    rows.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
+    return table
 
 
-def encode_words(words: DataFrame, vocabulary_text: str) -> DataFrame:
-    """word, ids of every distinct word."""
+def by_bucket(found: DataFrame, buckets: int) -> DataFrame:
+    """The lists of words cut into pieces: bucket, block, places in the block's list, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(vocabulary_text)
         for batch in batches:
-            ids = [table.encode(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+                words = _unpack_words(data.as_py())
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                used, first = np.unique(bucket[order], return_index=True)
+                parts = np.split(order, first[1:]) if len(words) else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array([_pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                    pa.array([_pack_words([words[i].decode("utf-8", "surrogatepass") for i in p.tolist()]) for p in parts], pa.binary()),
+                ], ["bucket", "block", "places", "words"])
 
-    return words.select("word").distinct().mapInArrow(run, ENCODED)
+    return found.select("block", "words").mapInArrow(run, PIECES)
+
+
+def encode_words(parts: DataFrame, buckets: int, vocabulary_text: str) -> DataFrame:
+    """The pieces with ids in place of words. A word is always in one bucket and is encoded once there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = vocabulary(vocabulary_text), {}
+        for batch in batches:
+            sizes, ids = [], []
+            for data in batch.column("words"):
+                own = []
+                for word in _unpack_words(data.as_py()):
+                    if (found := known.get(word)) is None:
+                        found = known[word] = np.array(table.encode(word.decode("utf-8", "surrogatepass")), np.uint32).tobytes()
+                    own.append(found)
+                sizes.append(_pack(np.fromiter((len(x) // 4 for x in own), np.int64, len(own))))
+                ids.append(_pack(np.frombuffer(b"".join(own), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "places", "sizes", "ids"])
+
+    return parts.repartition(buckets, "bucket").mapInArrow(run, CODED)
 
 
 def pieces(spark: SparkSession, vocabulary_text: str) -> DataFrame:
@@ -202,48 +268,46 @@ def put_together(tokens: DataFrame, key: str, table: DataFrame) -> DataFrame:
 
 
 def _filled(docs: DataFrame, path: str) -> DataFrame:
-    """Blocks with what their words stand for: doc_ids, counts, numbers, and per distinct word ids and decoded bytes."""
+    """Blocks with the ids of their words: doc_ids, counts, numbers, n_words, table (pieces of places, sizes and ids)."""
     text = read_vocabulary(path)
     found = blocks(docs, list(vocabulary(text).added))
-    listed = found.select("block", F.posexplode("words").alias("number", "word"))
-    encoded = written(encode_words(listed, text))
-    table = encoded.join(put_together(encoded, "word", pieces(docs.sparkSession, text)), "word")
-    of_block = listed.join(table, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("number", "ids", "decoded"))).alias("table"))
-    return found.select("block", "doc_ids", "counts", "numbers").join(of_block, "block", "left")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-(found.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+    coded = encode_words(by_bucket(found, buckets), buckets, text)
+    of_block = coded.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("table"))
+    return found.select("block", "doc_ids", "counts", "numbers", "n_words").join(of_block, "block", "left")
 
 
-def _documents(batches: Iterator[pa.RecordBatch], decoded: bool) -> Iterator[tuple[list, list[np.ndarray], list[bytes]]]:
-    """Per block: doc_ids, ids of each document, and its decoded bytes if asked for."""
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[int]]]:
+    """doc_id and ids of each document of the blocks."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            counts = np.asarray(batch.column("counts")[k].values).astype(np.int64)
-            numbers = _unpack(batch.column("numbers")[k].as_py(), int(counts.sum()))
-            table = batch.column("table")[k].values
-            ends = np.cumsum(counts)
-            starts = ends - counts
-            if table is None:
-                yield batch.column("doc_ids")[k].as_py(), [np.zeros(0, np.int32)] * len(counts), [b""] * len(counts)
-                continue
-            lists = table.field("ids")
-            values = np.asarray(lists.flatten())
-            size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-            first = np.cumsum(size) - size
-            of_word = size[numbers]
-            upto = np.concatenate([[0], np.cumsum(of_word)])
-            ids = values[np.repeat(first[numbers] - upto[:-1], of_word) + np.arange(upto[-1])]
-            names = table.field("decoded").to_pylist() if decoded else []
-            yield (
-                batch.column("doc_ids")[k].as_py(), [ids[upto[a] : upto[b]] for a, b in zip(starts, ends, strict=True)],
-                [b"".join([names[i] for i in numbers[a:b].tolist()]) for a, b in zip(starts, ends, strict=True)] if decoded else [],
-            )
+        for row in range(batch.num_rows):
+            at = lambda name: batch.column(name)[row]  # noqa: E731, B023
+            counts = np.asarray(at("counts").values).astype(np.int64)
+            numbers, parts = _unpack(at("numbers").as_py()), at("table").as_py() or []
+            size, first, values = np.zeros(at("n_words").as_py(), np.int32), np.zeros(at("n_words").as_py(), np.int64), []
+            done = filled = 0
+            for part in parts:
+                places, sizes = np.cumsum(_unpack(part["places"])), _unpack(part["sizes"])
+                size[places], first[places] = sizes, done + np.cumsum(sizes) - sizes
+                values.append(_unpack(part["ids"]))
+                done, filled = done + len(values[-1]), filled + len(places)
+            if filled != len(size):
+                raise RuntimeError("a block and the words that came back do not belong together")
+            every = np.concatenate([*values, np.zeros(0, np.int32)])
+            for doc_id, count, end in zip(at("doc_ids").as_py(), counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+                own = numbers[end - count : end]
+                n = size[own]
+                yield doc_id, every[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tolist()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id and its token ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, ids, _ in _documents(batches, False):
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        documents = _documents(batches)
+        while some := list(islice(documents, 256)):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _filled(docs, path).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -256,13 +320,19 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256. The pieces join the blocks as one row: their list is of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for names, ids, texts in _documents(batches, True):
-            joined = [sha(",".join(map(str, x.tolist())).encode()) for x in ids]
-            decoded = [sha(x.decode("utf-8", "replace").encode()) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            piece = {p["id"]: p["piece"] for p in batch.column("pieces")[0].as_py()} if batch.num_rows else {}
+            name = {i: str(i) for i in piece}
+            rows = (
+                (i, len(x), sha(",".join(map(name.__getitem__, x)).encode()), sha(b"".join(map(piece.__getitem__, x)).decode("utf-8", "replace").encode()))
+                for i, x in _documents(iter([batch]))
+            )
+            while some := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _filled(docs, path).mapInArrow(run, DIGESTS)
+    listed = pieces(docs.sparkSession, read_vocabulary(path)).agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    return _filled(docs, path).crossJoin(F.broadcast(listed)).mapInArrow(run, DIGESTS)
