@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, normalize, portfolio, review
 from sovara.flags import drop_flags, flags_table
+from sovara.operators.cells import by_distinct
 from sovara.plans.exposure import exposure
 from sovara.rules import PRESETS, Rules
 from sovara.streaming.ingest import clean_stream
@@ -165,7 +166,9 @@ def clean_address(s: SparkSession, d: str) -> DataFrame:
 
 
 def clean_street_city(s: SparkSession, d: str) -> DataFrame:
-    return exposure(s, d).select("row_index", address.street(F.col("Street")).alias("street"), address.city(F.col("City")).alias("city"))
+    rows = exposure(s, d).select("row_index", "Street", "City")
+    uses = address.address_uses(rows, {k: k for k in address.ADDRESS_PARTS})
+    return by_distinct(rows, [uses["Street"], uses["City"]]).select("row_index", F.col("_street").alias("street"), F.col("_city").alias("city"))
 
 
 def geocode_join(s: SparkSession, d: str) -> DataFrame:

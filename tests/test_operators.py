@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sovara.flags import flags_table
 from sovara.functions.text import lenient_number, title_case, token_sort_ratio
 from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, portfolio, review
+from sovara.operators.cells import in_place
 from sovara.rules import PRESETS, Rules
 from sovara.sources import dictionaries, files, stages
 
@@ -242,13 +243,18 @@ def test_lookup_tables_are_whole(spark):
     def of(make, texts):
         return [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", make(F.col("c")).alias("v")).orderBy("i").select("v").collect()]
 
+    def read(column, values):
+        df = spark.createDataFrame(list(enumerate(values)), f"i int, {column} string")
+        use = address.address_uses(df, {k: k for k in address.ADDRESS_PARTS})[column]
+        return [r[0] for r in in_place(df, use).orderBy("i").select(*use.results).collect()]
+
     assert of(address.country, [*address.COUNTRIES, *address.ALPHA3]) == [*address.COUNTRIES.values(), *address.ALPHA3.values()]
     assert of(address.country, ["Austria", "Hong Kong", "U.A.E.", "Korea", "Atlantis", "XYZ", None]) == ["AT", "HK", "AE", "KR", "AT", "XYZ", None]
     us = lambda c: address.state(c, F.lit("US"))
     assert of(us, list(address.STATES)) == list(address.STATES.values())
     assert of(us, ["D.C.", "Washington DC", "n.y.", "Okla", "Guam", "QQ"]) == ["DC", "DC", "NY", "OK", "GU", None]
-    assert of(address.city, ["W Palm Beach", "Pt Arthur", "St. Louis", "ft worth"]) == ["W Palm Beach", "Point Arthur", "Saint Louis", "Fort Worth"]
-    assert of(address.street, [f"5 Oak {w}" for w in address.STREET_WORDS]) == [f"5 Oak {v}" for v in address.STREET_WORDS.values()]
+    assert read("City", ["W Palm Beach", "Pt Arthur", "St. Louis", "ft worth"]) == ["W Palm Beach", "Point Arthur", "Saint Louis", "Fort Worth"]
+    assert read("Street", [f"5 Oak {w}" for w in address.STREET_WORDS]) == [f"5 Oak {v}" for v in address.STREET_WORDS.values()]
 
 
 def test_words_of_cells(spark):
