@@ -58,10 +58,12 @@ def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> C
 
 
 def expand_words(text: Column, table: dict[str, str]) -> Column:
-    """Whole words replaced by the table, longest first, whatever their case."""
-    for word in sorted(table, key=lambda w: (-len(w), w)):
-        text = F.regexp_replace(text, rf"(?i)\b\Q{word}\E\b", table[word])
-    return text
+    """Whole words replaced by the table, whatever their case, in one walk over the text: the longest one at a place wins."""
+    if not table:
+        return text
+    words = "|".join(rf"\Q{w}\E" for w in sorted(table, key=lambda w: (-len(w), w)))
+    full = {w.lower(): v for w, v in table.items()}
+    return rewrite(text, rf"(?i)\b(?:{words})\b", lambda w: look_up(F.lower(w), full))
 
 
 def look_up(key: Column, table: dict[str, object]) -> Column:

@@ -21,16 +21,38 @@ ISO_SCHEMES = ("ISO", "ISO_CLASS", "FIRE_CLASS", "ISF", "ISO_FIRE_CLASS")
 ISO_LABELS = ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9", "F", "JM", "NC", "MNC", "MFR", "FR", "HTJM", "SNC", "SMNC")
 RMS_SCHEMES = ("RMS", "RMS_CONST", "RMS_OCC")
 URM = ("unreinforced masonry", "urm", "unconfined masonry", "plain masonry")
-MASONRY_WALLS = ("masonry walls", "brick walls", "cmu walls", "concrete masonry unit walls", "concrete block walls", "block walls", "masonry load-bearing", "masonry bearing")
-COMBUSTIBLE = ("wood roof", "wood joist", "wood truss roof", "combustible roof", "wood deck", "wood planking", "wood upper", "wood floor", "wood framing", "wood penthouse")
+MASONRY_WALLS = (
+    "masonry walls", "brick walls", "cmu walls", "concrete masonry unit walls", "concrete block walls", "block walls", "masonry load-bearing", "masonry bearing", "urm walls", "unreinforced masonry walls",
+)
+COMBUSTIBLE = (
+    "wood roof", "wood joist", "wood truss roof", "combustible roof", "wood deck", "wood planking", "wood joists", "wood upper floor", "wood upper level", "wood upper", "wood floors", "wood floor", "wood framing",
+    "wood penthouse", "wood mezzanine",
+)
 TILT_UP = ("tilt-up", "tilt up", "tilt wall", "tilt panel")
-HEAVY_TIMBER = ("heavy timber", "hvy timber", "glulam", "cross laminated timber", "post and beam timber")
-FACADE = ("masonry infill", "brick veneer", "masonry veneer", "stone veneer", "curtain wall", "glass facade", "precast panels", "precast cladding", "masonry exterior", "masonry facade", "concrete infill", "infill walls", "canopy", "wood mezzanine", "wood partition")
+HEAVY_TIMBER = ("heavy timber", "ht", "hvy timber", "glulam", "glulam timber", "cross laminated timber", "clt", "post and beam timber")
+FACADE = (
+    "masonry infill", "brick veneer", "masonry veneer", "stone veneer", "glass curtain wall", "curtain wall", "glass facade", "precast panels", "precast cladding", "masonry exterior", "masonry front", "masonry facade",
+    "concrete infill", "infill walls", "canopy", "steel canopy", "foundation", "concrete foundation", "wood mezzanine", "wood partition", "wood office interior", "interior wood office",
+)
+#: Frames in the order in which they govern: token, code, category, ISO class.
 FRAMES = (
-    ("concrete frame", "131", "Concrete Frame"), ("rc frame", "131", "Concrete Frame"), ("steel moment frame", "155", "Steel Frame"), ("steel braced frame", "153", "Steel Frame"),
-    ("steel frame", "151", "Steel Frame"), ("heavy timber", "104", "Heavy Timber"), ("metal building", "152", "Metal Building"), ("wood frame", "101", "Frame"),
+    ("concrete frame", "131", "Concrete Frame", "6"), ("rc frame", "131", "Concrete Frame", "6"), ("reinforced concrete frame", "131", "Concrete Frame", "6"), ("steel moment frame", "155", "Steel Frame", "5"),
+    ("steel braced frame", "153", "Steel Frame", "5"), ("steel frame", "151", "Steel Frame", "5"), ("heavy timber", "104", "Heavy Timber", "7"), ("pre-engineered metal building", "152", "Metal Building", "3"),
+    ("metal building", "152", "Metal Building", "3"), ("wood frame", "101", "Frame", "1"), ("light wood frame", "102", "Frame", "1"), ("tilt-up", "111", "Masonry Non-Combustible", "4"), ("tilt up", "111", "Masonry Non-Combustible", "4"),
+    ("timber frame", "100", "Unknown", "0"), ("tilt wall", "100", "Unknown", "0"),
+)
+#: Systems side by side: both texts, then code, category, ISO class.
+ADJACENT = (
+    ("attached wood office", "steel", "141", "Mixed Construction", "2"), ("wood office", "metal warehouse", "152", "Mixed Construction", "0"), ("concrete block office", "steel warehouse", "141", "Mixed Construction", "2"),
+    ("masonry addition", "metal building", "141", "Mixed Construction", "2"), ("concrete parking", "steel office", "100", "Unknown", "0"), ("wood office extension", "steel", "141", "Mixed Construction", "2"),
 )
 UNKNOWN_FRAME = ("unknown frame", "unknown interior", "frame unknown", "unknown construction", "unspecified frame", "insufficient data")
+ABBREVIATIONS = {
+    "urm": "unreinforced masonry", "rm": "reinforced masonry", "rc": "reinforced concrete", "rcc": "reinforced concrete construction", "wf": "wood frame", "sf": "single family", "mf": "multi family",
+    "tilt": "tilt-up concrete", "src": "steel reinforced concrete", "smrf": "steel moment resisting frame", "mrf": "moment resisting frame", "cbf": "concentrically braced frame", "ebf": "eccentrically braced frame",
+    "cmu": "concrete masonry unit", "sfr": "single family residential", "sfh": "single family home", "mfr": "multi family residential", "pc": "precast concrete", "lwf": "light wood frame", "bi": "business interruption",
+    "tiv": "total insured value", "sqft": "square feet", "sqm": "square meters", "yb": "year built", "n/a": "not available",
+}
 COMPOUND = (" with ", " over ", " and ", " + ", " & ", " attached to ", " lower level", " upper level", " upper floor", " podium", " penthouse", " extension", " addition", "unknown")
 
 
@@ -89,43 +111,83 @@ def by_context(pairs: DataFrame, rules: DataFrame, context: Column) -> DataFrame
 
 
 def _any(text: Column, tokens: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(r"\burm\b") if t == "urm" else text.contains(t) for t in tokens])
+    """Whether the text has one of the tokens: single words as whole words, phrases anywhere."""
+    return text.rlike("|".join(rf"\Q{t}\E" if " " in t else rf"\b\Q{t}\E\b" for t in tokens))
+
+
+def _inside(text: Column, *parts: str) -> Column:
+    """Whether one of the parts stands anywhere, also within words."""
+    return text.rlike("|".join(rf"\Q{p}\E" for p in parts))
 
 
 def conflict(text: Column) -> Column:
-    """struct(code, category, confidence, rule) of a compound construction text, null if no rule applies.
+    """struct(code, category, iso_class, confidence, rule) of a compound construction text, null if no rule applies.
 
     Precedence: the weakest system governs, then combustible parts on masonry, mixed systems, tilt-up, heavy timber, the
-    frame before its facade, and last the cautious reading of an unknown frame.
+    frame before its facade, and last the cautious reading of an unknown frame. A light wood frame is found as the wood frame
+    that it contains, which comes first.
+    """
+    t = F.lower(F.trim(text))
+    res = lambda code, category, iso, confidence, rule: F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(iso).alias("iso_class"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"))
+    first = lambda cases: reduce(lambda w, c: w.when(*c), cases[1:], F.when(*cases[0]))
+    mixed = res("141", "Mixed Construction", "2", 0.92, "mixed_construction")
+    beside = []
+    for part, whole, code, category, iso in ADJACENT:
+        both = _inside(t, part) & _inside(t, whole)
+        if "wood office" in part and "metal" in whole:
+            beside.append((both & _inside(t, "interior"), res("152", "Metal Building", "3", 0.90, "primary_governs_interior_partition")))
+        beside.append((both, res(code, category, iso, 0.86, "mixed_construction")))
+    frame = first([(_any(t, (token,)), res(code, category, iso, 0.90, "frame_governs")) for token, code, category, iso in FRAMES])
+    unknown = _any(t, UNKNOWN_FRAME) | (_inside(t, "unknown") & _inside(t, "frame", "interior", "structure"))
+    rules = first([
+        (_any(t, URM), res("119", "Joisted Masonry", "2", 0.93, "urm_governs_weakest")),
+        (_any(t, MASONRY_WALLS) & _any(t, COMBUSTIBLE) & ~_inside(t, "partition", "interior office", "mezzanine"), res("119", "Joisted Masonry", "2", 0.93, "combustible_downgrade")),
+        (_inside(t, "wood upper", "wood floors", "wood penthouse") & _inside(t, "concrete", "rc"), mixed), (_inside(t, "wood upper", "wood floors") & _inside(t, "masonry", "cmu"), mixed), *beside,
+        (_inside(t, "cmu", "concrete masonry") & _inside(t, "wood upper", "wood level", "wood floor"), res("141", "Mixed Construction", "2", 0.91, "mixed_construction")),
+        (_any(t, TILT_UP), res("111", "Masonry Non-Combustible", "4", 0.92, "tilt_up_governs")), (_any(t, HEAVY_TIMBER) & _any(t, MASONRY_WALLS), res("104", "Heavy Timber", "7", 0.92, "heavy_timber_governs")),
+        (_any(t, tuple(f[0] for f in FRAMES)) & _any(t, FACADE), frame), (unknown, res("119", "Joisted Masonry", "2", 0.70, "unknown_frame_conservative_downgrade")),
+    ])
+    return F.when(_inside(t, *COMPOUND), rules)
+
+
+def conflict_hits(pairs: DataFrame, scenarios: DataFrame | None = None, abbreviations: dict[str, str] | None = None) -> DataFrame:
+    """scheme, value, rule, expanded: exact scenarios (text, code, confidence, optional category and iso_class) first, then the rules.
+
+    Abbreviations are written out before either is asked.
     """
-    t = F.concat(F.lit(" "), F.lower(F.trim(text)), F.lit(" "))
-    res = lambda code, category, confidence, rule: F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"))
-    upper_wood = _any(t, ("wood upper", "wood floor", "wood penthouse", "wood level"))
-    mixed = upper_wood & _any(t, ("concrete", "masonry", "cmu"))
-    beside = (_any(t, ("attached wood office", "wood office extension", "concrete block office")) & t.contains("steel")) | (t.contains("masonry addition") & t.contains("metal building"))
-    frame = reduce(lambda w, f: w.when(t.contains(f[0]), res(f[1], f[2], 0.90, "frame_governs")), FRAMES[1:], F.when(t.contains(FRAMES[0][0]), res(FRAMES[0][1], FRAMES[0][2], 0.90, "frame_governs")))
-    rules = (
-        F.when(_any(t, URM), res("119", "Joisted Masonry", 0.93, "urm_governs_weakest"))
-        .when(_any(t, MASONRY_WALLS) & _any(t, COMBUSTIBLE) & ~_any(t, ("partition", "interior office", "mezzanine")), res("119", "Joisted Masonry", 0.93, "combustible_downgrade"))
-        .when(mixed, res("141", "Mixed Construction", 0.92, "mixed_construction"))
-        .when(t.contains("interior") & t.contains("wood office") & t.contains("metal"), res("152", "Metal Building", 0.90, "primary_governs_interior_partition"))
-        .when(beside, res("141", "Mixed Construction", 0.86, "mixed_construction"))
-        .when(_any(t, TILT_UP), res("111", "Masonry Non-Combustible", 0.92, "tilt_up_governs"))
-        .when(_any(t, HEAVY_TIMBER) & _any(t, MASONRY_WALLS), res("104", "Heavy Timber", 0.92, "heavy_timber_governs"))
-        .when(frame.isNotNull() & _any(t, FACADE), frame)
-        .when(_any(t, UNKNOWN_FRAME), res("119", "Joisted Masonry", 0.70, "unknown_frame_conservative_downgrade"))
-    )
-    return F.when(_any(t, COMPOUND), rules)
-
-
-def by_conflict(pairs: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
-    """Exact scenarios (text, code, confidence) first, then the conflict rules."""
+    text = expand_words(F.trim("value"), abbreviations or {})
+    rows = pairs.select("scheme", "value", text.alias("_text")).withColumn("expanded", F.col("_text") != F.trim("value"))
     # exploded rather than filtered: a filter would carry the long expression below the aggregation of the pairs
-    rows = pairs.select("scheme", "value", F.explode_outer(F.array(conflict(F.col("value")))).alias("rule"))
+    rows = rows.select("scheme", "value", "expanded", F.lower("_text").alias("_key"), F.explode_outer(F.array(conflict(F.col("_text")))).alias("rule"))
     if scenarios is not None:
-        table = scenarios.select(F.lower(F.trim("text")).alias("_text"), F.struct(F.col("code"), F.lit("scenario").alias("category"), F.col("confidence").cast("double").alias("confidence"), F.lit("exact_scenario").alias("rule")).alias("_hit"))
-        rows = rows.join(table, F.lower(F.trim("value")) == F.col("_text"), "left").withColumn("rule", F.coalesce("_hit", "rule"))
-    return rows.filter(F.col("rule.code").isNotNull()).select("scheme", "value", "rule.code", "rule.confidence", F.lit("conflict").alias("method"), F.lit(None).cast("string").alias("scheme_override"))
+        about = lambda c: F.col(c) if c in scenarios.columns else F.lit(None).cast("string")
+        hit = F.struct(F.col("code"), about("category").alias("category"), about("iso_class").alias("iso_class"), F.col("confidence").cast("double").alias("confidence"), F.lit("exact_scenario").alias("rule"))
+        rows = rows.join(scenarios.select(F.lower(F.trim("text")).alias("_scenario"), hit.alias("_hit")), F.col("_key") == F.col("_scenario"), "left").withColumn("rule", F.coalesce("_hit", "rule"))
+    return rows.filter(F.col("rule.code").isNotNull()).select("scheme", "value", "rule", "expanded")
+
+
+def by_conflict(pairs: DataFrame, scenarios: DataFrame | None = None, abbreviations: dict[str, str] | None = None, isf: DataFrame | None = None, target: str = "AIR") -> DataFrame:
+    """The stage of conflict rules. isf: key (ISO class), code, of the classes that are written as fire classes.
+
+    Only the AIR target takes these codes; for others there is no hit, and conflict_hints has what was found. A class other than
+    1 with a fire class gets that code and the scheme ISF.
+    """
+    hits = conflict_hits(pairs, scenarios, abbreviations)
+    if target != "AIR":
+        hits = hits.filter("false")
+    if isf is not None:
+        fire = isf.filter("key <> '1' AND code IS NOT NULL").groupBy("key").agg(F.min("code").alias("_fire"))
+        hits = hits.join(fire, F.col("rule.iso_class") == F.col("key"), "left")
+    else:
+        hits = hits.withColumn("_fire", F.lit(None).cast("string"))
+    return hits.select("scheme", "value", F.coalesce("_fire", "rule.code").alias("code"), "rule.confidence", F.lit("conflict").alias("method"), F.when(F.col("_fire").isNotNull(), "ISF").alias("scheme_override"))
+
+
+def conflict_hints(pairs: DataFrame, rules: Rules, scenarios: DataFrame | None = None, abbreviations: dict[str, str] | None = None, target: str = "AIR") -> DataFrame:
+    """What the conflict rules found and do not decide: all of it for targets other than AIR, else what is below the threshold."""
+    hits = conflict_hits(pairs, scenarios, abbreviations)
+    low = F.lit(True) if target != "AIR" else F.col("rule.confidence") < rules.deterministic_score_threshold
+    return hits.filter(low).select("scheme", "value", F.col("rule.code").alias("hint_code"), F.col("rule.category").alias("hint_category"), F.col("rule.confidence").alias("hint_confidence"), F.col("rule.rule").alias("hint_rule"), "expanded")
 
 
 def keyword_scores(texts: DataFrame, codes: DataFrame, abbreviations: dict[str, str] | None = None) -> DataFrame:
@@ -206,11 +268,13 @@ def confident(stage: DataFrame, rules: Rules) -> DataFrame:
     return stage.filter(F.col("confidence") >= least)
 
 
-def cascade(pairs: DataFrame, stages: list[DataFrame], default: str = "100", rules: Rules | None = None) -> DataFrame:
+def cascade(pairs: DataFrame, stages: list[DataFrame], default: str | None = None, rules: Rules | None = None, field: str = "construction", target: str = "AIR") -> DataFrame:
     """Of the stages (each scheme, value, code, confidence, method, scheme_override), the first with a hit per pair; else the default.
 
-    With rules, a hit under the threshold of its method is none: later stages are asked, and at last the default holds.
+    With rules, a hit under the threshold of its method is none: later stages are asked, and at last the default holds. The
+    default is that of the rules for the field and target, if none is given.
     """
+    default = default or (rules or Rules()).default_code(field, target)
     columns = ["scheme", "value", "code", "confidence", "method", "scheme_override"]
     union = reduce(DataFrame.unionByName, [(s if rules is None else confident(s, rules)).select(*columns, F.lit(i).alias("stage")) for i, s in enumerate(stages)])
     first = union.groupBy("scheme", "value").agg(F.min_by(F.struct("code", "confidence", "method", "scheme_override"), F.struct("stage", "code")).alias("hit"))

@@ -204,3 +204,32 @@ SELECT row_index, street AS Street, city AS City, CASE WHEN NOT us THEN st WHEN
     CASE WHEN zip IS NULL THEN 'missing_postal' WHEN us THEN CASE n WHEN 1 THEN 'zip_padded' WHEN 2 THEN 'zip_plus4_stripped' WHEN 3 THEN 'invalid_zip_has_letters' END END, CASE WHEN odd THEN 'unresolvable_country' END,
     CASE n WHEN 1 THEN 'coordinates_reversed' WHEN 2 THEN 'coordinates_zero' WHEN 3 THEN 'non_numeric_coordinates' WHEN 5 THEN 'missing_lat_or_lon' END, CASE WHEN n = 1 THEN 'low_precision_coordinates' END,
     CASE WHEN home AND n IN (0, 1) THEN 'positive_longitude_in_us' END], lambda x: x IS NOT NULL)), '|') AS issues FROM a"""
+
+# the abbreviations one after another, longest first
+_SHORT = "urm=unreinforced masonry;rm=reinforced masonry;rc=reinforced concrete;rcc=reinforced concrete construction;wf=wood frame;sf=single family;mf=multi family;tilt=tilt-up concrete;src=steel reinforced concrete;smrf=steel moment resisting frame;mrf=moment resisting frame;cbf=concentrically braced frame;ebf=eccentrically braced frame;cmu=concrete masonry unit;sfr=single family residential;sfh=single family home;mfr=multi family residential;pc=precast concrete;lwf=light wood frame;bi=business interruption;tiv=total insured value;sqft=square feet;sqm=square meters;yb=year built;n/a=not available"
+_EXPAND = "value"
+for _pair in sorted(_SHORT.split(";"), key=lambda p: -len(p.split("=")[0])):
+    _EXPAND = f"regexp_replace({_EXPAND}, '\\b{_pair.split('=')[0]}\\b', '{_pair.split('=')[1]}', 'gi')"
+_COMPOUND = """k AS (SELECT DISTINCT CASE WHEN p_partkey % 31 = 0 THEN 'Blue rod and small bolt' ELSE ['URM walls', 'lwf', 'RC frame', 'cmu walls', 'Timber frame', 'HT', 'tilt', 'metal building', 'glulam', 'unknown frame', 'steel', 'wood office'][p_partkey % 12 + 1]
+  || [' with ', ' over ', ' and ', ', '][p_size % 4 + 1] || ['brick veneer', 'wood roof', 'masonry walls', 'concrete foundation', 'wood floors', 'masonry front', 'a canopy', 'interior wood office in metal warehouse', 'attached wood office', 'n/a'][p_partkey % 10 + 1]
+  || ' ' || string_split(p_name, ' ')[1] END AS value FROM part)"""
+SQL["expand_abbreviations"] = f"WITH {_COMPOUND}, t AS (SELECT value FROM k UNION SELECT text FROM conversations) SELECT value, {_EXPAND} AS expanded FROM t"
+# the rules as a table: what must stand in the text, in the order in which they are asked
+_HITS = f"""WITH {_COMPOUND}, e AS (SELECT value, {_EXPAND} AS x, lower({_EXPAND}) AS t FROM k),
+w AS (SELECT *, regexp_matches(t, 'masonry walls|concrete masonry unit walls') AS walls, regexp_matches(t, 'brick veneer|concrete foundation|masonry front|canopy|interior wood office') AS facade FROM e),
+h AS (SELECT value, x <> value AS expanded, CASE
+  WHEN NOT regexp_matches(t, ' with | over | and |unknown') THEN NULL
+  WHEN contains(t, 'unreinforced masonry') THEN '119,Joisted Masonry,2,0.93,urm_governs_weakest'
+  WHEN walls AND regexp_matches(t, 'wood roof|wood floors') THEN '119,Joisted Masonry,2,0.93,combustible_downgrade'
+  WHEN contains(t, 'wood floors') AND regexp_matches(t, 'concrete|rc|masonry') THEN '141,Mixed Construction,2,0.92,mixed_construction'
+  WHEN contains(t, 'attached wood office') AND contains(t, 'steel') THEN '141,Mixed Construction,2,0.86,mixed_construction'
+  WHEN contains(t, 'wood office') AND contains(t, 'metal warehouse') THEN '152,Metal Building,3,0.90,primary_governs_interior_partition'
+  WHEN regexp_matches(t, 'tilt-up') THEN '111,Masonry Non-Combustible,4,0.92,tilt_up_governs'
+  WHEN regexp_matches(t, '\\bht\\b|glulam') AND walls THEN '104,Heavy Timber,7,0.92,heavy_timber_governs'
+  WHEN facade AND contains(t, 'concrete frame') THEN '131,Concrete Frame,6,0.90,frame_governs' WHEN facade AND contains(t, 'metal building') THEN '152,Metal Building,3,0.90,frame_governs'
+  WHEN facade AND contains(t, 'wood frame') THEN '101,Frame,1,0.90,frame_governs' WHEN facade AND contains(t, 'timber frame') THEN '100,Unknown,0,0.90,frame_governs'
+  WHEN contains(t, 'unknown frame') THEN '119,Joisted Masonry,2,0.70,unknown_frame_conservative_downgrade' END AS hit FROM w),
+r AS (SELECT value, expanded, string_split(hit, ',') AS p FROM h WHERE hit IS NOT NULL)"""
+SQL["conflict_routing"] = f"""{_HITS} SELECT value, CASE p[3] WHEN '2' THEN 'F2' WHEN '3' THEN 'F3' WHEN '4' THEN 'F4' WHEN '5' THEN 'F5' WHEN '6' THEN 'F6' ELSE p[1] END AS code, p[4]::DOUBLE AS confidence, CASE WHEN p[3] IN ('2', '3', '4', '5', '6') THEN 'ISF' END AS scheme_override FROM r
+UNION ALL SELECT value, 'F5', 0.97, 'ISF' FROM k WHERE value = 'Blue rod and small bolt'"""
+SQL["conflict_hints"] = f"{_HITS} SELECT value, p[1] AS hint_code, p[2] AS hint_category, p[4]::DOUBLE AS hint_confidence, p[5] AS hint_rule, expanded FROM r"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, normalize, portfolio, review
 from sovara.flags import drop_flags, flags_table
 from sovara.operators.cells import by_distinct
+from sovara.functions.text import expand_words
 from sovara.plans.exposure import exposure
 from sovara.rules import PRESETS, Rules
 from sovara.streaming.ingest import clean_stream
@@ -226,6 +227,35 @@ def conflict_rules(s: SparkSession, d: str) -> DataFrame:
     return codes.by_conflict(_pairs(s, d)).select("scheme", "value", "code", "confidence")
 
 
+#: ISO classes and their fire classes; the scenario that no rule knows.
+FIRE = [("0", None), ("1", "F1"), ("2", "F2"), ("3", "F3"), ("4", "F4"), ("5", "F5"), ("6", "F6"), ("7", None)]
+SCENARIOS = [("blue rod and small bolt", "153", 0.97, "5")]
+
+
+def _compound(s: SparkSession, d: str) -> DataFrame:
+    """Construction texts of parts: abbreviations and words of their names and types beside each other."""
+    part = s.read.parquet(f"{d}/part.parquet")
+    words = F.array(*map(F.lit, ("URM walls", "lwf", "RC frame", "cmu walls", "Timber frame", "HT", "tilt", "metal building", "glulam", "unknown frame", "steel", "wood office")))
+    more = F.array(*map(F.lit, ("brick veneer", "wood roof", "masonry walls", "concrete foundation", "wood floors", "masonry front", "a canopy", "interior wood office in metal warehouse", "attached wood office", "n/a")))
+    link = F.array(*map(F.lit, (" with ", " over ", " and ", ", ")))
+    pick = lambda ws, by: F.element_at(ws, (F.col("p_partkey") % by + 1).cast("int"))
+    text = F.when(F.col("p_partkey") % 31 == 0, F.lit("Blue rod and small bolt")).otherwise(F.concat(pick(words, 12), F.element_at(link, (F.col("p_size") % 4 + 1).cast("int")), pick(more, 10), F.lit(" "), F.substring_index("p_name", " ", 1)))
+    return part.select(F.lit("").alias("scheme"), text.alias("value")).distinct()
+
+
+def conflict_routing(s: SparkSession, d: str) -> DataFrame:
+    return codes.by_conflict(_compound(s, d), s.createDataFrame(SCENARIOS, "text string, code string, confidence double, iso_class string"), codes.ABBREVIATIONS, s.createDataFrame(FIRE, "key string, code string")).select("value", "code", "confidence", "scheme_override")
+
+
+def conflict_hints(s: SparkSession, d: str) -> DataFrame:
+    return codes.conflict_hints(_compound(s, d), RULES, None, codes.ABBREVIATIONS, "RMS").select("value", "hint_code", "hint_category", "hint_confidence", "hint_rule", "expanded")
+
+
+def expand_abbreviations(s: SparkSession, d: str) -> DataFrame:
+    texts = _compound(s, d).select("value").union(s.read.parquet(f"{d}/conversations.parquet").select("text")).distinct()
+    return texts.select("value", expand_words(F.col("value"), codes.ABBREVIATIONS).alias("expanded"))
+
+
 def _cascade(s: SparkSession, d: str, rules: Rules | None = None) -> DataFrame:
     pairs = _pairs(s, d)
     iso = codes.by_class(pairs, s.createDataFrame(ISO, CLASS), codes.is_iso(F.col("scheme"), F.col("value")), "iso_direct")

@@ -22,10 +22,18 @@ class Rules:
     invalid_value_action: str = "flag_review"  # or reset_value, none
     deterministic_score_threshold: float = 0.85  # conflict rules and keywords below it give way to later stages
     tfidf_confidence_threshold: float = 0.50  # neighbours below it give way to the default code
+    default_occupancy_air: str = "311"
+    default_construction_air: str = "100"
+    default_occupancy_rms: str = "Com1"
+    default_construction_rms: str = "W1"
     policy_id: str = ""
     insured_name: str = ""
     default_line_of_business: str = "COM"
 
+    def default_code(self, field: str, target: str) -> str:
+        """The code of what nothing else explains. field: occupancy or construction."""
+        return getattr(self, f"default_{field}_{target.lower()}")
+
 
 PRESETS = {
     "standard": Rules(),
@@ -36,7 +44,7 @@ PRESETS = {
         year_min=1850, max_stories_wood_frame=2, stories_exceeded_action="reset_construction", min_area_sqft=200.0, max_building_value=50_000_000, max_contents_value=25_000_000, max_bi_value=10_000_000,
         deterministic_score_threshold=0.90, tfidf_confidence_threshold=0.60,
     ),
-    "Balanced": Rules(max_building_value=100_000_000, max_contents_value=50_000_000, max_bi_value=25_000_000),
+    "Balanced": Rules(year_min=1800, max_building_value=100_000_000, max_contents_value=50_000_000, max_bi_value=25_000_000),
     "Permissive": Rules(
         max_stories_wood_frame=5, stories_exceeded_action="none", min_area_sqft=50.0, invalid_area_action="none", max_building_value=500_000_000, max_contents_value=200_000_000, max_bi_value=100_000_000,
         invalid_value_action="none", deterministic_score_threshold=0.70, tfidf_confidence_threshold=0.30,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sovara.flags import flags_table
-from sovara.functions.text import lenient_number, title_case, token_sort_ratio
+from sovara.functions.text import expand_words, lenient_number, title_case, token_sort_ratio
 from sovara.operators import address, cleaning, codes, dictionary, identity, layout, mapping, portfolio, review
 from sovara.operators.cells import in_place
 from sovara.rules import PRESETS, Rules
@@ -121,12 +121,41 @@ def test_raw_address_columns(spark):
 @pytest.mark.parametrize("text,code", [
     ("Steel frame with masonry infill walls", "151"), ("CMU walls with wood roof joists", "119"), ("Tilt-up concrete walls with steel roof deck", "111"), ("Concrete podium with wood upper floors", "141"),
     ("Heavy timber with masonry walls", "104"), ("Brick exterior, unknown frame", "119"), ("wood frame", None),
+    ("timber frame with brick veneer", "100"), ("clt and masonry walls", "104"), ("HT with masonry walls", "104"), ("concrete frame over concrete foundation", "131"), ("steel frame with masonry front", "151"),
+    ("light wood frame with stone veneer", "101"), ("height of masonry walls and more", None), ("church with wood floors", "141"), ("pre-engineered metal building with canopy", "152"), ("concrete parking and steel office", "100"),
+    ("interior wood office in metal warehouse and shed", "152"), ("wood office beside metal warehouse and shed", "152"), ("masonry walls with wood mezzanine", None), ("cmu and wood level", "141"), ("structure unknown", "119"), ("curm and steel", None),
 ])
 def test_conflict_rules(spark, text, code):
     row = spark.range(1).select(codes.conflict(F.lit(text)).alias("c")).first()["c"]
     assert (row and row["code"]) == code
 
 
+@pytest.mark.parametrize("tokens,beside,code", [(codes.URM, "steel and ", "119"), (codes.MASONRY_WALLS, "wood roof and ", "119"), (codes.COMBUSTIBLE[:-1], "block walls and ", "119"), (codes.TILT_UP, "steel deck and ", "111"), (codes.HEAVY_TIMBER, "brick walls and ", "104"), (codes.FACADE, "steel frame and ", "151"), (codes.UNKNOWN_FRAME, "brick and ", "119")])
+def test_every_token_of_the_conflict_rules(spark, tokens, beside, code):
+    rows = spark.createDataFrame([(beside + t,) for t in tokens], "t string").select("t", codes.conflict(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] and r["c"]["code"] for r in rows} == {beside + t: code for t in tokens}
+
+
+def test_conflicts_are_routed(spark):
+    pairs = spark.createDataFrame([("", "Steel frame w/ URM and RC"), ("", "lwf with canopy"), ("", "unknown frame")], "scheme string, value string")
+    fire = spark.createDataFrame([("2", "F2"), ("1", "F1")], "key string, code string")
+    got = {r["value"]: (r["code"], r["scheme_override"]) for r in codes.by_conflict(pairs, None, codes.ABBREVIATIONS, fire).collect()}
+    assert got == {"Steel frame w/ URM and RC": ("F2", "ISF"), "lwf with canopy": ("101", None), "unknown frame": ("F2", "ISF")}
+    assert codes.by_conflict(pairs, target="RMS").count() == 0
+    low = codes.conflict_hints(pairs, RULES, None, codes.ABBREVIATIONS).collect()
+    assert [(r["value"], r["hint_code"], r["expanded"]) for r in low] == [("unknown frame", "119", False)]
+    assert codes.conflict_hints(pairs, RULES, None, codes.ABBREVIATIONS, "RMS").count() == 3
+    for field, target, code in (("occupancy", "AIR", "311"), ("construction", "AIR", "100"), ("occupancy", "RMS", "Com1"), ("construction", "RMS", "W1")):
+        assert codes.cascade(pairs, [codes.by_conflict(pairs.limit(0))], rules=RULES, field=field, target=target).first()["code"] == code
+
+
+def test_abbreviations_in_one_walk(spark):
+    texts = ["RC/rcc N/A n/ab", "tilt tilt-up", "src_rc rc-src", "", None, "sf sqft SQFT", "Été rc"]
+    wanted = ["reinforced concrete/reinforced concrete construction not available n/ab", "tilt-up concrete tilt-up concrete-up", "src_rc reinforced concrete-steel reinforced concrete", "", None, "single family square feet square feet", "Été reinforced concrete"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", expand_words(F.col("t"), codes.ABBREVIATIONS).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == wanted
+
+
 def test_modifiers(spark):
     texts = spark.createDataFrame([("3",), ("Clay Tiles",), ("slate and wood shingles",), ("99",), ("",), (None,)], "text string")
     aliases = spark.createDataFrame([("r", "clay tiles", 6)], "section string, alias string, code int")
