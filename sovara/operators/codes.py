@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sovara.functions.text import blank_to_null, expand_words, simplify
 from sovara.rules import Rules
+from sovara.sources.scratch import written
 
 # Labels, classes and tokens that the results depend on.
 ATC_SCHEMES = ("ATC", "ATC_CLASS", "ATC_OCC", "OCCTYPE", "OCC_TYPE", "RMS", "RMS_OCC", "RMS_OCC_CODE", "RMSATC")
@@ -239,23 +240,43 @@ def best_codes(scores: DataFrame, codes: DataFrame) -> DataFrame:
     return out.select("text", F.col("top.code").alias("code"), F.col("top.score").alias("score"), "confidence", alternatives.alias("alternatives"))
 
 
+def _unit(weights: DataFrame, key: str) -> DataFrame:
+    """key, word, w with vectors of length 1."""
+    size = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return weights.join(size, key).select(key, "word", (F.col("w") / F.col("size")).alias("w"))
+
+
+def essential_words(vectors: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """Words of each text of which one must be shared with every vector of the table that reaches `least`: key, word.
+
+    Words are taken from the most common of the table on. As long as their weights times the largest weight that the table has
+    for each, or the length of what they make up, stay below `least`, they cannot reach it alone and need not be looked up.
+    """
+    of_word = table.groupBy("word").agg(F.max("w").alias("most"), F.count("*").alias("codes"))
+    upto = Window.partitionBy("key").orderBy(F.desc("codes"), "word")
+    bound = F.least(F.sum(F.col("w") * F.col("most")).over(upto), F.sqrt(F.sum(F.col("w") * F.col("w")).over(upto)))
+    return vectors.join(of_word, "word").withColumn("bound", bound).filter(F.col("bound") >= least - 1e-6).select("key", "word")
+
+
 def tfidf_neighbours(texts: DataFrame, codes: DataFrame, top: int = 3, least: float = 0.1) -> DataFrame:
     """The codes whose vocabulary is nearest by TF-IDF cosine. texts: text; codes: code, words (text). Returns text, code, similarity, rank.
 
-    Cosines are sums over common words, so the product is an equi-join on words: words are weighed by the codes' table and
-    only words of the table meet.
+    Words are weighed by the codes' table. Pairs meet on essential words only, so a common word is no meeting point of all with
+    all; the pairs that met are scored exactly over all their words, by (text, word), where no key is hot.
     """
     tokens = lambda c: F.explode(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
     n = codes.select("code").distinct().count()  # size of the dictionary
     counted = codes.select("code", tokens(F.col("words")).alias("word")).groupBy("code", "word").agg(F.count("*").alias("tf"))
     idf = counted.groupBy("word").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    unit = lambda df, key: df.join(df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")), key).select(key, "word", (F.col("w") / F.col("size")).alias("w"))
-    left = unit(counted.join(idf, "word").select("code", "word", (F.col("tf") * F.col("idf")).alias("w")), "code")
-    asked = texts.select("text").distinct().select("text", tokens(F.col("text")).alias("word")).groupBy("text", "word").agg(F.count("*").alias("tf"))
-    right = unit(asked.join(idf, "word").select("text", "word", (F.col("tf") * F.col("idf")).alias("w")), "text")
-    near = right.join(left.withColumnRenamed("w", "w2"), "word").groupBy("text", "code").agg(F.bround(F.sum(F.col("w") * F.col("w2")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "code"))
-    return near.filter(F.col("similarity") > least).withColumn("rank", rank).filter(F.col("rank") <= top)
+    left = written(_unit(counted.join(idf, "word").select("code", "word", (F.col("tf") * F.col("idf")).alias("w")), "code"))
+    named = texts.select("text").distinct().withColumn("key", F.sha2("text", 256))
+    asked = named.select("key", tokens(F.col("text")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    right = written(_unit(asked.join(idf, "word").select("key", "word", (F.col("tf") * F.col("idf")).alias("w")), "key"))
+    met = essential_words(right, left, least).join(left.select("word", "code"), "word").select("key", "code").distinct()
+    shared = met.join(left.withColumnRenamed("w", "w2"), "code").join(right, ["key", "word"])
+    near = shared.groupBy("key", "code").agg(F.bround(F.sum(F.col("w") * F.col("w2")), 6).alias("similarity")).filter(F.col("similarity") > least)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "code"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= top).join(named, "key").select("text", "code", "similarity", "rank")
 
 
 def tfidf_confidence(similarity: Column) -> Column:
@@ -282,18 +303,36 @@ def cascade(pairs: DataFrame, stages: list[DataFrame], default: str | None = Non
     return rows.select(*pairs.columns, F.coalesce("hit.code", F.lit(default)).alias("code"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("hit.method", F.lit("default")).alias("method"), F.col("hit.scheme_override").alias("scheme_override"))
 
 
+def longest_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The longest token that stands in each text, of equally long ones the first. texts: key; tokens: token, code, ordinal.
+
+    A token can only stand in a text that has its rarest three letters in a row, so it is dealt by these and meets the texts in an
+    equi-join; tokens of one or two letters meet on themselves. Any number of tokens may be asked.
+    """
+    wanted = tokens.select(F.lower("token").alias("token"), "code", "ordinal").filter("token <> ''").groupBy("token").agg(F.min_by(F.struct("code", "ordinal"), F.struct("ordinal", "code")).alias("own"))
+    grams = lambda c, n: f"array_distinct(transform(sequence(1, length({c}) - {n - 1}), i -> substr({c}, i, {n})))"
+    cut = wanted.filter("length(token) >= 3").select("token", F.expr(f"explode({grams('token', 3)}) as gram"))
+    rare = cut.join(cut.groupBy("gram").agg(F.count("*").alias("tokens")), "gram").groupBy("token").agg(F.min_by("gram", F.struct("tokens", "gram")).alias("gram"))
+    keys = texts.select("key").distinct()
+    long = keys.filter("length(key) >= 3").select("key", F.expr(f"explode({grams('key', 3)}) as gram")).join(rare, "gram").filter("contains(key, token)").select("key", "token")
+    short = wanted.filter("length(token) < 3").select("token")
+    pieces = [keys.filter(f"length(key) >= {n}").select("key", F.expr(f"explode({grams('key', n)}) as token")) for n in (1, 2)]
+    found = long.unionByName(pieces[0].unionByName(pieces[1]).join(short, "token").select("key", "token")).join(wanted, "token")
+    best = found.groupBy("key").agg(F.max_by(F.struct("token", "own.code"), F.struct(F.length("token"), -F.col("own.ordinal"))).alias("best"))
+    return best.select("key", "best.token", "best.code")
+
+
 def modifier_codes(texts: DataFrame, section: str, highest: int, aliases: DataFrame, tokens: DataFrame) -> DataFrame:
     """Secondary modifier of each distinct text: a number in range, an alias, the longest token inside it, else 0.
 
-    aliases: section, alias, code. tokens: section, token, code, ordinal; tokens are few and are matched as one array per row.
+    aliases: section, alias, code. tokens: section, token, code, ordinal.
     """
     rows = texts.select("text").distinct().withColumn("key", simplify(F.col("text")))
     named = aliases.filter(F.col("section") == section).groupBy(simplify(F.col("alias")).alias("key")).agg(F.min("code").alias("alias_code"))
-    listed = tokens.filter(F.col("section") == section).agg(F.collect_list(F.struct(F.length("token").alias("n"), (-F.col("ordinal")).alias("o"), "token", "code")).alias("list"))  # one row
-    rows = rows.join(named, "key", "left").crossJoin(F.broadcast(listed))
-    longest = F.array_max(F.filter("list", lambda t: F.contains(F.col("key"), F.lower(t["token"]))))
+    inside = longest_tokens(rows, tokens.filter(F.col("section") == section)).select("key", F.col("code").alias("token_code"))
+    rows = rows.join(named, "key", "left").join(inside, "key", "left")
     number = F.when(F.trim("text").rlike(r"^\d{1,4}(\.0+)?$"), F.trim("text").cast("double").cast("int"))
     direct = F.when(number.between(0, highest), number)
-    method = F.when(blank_to_null(F.col("text")).isNull(), "empty").when(direct.isNotNull(), "integer").when(F.col("alias_code").isNotNull(), "alias").when(longest.isNotNull(), "token").otherwise("default")
+    method = F.when(blank_to_null(F.col("text")).isNull(), "empty").when(direct.isNotNull(), "integer").when(F.col("alias_code").isNotNull(), "alias").when(F.col("token_code").isNotNull(), "token").otherwise("default")
     confidence = F.when(method == "integer", 1.0).when(method == "alias", 0.97).when(method == "token", 0.85).otherwise(0.0)
-    return rows.select("text", F.coalesce(direct, "alias_code", longest["code"], F.lit(0)).cast("int").alias("code"), method.alias("method"), confidence.alias("confidence"))
+    return rows.select("text", F.coalesce(direct, "alias_code", "token_code", F.lit(0)).cast("int").alias("code"), method.alias("method"), confidence.alias("confidence"))

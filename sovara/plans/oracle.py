@@ -233,3 +233,10 @@ r AS (SELECT value, expanded, string_split(hit, ',') AS p FROM h WHERE hit IS NO
 SQL["conflict_routing"] = f"""{_HITS} SELECT value, CASE p[3] WHEN '2' THEN 'F2' WHEN '3' THEN 'F3' WHEN '4' THEN 'F4' WHEN '5' THEN 'F5' WHEN '6' THEN 'F6' ELSE p[1] END AS code, p[4]::DOUBLE AS confidence, CASE WHEN p[3] IN ('2', '3', '4', '5', '6') THEN 'ISF' END AS scheme_override FROM r
 UNION ALL SELECT value, 'F5', 0.97, 'ISF' FROM k WHERE value = 'Blue rod and small bolt'"""
 SQL["conflict_hints"] = f"{_HITS} SELECT value, p[1] AS hint_code, p[2] AS hint_category, p[4]::DOUBLE AS hint_confidence, p[5] AS hint_rule, expanded FROM r"
+
+SQL["tfidf_documents"] = SQL["tfidf_topk"].replace("FROM conversations", "FROM documents").replace("SELECT text, code, similarity, rank::INT", "SELECT md5(text) AS text_md5, code, similarity, rank::INT")
+SQL["modifier_tokens"] = """WITH k AS (SELECT token, arg_min(code, o) AS code, min(o) AS o FROM (SELECT lower(unnest([array_to_string(string_split(p_name, ' ')[1:2], ' '), string_split(lower(p_type), ' ')[-1], string_split(lower(p_type), ' ')[1]])) AS token, p_partkey % 11 AS code, p_partkey AS o FROM part WHERE p_size % 5 = 0) GROUP BY 1),
+t AS (SELECT DISTINCT p_name AS text, lower(p_name) AS key FROM part), a AS (SELECT DISTINCT lower(p_name) AS key FROM part WHERE p_size = 1),
+m AS (SELECT key, arg_max(code, length(token) * 1000000 - o) AS code FROM (SELECT DISTINCT key FROM t) JOIN k ON contains(key, token) GROUP BY key)
+SELECT text, CASE WHEN a.key IS NOT NULL THEN 11 ELSE coalesce(m.code, 0) END::INT AS code, CASE WHEN a.key IS NOT NULL THEN 'alias' WHEN m.code IS NOT NULL THEN 'token' ELSE 'default' END AS method, CASE WHEN a.key IS NOT NULL THEN 0.97 WHEN m.code IS NOT NULL THEN 0.85 ELSE 0 END::DOUBLE AS confidence
+FROM t LEFT JOIN a USING (key) LEFT JOIN m USING (key)"""

@@ -11,7 +11,7 @@ from sovara.operators import address, cleaning, codes, dictionary, identity, lay
 from sovara.flags import drop_flags, flags_table
 from sovara.operators.cells import by_distinct
 from sovara.functions.text import expand_words
-from sovara.plans.exposure import exposure
+from sovara.plans.exposure import exposure, spread
 from sovara.rules import PRESETS, Rules
 from sovara.streaming.ingest import clean_stream
 
@@ -303,6 +303,22 @@ def tfidf_topk(s: SparkSession, d: str) -> DataFrame:
     return near.select("text", "code", "similarity", "rank", codes.tfidf_confidence(F.col("similarity")).alias("confidence"))
 
 
+def tfidf_documents(s: SparkSession, d: str) -> DataFrame:
+    """Benchmark items nearest to each distinct text of the documents."""
+    bench = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("code"), F.col("text").alias("words"))
+    near = codes.tfidf_neighbours(spread(s.read.parquet(f"{d}/documents.parquet").select("text")), bench)
+    return near.select(F.md5("text").alias("text_md5"), "code", "similarity", "rank", codes.tfidf_confidence(F.col("similarity")).alias("confidence"))
+
+
+def modifier_tokens(s: SparkSession, d: str) -> DataFrame:
+    """Names of parts against the first two words and the kinds of other parts as tokens."""
+    part = s.read.parquet(f"{d}/part.parquet")
+    token = F.explode(F.array(F.substring_index("p_name", " ", 2), F.substring_index(F.lower("p_type"), " ", -1), F.substring_index(F.lower("p_type"), " ", 1)))
+    tokens = part.filter("p_size % 5 = 0").select(F.lit("roof_cover").alias("section"), token.alias("token"), (F.col("p_partkey") % 11).cast("int").alias("code"), F.col("p_partkey").cast("int").alias("ordinal"))
+    aliases = part.filter("p_size = 1").select(F.lit("roof_cover").alias("section"), F.col("p_name").alias("alias"), F.lit(11).alias("code"))
+    return codes.modifier_codes(part.select(F.col("p_name").alias("text")), "roof_cover", 11, aliases, tokens)
+
+
 def fuzzy_topk(s: SparkSession, d: str) -> DataFrame:
     part = s.read.parquet(f"{d}/part.parquet")
     aliases = part.select(F.col("p_type").alias("alias"), F.substring_index("p_type", " ", 1).alias("canonical")).distinct()

@@ -1,6 +1,8 @@
 """Operators that once lost matches: against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,43 @@ def test_keyword_scores_of_short_phrases(spark):
     got = codes.keyword_scores(spark.createDataFrame([(t,) for t in set(texts)], "text string"), dictionary)
     assert {(r["text"], r["code"]): pytest.approx(r["score"]) for r in got.collect()} == wanted
     assert got.groupBy("text", "code").agg(F.count("*").alias("n")).filter("n > 1").count() == 0
+
+
+def test_longest_tokens_against_brute_force(spark):
+    """Tokens of all lengths, those of one and two letters included, in several alphabets; the first of equally long ones."""
+    rng = random.Random(5)
+    some = lambda k: "".join(rng.choices("abc- где年", k=k))
+    tokens = [(some(rng.randint(1, 5)), i % 7, i) for i in range(150)] + [("", 1, 500), ("abc", 1, 501), ("abc", 2, 502)]
+    texts = [*{some(rng.randint(0, 12)) for _ in range(300)}, "z", "zz"]
+    wanted = {}
+    for t in texts:
+        inside = [(len(k), -o, k, c) for k, c, o in tokens if k and k in t]
+        if inside:
+            wanted[t] = max(inside)[2:]
+    got = codes.longest_tokens(spark.createDataFrame([(t,) for t in texts], "key string"), spark.createDataFrame(tokens, "token string, code int, ordinal int"))
+    assert {r["key"]: (r["token"], r["code"]) for r in got.collect()} == wanted and len(wanted) > 200
+    assert codes.longest_tokens(spark.createDataFrame([("a",)], "key string"), spark.createDataFrame([], "token string, code int, ordinal int")).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.8])
+def test_neighbours_against_all_pairs(spark, least):
+    """Common words in every text and code, ties, repeated and empty texts: no pair that reaches the limit is lost."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["the", "of", "roof", *(f"w{rng.randrange(40)}" for _ in range(4))]) for _ in range(n))
+    table = [(f"c{i}", words(rng.randint(2, 20))) for i in range(40)] + [("same", "roof roof of"), ("same2", "roof of roof"), ("none", "")]
+    texts = [words(rng.randint(1, 40)) for _ in range(80)] + ["", None, "the", "unknown words"]
+    vector = lambda t: Counter(w for w in (t or "").split() if len(w) > 1)
+    found = {c: vector(t) for c, t in table}
+    df = Counter(w for v in found.values() for w in v)
+    weigh = lambda v: {w: n * (math.log((len(table) + 1) / (df[w] + 1)) + 1) for w, n in v.items() if w in df}
+    norm = lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    codes_ = {c: norm(weigh(v)) for c, v in found.items()}
+    wanted = {}
+    for t in set(texts) - {None}:
+        own = norm(weigh(vector(t)))
+        for c, v in codes_.items():
+            s = sum(x * v.get(w, 0) for w, x in own.items())
+            if round(s, 6) > least:
+                wanted[t, c] = round(s, 5)
+    got = codes.tfidf_neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(table, "code string, words string"), top=1000, least=least)
+    assert {(r["text"], r["code"]): pytest.approx(r["similarity"], abs=2e-5) for r in got.collect()} == wanted and len(wanted) > 3
