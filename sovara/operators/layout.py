@@ -24,10 +24,10 @@ AIR_LAYERS = (("1", "PEA"), ("2", "PSH"), ("3", "PWX"), ("4", "PFL"), ("5", "PWB
 RMS_LAYERS = (("EQ", "1"), ("HU", "2"), ("SCS", "3"), ("FL", "4"), ("FR", "5"), ("TR", "6"))
 
 
-def fixed_layout(df: DataFrame, target: str) -> DataFrame:
-    """The target's columns as text, in order; absent columns and nulls are empty."""
+def fixed_layout(df: DataFrame, target: str, *keep: str) -> DataFrame:
+    """The target's columns as text, in order; absent columns and nulls are empty. Columns to keep stay with an underscore."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
-    return df.select([cell(c).alias(c) for c in (AIR_COLUMNS if target == "AIR" else RMS_COLUMNS)])
+    return df.select([cell(c).alias(c) for c in (AIR_COLUMNS if target == "AIR" else RMS_COLUMNS)] + [F.col(c).alias(f"_{c}") for c in keep])
 
 
 def clone_perils(df: DataFrame) -> DataFrame:

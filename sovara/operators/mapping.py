@@ -112,8 +112,15 @@ def low_scores(suggestions: DataFrame, least: float = 72.0) -> DataFrame:
 def upsert_memory(memory: DataFrame | None, confirmed: DataFrame) -> DataFrame:
     """Memory with new confirmations (source_col, target_format, canonical, at): the latest name wins, counts add up."""
     new = confirmed.filter("canonical is not null").select(header_key(F.col("source_col")).alias("source_col_normalized"), "target_format", "canonical", F.lit(1).cast("bigint").alias("confirmed_count"), F.col("at").alias("first_confirmed"), F.col("at").alias("last_confirmed"))
-    both = new if memory is None else memory.select(new.columns).unionByName(new)
-    return both.groupBy("source_col_normalized", "target_format").agg(
+    return merge_memories(new if memory is None else memory.select(new.columns).unionByName(new))
+
+
+MEMORY_COLUMNS = ["source_col_normalized", "target_format", "canonical", "confirmed_count", "first_confirmed", "last_confirmed"]
+
+
+def merge_memories(rows: DataFrame) -> DataFrame:
+    """One row per header and target of the rows of several memories."""
+    return rows.groupBy("source_col_normalized", "target_format").agg(
         F.max_by("canonical", F.struct("last_confirmed", "canonical")).alias("canonical"), F.sum("confirmed_count").alias("confirmed_count"),
         F.min("first_confirmed").alias("first_confirmed"), F.max("last_confirmed").alias("last_confirmed"),
     )

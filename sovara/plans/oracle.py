@@ -240,3 +240,8 @@ t AS (SELECT DISTINCT p_name AS text, lower(p_name) AS key FROM part), a AS (SEL
 m AS (SELECT key, arg_max(code, length(token) * 1000000 - o) AS code FROM (SELECT DISTINCT key FROM t) JOIN k ON contains(key, token) GROUP BY key)
 SELECT text, CASE WHEN a.key IS NOT NULL THEN 11 ELSE coalesce(m.code, 0) END::INT AS code, CASE WHEN a.key IS NOT NULL THEN 'alias' WHEN m.code IS NOT NULL THEN 'token' ELSE 'default' END AS method, CASE WHEN a.key IS NOT NULL THEN 0.97 WHEN m.code IS NOT NULL THEN 0.85 ELSE 0 END::DOUBLE AS confidence
 FROM t LEFT JOIN a USING (key) LEFT JOIN m USING (key)"""
+
+SQL["stream_memory"] = SQL["memory_upsert"]
+SQL["stage_slice"] = f"{_V} SELECT row_index, PolicyID, YearBuilt, BuildingValue FROM v ORDER BY row_index LIMIT 500 OFFSET 1000"
+SQL["location_file"] = f"{_RMS} SELECT row_number() OVER (ORDER BY row_index) AS line_no, ACCNTNUM, CASE WHEN y = 9999 THEN '12/31/9999' WHEN y BETWEEN 1700 AND 2026 THEN '01/01/' || y ELSE y::VARCHAR END AS YEARBUILT, coalesce(e::VARCHAR, '') AS EQCV1VAL, coalesce(e::VARCHAR, '') AS TOCV1VAL, 'USD' AS FLCV1LCUR, 61 AS n_cells FROM r"
+SQL["account_lines"] = f"WITH a AS ({SQL['account_file']}) SELECT 0 AS line_no, concat_ws(chr(9), 'ContractID', 'InsuredName', 'LayerID', 'LayerPerils') AS line UNION ALL SELECT row_number() OVER (ORDER BY encode(ContractID), LayerID), concat_ws(chr(9), ContractID, InsuredName, LayerID, LayerPerils) FROM a"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,9 @@ from sovara.operators.cells import by_distinct
 from sovara.functions.text import expand_words
 from sovara.plans.exposure import exposure, spread
 from sovara.rules import PRESETS, Rules
-from sovara.streaming.ingest import clean_stream
+from sovara.sources import files, stages
+from sovara.sources.scratch import shared_folder
+from sovara.streaming import ingest
 
 RULES = Rules(max_building_value=400_000)
 
@@ -377,10 +379,12 @@ def dict_upload_errors(s: SparkSession, d: str) -> DataFrame:
     return dictionary.validate_upload(part).groupBy(F.array_join("errors", "|").alias("errors")).agg(F.count("*").alias("entries"), F.sum(F.size("keywords")).alias("keywords"))
 
 
+def _confirmed(events: DataFrame) -> DataFrame:
+    return events.select(F.concat(F.lit(" User_"), F.col("user_id").cast("string")).alias("source_col"), F.lit("AIR").alias("target_format"), F.col("event_type").alias("canonical"), F.col("ts").alias("at"))
+
+
 def memory_upsert(s: SparkSession, d: str) -> DataFrame:
-    events = s.read.parquet(f"{d}/events.parquet")
-    confirmed = events.select(F.concat(F.lit(" User_"), F.col("user_id").cast("string")).alias("source_col"), F.lit("AIR").alias("target_format"), F.col("event_type").alias("canonical"), F.col("ts").alias("at"))
-    return mapping.upsert_memory(None, confirmed)
+    return mapping.upsert_memory(None, _confirmed(s.read.parquet(f"{d}/events.parquet")))
 
 
 def memory_forget(s: SparkSession, d: str) -> DataFrame:
@@ -477,23 +481,59 @@ def ep_curve(s: SparkSession, d: str) -> DataFrame:
     return portfolio.exceedance_curve(losses, 1000)
 
 
+def _scratch(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _event_stream(s: SparkSession, d: str, files: int | None = None) -> DataFrame:
+    """Events as a stream of the files of their table; of `files` copies of equal shares, where several batches are wanted."""
+    events = s.read.parquet(f"{d}/events.parquet")
+    stream, path, pattern = s.readStream.schema(events.schema), f"{d}/events.parquet*", "*.parquet"
+    if files:
+        path = _scratch(s, "events")
+        events.repartition(files, "user_id").write.parquet(path)
+        stream = stream.option("maxFilesPerTrigger", 1)
+    return stream.option("pathGlobFilter", pattern).parquet(path)
+
+
 def stream_clean(s: SparkSession, d: str) -> DataFrame:
     """Events streamed file by file through the money job; what the stream wrote is returned."""
-    from sovara.streaming.ingest import start_append
-
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not s.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.gettempdir()
-    root = f"{base.rstrip('/')}/stream-{s.sql('select uuid()').first()[0]}"
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    cells = stream.select(F.col("event_id").alias("row_index"), F.concat(F.lit("$"), F.floor("value").cast("string"), F.lit("K")).alias("BuildingValue"))
-    start_append(clean_stream(cells, [lambda df: cleaning.clean_values(df, RULES)]).select("row_index", "BuildingValue", "Currency"), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    root = _scratch(s, "stream")
+    cells = _event_stream(s, d).select(F.col("event_id").alias("row_index"), F.concat(F.lit("$"), F.floor("value").cast("string"), F.lit("K")).alias("BuildingValue"))
+    ingest.start_append(ingest.clean_stream(cells, [lambda df: cleaning.clean_values(df, RULES)]).select("row_index", "BuildingValue", "Currency"), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
     return s.read.parquet(f"{root}/rows")
 
 
+def stream_memory(s: SparkSession, d: str) -> DataFrame:
+    """Events streamed in six batches into the memory of confirmed mappings, with a compaction in between."""
+    root = _scratch(s, "memory")
+    ingest.start_memory(_confirmed(_event_stream(s, d, 6)), f"{root}/table", f"{root}/checkpoint", compact_every=4).awaitTermination()
+    return ingest.read_memory(s, f"{root}/table")
+
+
+def stage_slice(s: SparkSession, d: str) -> DataFrame:
+    """500 locations from the thousandth on, of a stage that was written before."""
+    root = _scratch(s, "stages")
+    stages.save_stage(exposure(s, d).select("row_index", "PolicyID", "YearBuilt", "BuildingValue"), root, "u1", "raw")
+    return stages.load_slice(s, root, "u1", "raw", 1000, 500)
+
+
+def location_file(s: SparkSession, d: str) -> DataFrame:
+    """The location file as it was written: number and some cells of each line below the header."""
+    path = _scratch(s, "locations")
+    files.write_locations(layout.format_years(layout.clone_perils(_rms(s, d))), path, "RMS")
+    at = {c: layout.RMS_COLUMNS.index(c) for c in ("ACCNTNUM", "YEARBUILT", "EQCV1VAL", "TOCV1VAL", "FLCV1LCUR")}
+    lines = files.read_lines(s, path).filter("line_no > 0").select("line_no", F.split("line", "\t", -1).alias("cells"))
+    return lines.select("line_no", *[F.get("cells", F.lit(i)).alias(c) for c, i in at.items()], F.size("cells").alias("n_cells"))
+
+
+def account_lines(s: SparkSession, d: str) -> DataFrame:
+    """The account file as it was written, header included."""
+    path = _scratch(s, "accounts")
+    files.write_accounts(exposure(s, d), path, "AIR")
+    return files.read_lines(s, path)
+
+
 def queries() -> dict:
     from types import FunctionType
 

@@ -54,11 +54,35 @@ def read_policies(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     return df, [c for c in POLICY_COLUMNS if c not in df.columns]
 
 
+def write_ordered(df: DataFrame, order: list[str], path: str, sep: str = "\t") -> None:
+    """Delimited text whose parts, one after another in the order of their names, are the rows in order below one header.
+
+    The columns in `order` sort the rows and are written if they do not begin with an underscore. Ranges are sorted side by side.
+    """
+    names = [c for c in df.columns if not c.startswith("_")]
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in names]), {"sep": sep, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    rows = df.select(F.lit(1).alias("_below"), *order, line.alias("_line"))
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_below"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order], F.lit(sep.join(names)).alias("_line"))
+    keys = ["_below", *order]
+    head.union(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).select("_line").write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, line of a text or of the parts of one, in the order of their names; each is numbered where it is read."""
+    own = ["_metadata.file_path", "_metadata.file_block_start"]
+    rows = spark.read.text(path).select(F.col("value").alias("line"), *[F.col(c).alias(f"_{c.split('_')[-1]}") for c in own]).withColumn("_id", F.monotonically_increasing_id())
+    splits = rows.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # a row per split
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(splits), ["_path", "_start"]).select((F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
 def write_locations(df: DataFrame, path: str, target: str) -> None:
-    """Location file, tab-separated, in the target's column order."""
-    fixed_layout(df, target).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    """Location file, tab-separated, in the target's column order and in the order of row_index."""
+    write_ordered(fixed_layout(df, target, "row_index"), ["_row_index"], path)
 
 
 def write_accounts(df: DataFrame, path: str, target: str) -> None:
-    """Account or contract file."""
-    account_rows(df, target).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    """Account or contract file, ordered by its first columns."""
+    rows = account_rows(df, target)
+    write_ordered(rows, ["ACCNTNUM", "POLICYNUM"] if target == "RMS" else ["ContractID", "LayerID"], path)

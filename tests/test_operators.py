@@ -251,14 +251,68 @@ def test_stages(spark, tmp_path):
     assert stages.row_count(spark, root, "u2", "raw") == 0
 
 
-def test_memory_stream(spark, tmp_path):
-    from sovara.streaming.ingest import start_memory
+def test_slices_read_few_files(spark, tmp_path):
+    root, before = str(tmp_path / "stages"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 2000, 2).selectExpr("(id * 7919) % 2000 as row_index", "id as x")
+        stages.save_stage(rows, root, "u", "s")
+        assert len(list((tmp_path / "stages/upload_id=u/stage=s").glob("*.parquet"))) == 4
+        for offset, n in ((0, 5), (240, 30), (990, 50), (1000, 5), (5000, 1)):
+            part = stages.load_slice(spark, root, "u", "s", offset, n)
+            assert [r["row_index"] for r in part.collect()] == list(range(0, 2000, 2))[offset : offset + n]
+        part = stages.load_slice(spark, root, "u", "s", 300, 20)
+        assert part.count() == 20 and "row_index" in str([f for f in part._jdf.queryExecution().executedPlan().toString().split("PushedFilters")][1:])
+        index = spark.read.parquet(f"{root}/_index/u/s").orderBy("first").collect()
+        assert all(a["last"] < b["first"] for a, b in zip(index, index[1:], strict=False)) and sum(r["rows"] for r in index) == 1000
+        stages.append_stage(spark.range(1, 11, 2).selectExpr("id as row_index", "id as x"), root, "u", "s")  # ranges overlap now
+        assert [r["row_index"] for r in stages.load_slice(spark, root, "u", "s", 3, 6).collect()] == [3, 4, 5, 6, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_ordered_parts(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(300).selectExpr("(id * 71) % 300 as row_index", "concat('n', (id * 71) % 300, if(id % 9 = 0, '\t\"q\"', '')) as PolicyID").repartition(5)
+        files.write_locations(rows, str(tmp_path / "out"), "AIR")
+        parts = sorted((tmp_path / "out").glob("part-*"))
+        text = "".join(p.read_text() for p in parts).splitlines()
+        assert len(parts) == 4 and text[0].split("\t") == layout.AIR_COLUMNS and len(text) == 301
+        whole = tmp_path / "whole.tsv"
+        whole.write_text("\n".join(text) + "\n")
+        back = files.read_table(spark, str(whole), sep="\t").orderBy("row_index").collect()
+        wanted = [r["PolicyID"] for r in rows.orderBy("row_index").collect()]
+        assert [r["PolicyID"] for r in back] == wanted and text.count(text[0]) == 1
+        lines = files.read_lines(spark, str(tmp_path / "out")).orderBy("line_no").collect()
+        assert [r["line"] for r in lines] == text and [r["line_no"] for r in lines] == list(range(301))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
 
-    rows = spark.createDataFrame([("A b", "AIR", "X", 1), ("a_B", "AIR", "Y", 2)], "source_col string, target_format string, canonical string, at int")
-    rows.write.parquet(str(tmp_path / "in"))
-    start_memory(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "memory"), str(tmp_path / "ck")).awaitTermination()
-    row = spark.read.parquet(str(tmp_path / "memory/version=0")).first()
-    assert (row["canonical"], row["confirmed_count"]) == ("Y", 2)
+def test_memory_stream(spark, tmp_path):
+    from sovara.streaming import ingest
+
+    schema = "source_col string, target_format string, canonical string, at int"
+    rows = [("A b", "AIR", "X", 1), ("a_B", "AIR", "Y", 2), ("c", "AIR", None, 3), ("c", "RMS", "Z", 4)]
+    path, source = str(tmp_path / "memory"), str(tmp_path / "in")
+    assert ingest.read_memory(spark, path) is None
+    every = []
+    for n in range(7):
+        more = [(s, t, f"{c}{n}" if c else None, 10 * n + at) for s, t, c, at in rows[: n + 1]]
+        every += more
+        spark.createDataFrame(more, schema).write.mode("append").parquet(source)
+        ingest.start_memory(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "ck"), compact_every=3).awaitTermination()
+        wanted = {tuple(r) for r in mapping.upsert_memory(None, spark.createDataFrame(every, schema)).collect()}
+        assert {tuple(r) for r in ingest.read_memory(spark, path).collect()} == wanted
+        # a batch or a compaction that runs again changes nothing
+        mapping.upsert_memory(None, spark.createDataFrame(more, schema)).write.mode("overwrite").parquet(f"{path}/delta/batch-{n}")
+        if n % 3 == 2:
+            ingest.compact_memory(spark, path, n)
+        assert {tuple(r) for r in ingest.read_memory(spark, path).collect()} == wanted
+    kept = sorted(p.name for p in (tmp_path / "memory").glob("*/*"))
+    assert kept == ["batch-6", "upto-5"], kept
 
 
 def test_exceedance_curve(spark):
