@@ -1,6 +1,8 @@
 """The numpy and Python cores of the operators against brute force."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -200,3 +202,21 @@ def test_language_network():
     z = np.exp(hidden @ net.out + net.bias)
     assert np.allclose(p, z / z.sum(1, keepdims=True), atol=1e-4)
     assert language.train(pa.array([], pa.string()), []).predict(pa.array(["abc"]))[0] == ["und"]
+
+
+def test_packing_of_many_copies_and_sources():
+    """Copies each open a bin, closed sources cost nothing, and thousands of either take no time to speak of."""
+    began = time.process_time()
+    assert packing.pack_items([5] * 8000, list(range(8000)), [0] * 8000, 2048, 2) == list(range(8000))
+    hot = packing.pack_items([5] * 6000, [0] * 6000, list(range(6000)), 2048, 2)
+    assert len(set(hot)) == 3000 and max(Counter(hot).values()) == 2
+    rng = random.Random(3)
+    sizes = sorted((rng.randint(1, 2048) for _ in range(4000)), reverse=True)
+    packing.pack_items(sizes, list(range(4000)), list(range(4000)), 2048, 2)
+    assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize("least", [10, 15, 143, 300])
+def test_passage_lengths_that_entries_cannot_hold(least):
+    with pytest.raises(ValueError):
+        passages.checked(least)

@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from sovara.llm import passages, urls
+from sovara.llm import packing, passages, urls
 
 
 @pytest.fixture
@@ -85,3 +85,39 @@ def test_passages_of_thousands_of_texts_without_id(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"], r["kept_sha256"]) for r in passages.passage_digests(docs).collect())
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == sorted([(1, 0, sha(shared)), *((i or 0, 60, sha(t.replace(shared, ""))) for i, t in rows[1:])])
+
+
+def plain_bins(items, capacity, per_source):
+    """The tightest bin without conflict for each (size, source, cluster), by looking at all bins."""
+    rest, clusters, sources, out = [], [], [], []
+    for size, source, cluster in items:
+        fits = [(rest[b], b) for b in range(len(rest)) if rest[b] >= size and cluster not in clusters[b] and sources[b].count(source) < per_source]
+        tightest = [b for r, b in fits if r == min(fits)[0]] if fits else [len(rest)]
+        if not fits:
+            rest.append(capacity)
+            clusters.append(set())
+            sources.append([])
+        out.append((tightest, lambda b, n=size, s=source, c=cluster: (rest.__setitem__(b, rest[b] - n), clusters[b].add(c), sources[b].append(s))))
+        yield out[-1]
+
+
+def test_packing_against_a_plain_packer_per_shard(spark, small, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 40)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    shards = {}
+    for r in packing.pack(docs).collect():
+        shards.setdefault(r["shard"], []).append(r)
+    assert len(shards) > 3
+    for rows in shards.values():
+        rows.sort(key=lambda r: (-r["size"], r["doc_id"], r["piece"], r["cluster"]))
+        steps = plain_bins([(r["size"], r["source"], r["cluster"]) for r in rows], packing.CAPACITY, packing.PER_SOURCE)
+        for r, (tightest, place) in zip(rows, steps, strict=True):
+            assert r["bin"] in tightest
+            place(r["bin"])
+
+
+def test_packing_spreads_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 1500 + [(None, None, None)] * 500, "doc_id bigint, text string, source string").repartition(4)
+    found = packing.pack(docs).groupBy("shard").count().collect()
+    assert len(found) == 20 and max(r["count"] for r in found) < 200 and sum(r["count"] for r in found) == 2000
