@@ -485,6 +485,13 @@ def _fragments(texts: DataFrame, leaders: DataFrame, least: int) -> DataFrame:
     return joined.mapInArrow(run, "doc_id bigint, row bigint, at bigint, block bigint, divided boolean, fragment binary")
 
 
+def checked(least: int) -> int:
+    """The length, if entries can hold it: ANCHOR bytes at least, and at most 127 starts that choose one anchor."""
+    if not ANCHOR <= least <= ANCHOR + 126:
+        raise ValueError(f"passages have {ANCHOR} to {ANCHOR + 126} bytes at least, not {least}")
+    return least
+
+
 def removals(texts: DataFrame, shrunk: DataFrame, size: int, least: int = 50) -> DataFrame:
     """doc_id, row and `gone`, packed starts of the strings to remove, of the texts that `named` gives with their size; shrunk
     are the same texts squeezed."""
@@ -547,7 +554,7 @@ def passage_digests(docs: DataFrame, least: int = 50) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_removals(doc_text(docs), least).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _with_removals(doc_text(docs), checked(least)).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -563,4 +570,4 @@ def remove(docs: DataFrame, least: int = 50) -> DataFrame:
             columns = {"text": pa.array(text, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] if c == "text" else batch.column(c) for c in names], names)
 
-    return _with_removals(docs, least).mapInArrow(run, docs.schema)
+    return _with_removals(docs, checked(least)).mapInArrow(run, docs.schema)
