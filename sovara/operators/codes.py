@@ -269,7 +269,7 @@ def tfidf_neighbours(texts: DataFrame, codes: DataFrame, top: int = 3, least: fl
     counted = codes.select("code", tokens(F.col("words")).alias("word")).groupBy("code", "word").agg(F.count("*").alias("tf"))
     idf = counted.groupBy("word").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
     left = written(_unit(counted.join(idf, "word").select("code", "word", (F.col("tf") * F.col("idf")).alias("w")), "code"))
-    named = texts.select("text").distinct().withColumn("key", F.sha2("text", 256))
+    named = texts.select("text").distinct().withColumn("key", F.unhex(F.md5("text")))
     asked = named.select("key", tokens(F.col("text")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
     right = written(_unit(asked.join(idf, "word").select("key", "word", (F.col("tf") * F.col("idf")).alias("w")), "key"))
     met = essential_words(right, left, least).join(left.select("word", "code"), "word").select("key", "code").distinct()

@@ -245,3 +245,7 @@ SQL["stream_memory"] = SQL["memory_upsert"]
 SQL["stage_slice"] = f"{_V} SELECT row_index, PolicyID, YearBuilt, BuildingValue FROM v ORDER BY row_index LIMIT 500 OFFSET 1000"
 SQL["location_file"] = f"{_RMS} SELECT row_number() OVER (ORDER BY row_index) AS line_no, ACCNTNUM, CASE WHEN y = 9999 THEN '12/31/9999' WHEN y BETWEEN 1700 AND 2026 THEN '01/01/' || y ELSE y::VARCHAR END AS YEARBUILT, coalesce(e::VARCHAR, '') AS EQCV1VAL, coalesce(e::VARCHAR, '') AS TOCV1VAL, 'USD' AS FLCV1LCUR, 61 AS n_cells FROM r"
 SQL["account_lines"] = f"WITH a AS ({SQL['account_file']}) SELECT 0 AS line_no, concat_ws(chr(9), 'ContractID', 'InsuredName', 'LayerID', 'LayerPerils') AS line UNION ALL SELECT row_number() OVER (ORDER BY encode(ContractID), LayerID), concat_ws(chr(9), ContractID, InsuredName, LayerID, LayerPerils) FROM a"
+
+SQL["dict_registry"] = "SELECT p_partkey::VARCHAR AS code, CASE WHEN p_size % 2 = 0 THEN p_brand || '/' || string_split(p_type, ' ')[1] ELSE p_brand END AS path, p_name AS description, replace(p_type, ' ', '|') AS keywords FROM part"
+SQL["dict_union"] = "SELECT p_partkey::VARCHAR AS code, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS description, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE replace(p_type, ' ', '|') END AS keywords, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS registry FROM part"
+SQL["scanned_table"] = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, c_name || ', ' || c_mktsegment AS Name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS Segment FROM customer"

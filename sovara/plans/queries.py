@@ -13,7 +13,7 @@ from sovara.operators.cells import by_distinct
 from sovara.functions.text import expand_words
 from sovara.plans.exposure import exposure, spread
 from sovara.rules import PRESETS, Rules
-from sovara.sources import files, stages
+from sovara.sources import dictionaries, files, stages
 from sovara.sources.scratch import shared_folder
 from sovara.streaming import ingest
 
@@ -363,6 +363,32 @@ def dict_first_category(s: SparkSession, d: str) -> DataFrame:
     return dictionary.first_category(part.select(F.col("p_brand").alias("code"), F.col("p_size").alias("priority"), F.col("p_type").alias("category"), F.col("p_name").alias("description")))
 
 
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """Parts as JSON texts: brand, kind and number of two depths, with notes beside them."""
+    entry = "named_struct('description', p_name, 'keywords', split(p_type, ' '))"
+    deep = f"map(p_brand, map(substring_index(p_type, ' ', 1), map(cast(p_partkey as string), {entry}), '_notes', map('x', {entry})))"
+    return s.read.parquet(f"{d}/part.parquet").selectExpr(f"if(p_size % 2 = 0, to_json({deep}), to_json(map(p_brand, map(cast(p_partkey as string), {entry})))) AS value")
+
+
+def dict_registry(s: SparkSession, d: str) -> DataFrame:
+    return dictionaries.registry(_nested(s, d)).select("code", F.array_join("path", "/").alias("path"), "description", F.array_join("keywords", "|").alias("keywords"))
+
+
+def dict_union(s: SparkSession, d: str) -> DataFrame:
+    """A registry derived from classes, then a native one."""
+    native = dictionaries.registry(_nested(s, d))
+    derived = s.read.parquet(f"{d}/part.parquet").filter("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("code"), F.upper("p_name").alias("description"), F.array("p_brand").alias("keywords"))
+    return dictionaries.union_registries(derived, native).select("code", "description", F.array_join("keywords", "|").alias("keywords"), "registry")
+
+
+def scanned_table(s: SparkSession, d: str) -> DataFrame:
+    """Customers written as an ordered delimited file, with quoted and empty cells, and read again."""
+    path = _scratch(s, "scan")
+    rows = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("row_index"), F.concat(F.lit(" "), "c_name", F.lit(", "), "c_mktsegment", F.lit(" ")).alias("Name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("Segment"))
+    files.write_ordered(rows.withColumnRenamed("row_index", "_row_index"), ["_row_index"], path, ",")
+    return files.read_table(s, path)
+
+
 def dict_aliases(s: SparkSession, d: str) -> DataFrame:
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("section"), F.col("p_brand").alias("code"), F.col("p_name").alias("alias"))
     return dictionary.aliases_of(part).select("section", "code", F.array_join("aliases", "|").alias("aliases"))

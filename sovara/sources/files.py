@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sovara.functions.text import blank_to_null
 from sovara.operators.layout import account_rows, fixed_layout
+from sovara.sources.scratch import written
 
 POLICY_COLUMNS = ("Policy_ID", "Account_ID", "Policy_Limit", "Policy_Deductible", "Coverage_Type", "Policy_Type")
 
@@ -30,22 +33,50 @@ def add_row_index(df: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sizes), "_part").withColumn("row_index", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_before")
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that are not blank, as they are, with file, split and a number that grows within the split."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    return lines.filter(F.trim("line") != "").withColumn("_id", F.monotonically_increasing_id())
+
+
 def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, multiline: bool = False) -> DataFrame:
-    """A delimited file as trimmed text cells with `row_index`. Without an encoding, UTF-8 is tried first, then latin-1.
+    """A delimited file, or files in the order of their names, as trimmed text cells with `row_index`.
 
-    Cells with line breaks need `multiline`; a file is then one task, as it cannot be split.
+    The file is read twice at most: once for what a row per split tells (its lines, whether all are UTF-8, the first line of
+    all), and once for the cells. Without an encoding, a file with one line that is no UTF-8 is latin-1. Blank lines are
+    skipped, missing cells null, cells beyond the header dropped; a byte order mark is not part of the first name. Cells with
+    line breaks need `multiline`; a file is then one task, as it cannot be split.
     """
-    reader = spark.read.option("sep", sep).option("header", False).option("inferSchema", False).option("multiLine", multiline).option("quote", '"').option("escape", '"')
+    if multiline:
+        return _read_multiline(spark, path, sep, encoding)
+    rows = _numbered_lines(spark, path)
+    text = lambda name: F.decode(F.col("line").cast("binary"), name)
+    splits = rows.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.count_if(~F.is_valid_utf8("line")).alias("_bad"), F.min_by(F.col("line").cast("binary"), "_id").alias("_line"))
+    splits = written(splits)  # a row per split
+    about = splits.agg(F.sum("_bad").alias("bad"), F.min_by("_line", F.struct("_path", "_start")).alias("line")).first()
+    if about["line"] is None:
+        return spark.createDataFrame([], "row_index bigint")
+    encoding = encoding or ("ISO-8859-1" if about["bad"] else "UTF-8")
+    cells = next(csv.reader([bytes(about["line"]).decode(encoding, "replace").removeprefix("\ufeff")], delimiter=sep))
+    names = unique_names([c.strip() or f"column_{i}" for i, c in enumerate(cells, 1)])
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("_path", "_start", (before - F.col("_first")).alias("_shift"))
+    numbered = rows.join(F.broadcast(shifts), ["_path", "_start"]).select((F.col("_id") + F.col("_shift") - 1).alias("row_index"), (F.col("line") if encoding == "UTF-8" else text(encoding)).alias("line")).filter("row_index >= 0")
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = numbered.select("row_index", F.from_csv("line", schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("cells"))
+    return parsed.select("row_index", *[blank_to_null(F.col(f"cells.c{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def _read_multiline(spark: SparkSession, path: str, sep: str, encoding: str | None) -> DataFrame:
+    reader = spark.read.option("sep", sep).option("header", False).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"')
     if encoding is None:
-        broken = reader.option("encoding", "UTF-8").csv(path)
-        bad = F.exists(F.array(*broken.columns), lambda c: F.coalesce(c, F.lit("")).contains("�"))
-        encoding = "ISO-8859-1" if broken.filter(bad).limit(1).count() else "UTF-8"
+        lines = spark.read.text(path)
+        encoding = "ISO-8859-1" if lines.filter(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
     rows = add_row_index(reader.option("encoding", encoding).csv(path))
     header = rows.filter("row_index = 0").drop("row_index").first()
-    names = unique_names([str(h or f"column_{i}") for i, h in enumerate(header, 1)])
+    names = unique_names([(h or "").strip().removeprefix("\ufeff") or f"column_{i}" for i, h in enumerate(header, 1)])
     body = rows.filter("row_index > 0").withColumn("row_index", F.col("row_index") - 1)
-    cells = body.select([F.col(c).alias(n) for c, n in zip(header.__fields__, names, strict=True)] + ["row_index"])
-    return cells.select("row_index", *[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
+    return body.select("row_index", *[blank_to_null(F.col(c)).alias(n) for c, n in zip(header.__fields__, names, strict=True)])
 
 
 def read_policies(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:

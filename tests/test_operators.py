@@ -238,6 +238,41 @@ def test_files(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out")).columns == layout.AIR_COLUMNS
 
 
+@pytest.mark.parametrize("data,columns,rows", [
+    (b"\xef\xbb\xbfA,B\r\n1,2\r\n\r\n  \n3,\"x, \"\"y\"\"\"\n", ["A", "B"], [("1", "2"), ("3", 'x, "y"')]), (b"A,,A\n1\n1,2,3,4\n", ["A", "column_2", "A_2"], [("1", None, None), ("1", "2", "3")]),
+    ("N\ncaf\xe9\n".encode("latin-1"), ["N"], [("caf\xe9",)]), ("N\ncaf\xe9 \u65e5\n".encode(), ["N"], [("caf\xe9 \u65e5",)]), (b"A,B\n", ["A", "B"], []), (b"", [], []),
+])
+def test_scans_of_odd_files(spark, tmp_path, data, columns, rows):
+    (tmp_path / "in.csv").write_bytes(data)
+    df = files.read_table(spark, str(tmp_path / "in.csv"))
+    assert df.columns == ["row_index", *columns] and [tuple(r)[1:] for r in df.orderBy("row_index").collect()] == rows
+
+
+def test_scan_of_many_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("N\n" + "".join(f"{i:06d}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = [(r["row_index"], int(r["N"])) for r in files.read_table(spark, str(tmp_path / "a.csv")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == [(i, i) for i in range(4000)]
+
+
+def test_quoted_breaks(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes("A,B\n\"x\ny\",\xe9\n".encode("latin-1"))
+    assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "in.csv"), multiline=True).collect()] == [(0, "x\ny", "é")]
+
+
+def test_registries_of_any_depth(spark):
+    text = {"frame": {"wood": {"light": {"101": {"description": "wood", "keywords": ["w"]}}, "_note": {"description": "no"}}, "102": {"keywords": ["k"]}}, "_about": {"x": {"description": "y"}}, "other": {"101": {"description": "again"}, "n": 3, "s": "t"}, "103": {"description": "top"}}
+    rows = dictionaries.registry(spark.createDataFrame([(json.dumps(text),), ("{}",), (None,)], "value string")).collect()
+    assert sorted((r["code"], "/".join(r["path"]), r["description"], r["keywords"]) for r in rows) == [("101", "frame/wood/light", "wood", ["w"]), ("101", "other", "again", None), ("102", "frame", None, ["k"]), ("103", "", "top", None)]
+    table_ = spark.createDataFrame([("1", "a", ["x"]), ("2", "b", None)], "code string, description string, keywords array<string>")
+    both = dictionaries.union_registries(table_, table_.selectExpr("code", "upper(description) AS description", "keywords").union(spark.createDataFrame([("3", "c", None)], table_.schema)))
+    assert sorted((r["code"], r["description"], r["registry"]) for r in both.collect()) == [("1", "a", 0), ("2", "b", 0), ("3", "c", 1)]
+
+
 def test_stages(spark, tmp_path):
     root, df = str(tmp_path / "stages"), spark.range(5).withColumnRenamed("id", "row_index")
     stages.save_stage(df, root, "u1", "raw")
