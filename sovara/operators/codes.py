@@ -270,8 +270,8 @@ def tfidf_neighbours(texts: DataFrame, codes: DataFrame, top: int = 3, least: fl
     idf = counted.groupBy("word").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
     left = written(_unit(counted.join(idf, "word").select("code", "word", (F.col("tf") * F.col("idf")).alias("w")), "code"))
     named = texts.select("text").distinct().withColumn("key", F.unhex(F.md5("text")))
-    asked = named.select("key", tokens(F.col("text")).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
-    right = written(_unit(asked.join(idf, "word").select("key", "word", (F.col("tf") * F.col("idf")).alias("w")), "key"))
+    asked = named.select("key", tokens(F.col("text")).alias("word")).join(idf, "word")  # words that no code has count for nothing
+    right = written(_unit(asked.groupBy("key", "word").agg((F.count("*") * F.min("idf")).alias("w")), "key"))
     met = essential_words(right, left, least).join(left.select("word", "code"), "word").select("key", "code").distinct()
     shared = met.join(left.withColumnRenamed("w", "w2"), "code").join(right, ["key", "word"])
     near = shared.groupBy("key", "code").agg(F.bround(F.sum(F.col("w") * F.col("w2")), 6).alias("similarity")).filter(F.col("similarity") > least)

@@ -249,3 +249,19 @@ SQL["account_lines"] = f"WITH a AS ({SQL['account_file']}) SELECT 0 AS line_no,
 SQL["dict_registry"] = "SELECT p_partkey::VARCHAR AS code, CASE WHEN p_size % 2 = 0 THEN p_brand || '/' || string_split(p_type, ' ')[1] ELSE p_brand END AS path, p_name AS description, replace(p_type, ' ', '|') AS keywords FROM part"
 SQL["dict_union"] = "SELECT p_partkey::VARCHAR AS code, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS description, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE replace(p_type, ' ', '|') END AS keywords, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS registry FROM part"
 SQL["scanned_table"] = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, c_name || ', ' || c_mktsegment AS Name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS Segment FROM customer"
+
+# likeness by the longest common subsequence: one step per letter on the bits of all places of the other text
+_SORTED = lambda c: f"array_to_string(list_sort(list_filter(regexp_split_to_array(lower(trim({c})), '\\s+'), lambda w: w <> '')), ' ')"
+_LIKE = f"""h AS (SELECT DISTINCT p_name AS source_col, {_SORTED('p_name')} AS x FROM part),
+a AS (SELECT DISTINCT p_type AS alias, string_split(p_type, ' ')[1] AS canonical, {_SORTED('p_type')} AS y FROM part),
+b AS (SELECT *, length(y) AS n, list_distinct(string_split(y, '')) AS cs FROM a),
+m AS (SELECT *, (1::BIGINT << n) - 1 AS every, map(cs, list_transform(cs, lambda c: list_sum(list_transform(range(n), lambda i: CASE WHEN y[i + 1] = c THEN 1::BIGINT << i ELSE 0 END))::BIGINT)) AS masks FROM b),
+p AS (SELECT source_col, alias, canonical, length(x) + n AS total, n - bit_count(list_reduce(list_prepend(every, list_transform(string_split(x, ''), lambda c: coalesce(masks[c], 0))), lambda v, k: ((v + (v & k)) | (v & ~k)) & every)) AS common FROM h, m),
+s AS (SELECT source_col, alias, canonical, round(200.0 * common / total, 4)::DOUBLE AS score FROM p WHERE round(200.0 * common / total, 4) >= 30),
+t AS (SELECT *, row_number() OVER (PARTITION BY source_col ORDER BY score DESC, alias, canonical) AS rn FROM s),
+o AS (SELECT source_col, canonical, max(score) AS score FROM t WHERE rn <= 5 GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY source_col ORDER BY score DESC, canonical)::INT AS rank FROM o)"""
+SQL["fuzzy_topk"] = f"WITH {_LIKE} SELECT * FROM f WHERE rank <= 3"
+SQL["weak_suggestions"] = f"WITH {_LIKE} SELECT source_col, max(score) AS best FROM f WHERE rank <= 3 GROUP BY 1 HAVING max(score) < 72"
+SQL["merged_suggestions"] = f"""WITH {_LIKE}, k AS (SELECT source_col, canonical, score FROM (SELECT *, max(score) OVER (PARTITION BY source_col) AS best FROM f WHERE rank <= 3) WHERE score >= 0.85 * best UNION ALL SELECT p_name, p_brand, p_size * 1.0 FROM part),
+g AS (SELECT source_col, canonical, max(score)::DOUBLE AS score FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source_col ORDER BY score DESC, canonical)::INT AS rank FROM g) SELECT * FROM r WHERE rank <= 3"""
