@@ -163,7 +163,7 @@ def project(x: np.ndarray, n: int, sums: np.ndarray, axes: np.ndarray, spread: n
         deviation = (far * far).sum(axis=1).tolist()
     centred = near - rest / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        return deviation, np.where(spread > 0, centred @ axes.reshape(-1, d).T / spread, np.nan)
+        return deviation, np.where(spread > 0, centred @ axes.reshape(len(spread), d).T / spread, np.nan)
 
 
 def scores(rows: DataFrame, models: DataFrame) -> DataFrame:
