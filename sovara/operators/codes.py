@@ -16,6 +16,10 @@ from sovara.functions.text import blank_to_null, expand_words, simplify
 from sovara.rules import Rules
 from sovara.sources.scratch import written
 
+#: Words that more codes of a TF-IDF table have are looked up only for pairs that other words found; entries of a table that may be
+#: broadcast; pairs of texts and codes that a task may hold. They decide how work is dealt, not what is found.
+COMMON, BROADCAST_ENTRIES, PAIRS = 1000, 1 << 18, 1_000_000
+
 # Labels, classes and tokens that the results depend on.
 ATC_SCHEMES = ("ATC", "ATC_CLASS", "ATC_OCC", "OCCTYPE", "OCC_TYPE", "RMS", "RMS_OCC", "RMS_OCC_CODE", "RMSATC")
 ISO_SCHEMES = ("ISO", "ISO_CLASS", "FIRE_CLASS", "ISF", "ISO_FIRE_CLASS")
@@ -246,35 +250,47 @@ def _unit(weights: DataFrame, key: str) -> DataFrame:
     return weights.join(size, key).select(key, "word", (F.col("w") / F.col("size")).alias("w"))
 
 
-def essential_words(vectors: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """Words of each text of which one must be shared with every vector of the table that reaches `least`: key, word.
+def _weighed_words(named: DataFrame, words: DataFrame, tokens, least: float) -> DataFrame:
+    """key, word, w (vectors of length 1), and whether a text must look the word up to find its neighbours.
 
     Words are taken from the most common of the table on. As long as their weights times the largest weight that the table has
-    for each, or the length of what they make up, stay below `least`, they cannot reach it alone and need not be looked up.
+    for each, or the length of what they make up, stay below `least`, they cannot reach it alone; of these, words that more than
+    COMMON codes have need not be looked up.
     """
-    of_word = table.groupBy("word").agg(F.max("w").alias("most"), F.count("*").alias("codes"))
-    upto = Window.partitionBy("key").orderBy(F.desc("codes"), "word")
-    bound = F.least(F.sum(F.col("w") * F.col("most")).over(upto), F.sqrt(F.sum(F.col("w") * F.col("w")).over(upto)))
-    return vectors.join(of_word, "word").withColumn("bound", bound).filter(F.col("bound") >= least - 1e-6).select("key", "word")
+    asked = named.select("key", tokens(F.col("text")).alias("word")).join(words, "word")  # words that no code has count for nothing
+    weighed = asked.groupBy("key", "word").agg((F.count("*") * F.min("idf")).alias("w"), F.min("codes").alias("codes"), F.min("most").alias("most"))
+    order = Window.partitionBy("key").orderBy(F.desc("codes"), "word")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    square = F.col("w") * F.col("w")
+    weighed = weighed.withColumns({"size": F.sqrt(F.sum(square).over(whole)), "bound": F.least(F.sum(F.col("w") * F.col("most")).over(upto), F.sqrt(F.sum(square).over(upto)))})
+    return weighed.select("key", "word", (F.col("w") / F.col("size")).alias("w"), ((F.col("codes") <= COMMON) | (F.col("bound") / F.col("size") >= least - 1e-6)).alias("looked_up"))
 
 
 def tfidf_neighbours(texts: DataFrame, codes: DataFrame, top: int = 3, least: float = 0.1) -> DataFrame:
     """The codes whose vocabulary is nearest by TF-IDF cosine. texts: text; codes: code, words (text). Returns text, code, similarity, rank.
 
-    Words are weighed by the codes' table. Pairs meet on essential words only, so a common word is no meeting point of all with
-    all; the pairs that met are scored exactly over all their words, by (text, word), where no key is hot.
+    Words are weighed by the codes' table. Distinct texts are dealt by key once, and all that follows for a text happens where
+    it lies: neither its words nor its pairs are shuffled, unless the codes' table is too large to be broadcast. A word that very
+    many codes have is no meeting point of all with all: what it adds is looked up for the pairs that other words found.
     """
     tokens = lambda c: F.explode(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
     n = codes.select("code").distinct().count()  # size of the dictionary
     counted = codes.select("code", tokens(F.col("words")).alias("word")).groupBy("code", "word").agg(F.count("*").alias("tf"))
-    idf = counted.groupBy("word").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    left = written(_unit(counted.join(idf, "word").select("code", "word", (F.col("tf") * F.col("idf")).alias("w")), "code"))
-    named = texts.select("text").distinct().withColumn("key", F.unhex(F.md5("text")))
-    asked = named.select("key", tokens(F.col("text")).alias("word")).join(idf, "word")  # words that no code has count for nothing
-    right = written(_unit(asked.groupBy("key", "word").agg((F.count("*") * F.min("idf")).alias("w")), "key"))
-    met = essential_words(right, left, least).join(left.select("word", "code"), "word").select("key", "code").distinct()
-    shared = met.join(left.withColumnRenamed("w", "w2"), "code").join(right, ["key", "word"])
-    near = shared.groupBy("key", "code").agg(F.bround(F.sum(F.col("w") * F.col("w2")), 6).alias("similarity")).filter(F.col("similarity") > least)
+    idf = counted.groupBy("word").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"), F.count("*").alias("codes"))
+    left = written(_unit(counted.join(idf, "word").select("code", "word", (F.col("tf") * F.col("idf")).alias("w")), "code")).withColumnRenamed("w", "w2")
+    words = written(idf.join(left.groupBy("word").agg(F.max("w2").alias("most")), "word", "left"))
+    side = F.broadcast if left.count() <= BROADCAST_ENTRIES else lambda df: df
+    rows = texts.count()
+    tasks = max(1, -(-rows * min(n, COMMON) // PAIRS), min(texts.sparkSession.sparkContext.defaultParallelism, rows // 1000))
+    named = texts.select("text").filter("text is not null").distinct().withColumn("key", F.unhex(F.md5("text"))).repartition(tasks, "key")
+    right = _weighed_words(named, side(words), tokens, least)
+    met = right.filter("looked_up").join(side(left), "word").groupBy("key", "code").agg(F.sum(F.col("w") * F.col("w2")).alias("similarity"))
+    if not words.filter(F.col("codes") > COMMON).isEmpty():
+        rest = right.filter("not looked_up").select("key", "word", "w")
+        more = met.join(rest, "key", "left").join(side(left), ["code", "word"], "left").groupBy("key", "code")
+        met = more.agg((F.max("similarity") + F.sum(F.coalesce(F.col("w") * F.col("w2"), F.lit(0.0)))).alias("similarity"))
+    near = met.withColumn("similarity", F.bround("similarity", 6)).filter(F.col("similarity") > least)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "code"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= top).join(named, "key").select("text", "code", "similarity", "rank")
 

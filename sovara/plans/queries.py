@@ -11,7 +11,7 @@ from sovara.operators import address, cleaning, codes, dictionary, identity, lay
 from sovara.flags import drop_flags, flags_table
 from sovara.operators.cells import by_distinct
 from sovara.functions.text import expand_words
-from sovara.plans.exposure import exposure, spread
+from sovara.plans.exposure import exposure
 from sovara.rules import PRESETS, Rules
 from sovara.sources import dictionaries, files, stages
 from sovara.sources.scratch import shared_folder
@@ -308,7 +308,7 @@ def tfidf_topk(s: SparkSession, d: str) -> DataFrame:
 def tfidf_documents(s: SparkSession, d: str) -> DataFrame:
     """Benchmark items nearest to each distinct text of the documents."""
     bench = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("code"), F.col("text").alias("words"))
-    near = codes.tfidf_neighbours(spread(s.read.parquet(f"{d}/documents.parquet").select("text")), bench)
+    near = codes.tfidf_neighbours(s.read.parquet(f"{d}/documents.parquet").select("text"), bench)
     return near.select(F.md5("text").alias("text_md5"), "code", "similarity", "rank", codes.tfidf_confidence(F.col("similarity")).alias("confidence"))
 
 

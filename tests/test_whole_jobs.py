@@ -111,3 +111,32 @@ def test_neighbours_against_all_pairs(spark, least):
                 wanted[t, c] = round(s, 5)
     got = codes.tfidf_neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(table, "code string, words string"), top=1000, least=least)
     assert {(r["text"], r["code"]): pytest.approx(r["similarity"], abs=2e-5) for r in got.collect()} == wanted and len(wanted) > 3
+
+
+@pytest.mark.parametrize("entries", [1 << 18, 0])
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.8])
+def test_common_words_add_to_pairs_that_others_found(spark, monkeypatch, least, entries):
+    """Words that many codes have, looked up late or at once, and a table that is broadcast or shuffled: the same pairs and scores."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice(["the", "of", "roof", *(f"w{rng.randrange(30)}" for _ in range(3))]) for _ in range(n))
+    table = spark.createDataFrame([(f"c{i}", some(rng.randint(1, 15))) for i in range(40)] + [("none", ""), (None, "of w1")], "code string, words string")
+    asked = spark.createDataFrame([(some(rng.randint(1, 30)),) for _ in range(60)] + [("the",), ("",), (None,)], "text string")
+    found = lambda: {(r["text"], r["code"]): r["similarity"] for r in codes.tfidf_neighbours(asked, table, top=1000, least=least).collect()}
+    wanted = found()
+    monkeypatch.setattr(codes, "COMMON", 2)
+    monkeypatch.setattr(codes, "BROADCAST_ENTRIES", entries)
+    assert found() == pytest.approx(wanted, abs=2e-6) and len(wanted) > 3
+
+
+def test_neighbours_shuffle_texts_and_not_their_words(spark):
+    """What is shuffled follows the distinct texts, twice, and not the words or pairs (compressed, so less than twice their bytes)."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    vocabulary = [word() for _ in range(1500)]
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    table = spark.createDataFrame([(f"c{i}", some(60)) for i in range(150)], "code string, words string")
+    texts = [some(150) for _ in range(1200)]
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    assert codes.tfidf_neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), table).count() > 1000
+    assert sent() - before < 2 * sum(map(len, texts))
