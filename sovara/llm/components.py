@@ -11,6 +11,12 @@ from sovara.llm.common import cut_lineage
 LINKS = 200_000
 
 
+def packed(table: DataFrame) -> DataFrame:
+    """A checkpointed or written table in partitions of about LINKS rows: a small one is one partition, so that its joins and
+    aggregations exchange nothing, and the driver keeps no tasks for partitions that hold next to nothing."""
+    return table.coalesce(max(1, -(-table.count() // LINKS)))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """links: a, b (bigint), in any direction. Returns vertex, component for the vertices that are not the smallest of theirs.
 

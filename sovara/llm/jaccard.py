@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sovara.llm.common import cut_lineage, doc_text, mix, text_chunks, word_hashes, words_of, written
-from sovara.llm.components import connected
+from sovara.llm.components import connected, packed
 
 #: Columns in the list of frequent ones, and rows dealt to blocks that may be broadcast to the texts that make them.
 FREQUENT, BROADCAST_ROWS = 1 << 17, 1 << 19
@@ -136,11 +136,11 @@ def column_classes(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Members (class, row) of the classes of columns: first place in the row, n (size of the row), shared (its leading
     columns that other rows lead with too). Should two classes get one name, they are one class, whose pairs include theirs."""
     shared = entries.groupBy("h").agg(F.min("row").alias("least"), F.max("row").alias("most")).filter("least < most").select("h")
-    live = cut_lineage(entries.join(shared, "h").dropDuplicates(["h", "row"]))
+    live = packed(cut_lineage(entries.join(shared, "h").dropDuplicates(["h", "row"])))
     code = live.groupBy("h").agg(F.xxhash64(F.count("row"), F.bit_xor(F.xxhash64("row"))).alias("class"))
     members = live.join(code, "h").groupBy("class", "row").agg(F.min("place").alias("place"), F.count("h").alias("columns"))
     size = members.groupBy("row").agg(F.sum("columns").alias("shared")).join(sets.select("row", "n"), "row")
-    return cut_lineage(members.drop("columns").join(size, "row"))
+    return packed(cut_lineage(members.drop("columns").join(size, "row")))
 
 
 def _candidates(percent: int):
@@ -177,7 +177,7 @@ def cells(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.select("row", "n").distinct()
     rows = forest.select("class", F.explode(F.array("a", "b")).alias("row")).distinct().join(sizes, "row")
     rows = rows.join(reach, rows["row"] == reach["vertex"], "left").select("class", "row", "n", F.coalesce("component", "row").alias("cluster"))
-    clustered = cut_lineage(rows)
+    clustered = packed(cut_lineage(rows))
     clusters = clustered.select("cluster", "row", "n").distinct()
     heavy = clusters.groupBy("cluster").agg(F.count("row").alias("k"), F.sum("n").alias("n")).filter((F.col("k") > ROWS) | (F.col("n") > SHINGLES)).select("cluster")
     whole = clusters.join(heavy, "cluster", "left_anti").select(F.col("cluster").alias("cell"), "row", "n")
@@ -213,7 +213,7 @@ def _first_deal(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _second_deal(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Deals members (cell, row, name, n) of large cells to pairs of chunks, of which one holds no row of the largest component."""
-    rooted = cut_lineage(members.join(roots, members["name"] == roots["vertex"], "left").select("cell", "row", "n", F.coalesce("component", "name").alias("root")))
+    rooted = packed(cut_lineage(members.join(roots, members["name"] == roots["vertex"], "left").select("cell", "row", "n", F.coalesce("component", "name").alias("root"))))
     counts = rooted.groupBy("cell", "root").agg(F.count("row").alias("k"), F.sum("n").alias("n"))
     largest = counts.groupBy("cell").agg(F.max(F.struct("k", "n", "root")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > top.k")
     largest = largest.select("cell", F.col("top.root").alias("top"), _parts(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("mb"), _parts(F.col("top.k"), F.col("top.n")).alias("gb"))
@@ -322,7 +322,7 @@ def _product(docs: DataFrame, sets: DataFrame, dealt: DataFrame, size: int, perc
 
     rows = texts.mapInArrow(run, "name binary, shingles binary, blocks array<struct<cell:bigint,kind:int,p:int,q:int>>")
     rows = rows.select("name", "shingles", F.inline("blocks")).withColumn("task", F.pmod(F.xxhash64("cell", "kind", "p", "q"), F.lit(tasks)))
-    return cut_lineage(rows.groupBy("task").applyInArrow(_multiply(percent), "a binary, b binary"))
+    return packed(cut_lineage(rows.groupBy("task").applyInArrow(_multiply(percent), "a binary, b binary")))
 
 
 def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> DataFrame:
@@ -333,7 +333,8 @@ def set_links(docs: DataFrame, table: DataFrame, size: int, percent: int) -> Dat
     )
     entries = written(leading_columns(docs, size, percent, np.asarray(top["h"].combine_chunks()).astype(np.int64)))
     sets = table.filter("n_shingles > 0 and doc_id is not null").groupBy("name", "row", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"))
-    members = cut_lineage(cells(column_classes(entries, sets), percent))
+    sets = packed(cut_lineage(sets))
+    members = packed(cut_lineage(cells(column_classes(entries, sets), percent)))
     dealt, large = _first_deal(members)
     links = _product(docs, sets, cut_lineage(dealt), size, percent)
     if large.isEmpty():
@@ -351,6 +352,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     reach = connected(set_links(docs.filter("doc_id is not null"), table, size, percent))
     sets = usable.groupBy("name").agg(F.min("doc_id").alias("least"))
     sets = sets.join(reach, sets["name"] == reach["vertex"], "left").select("name", "least", F.coalesce("component", "name").alias("group"))
+    sets = packed(cut_lineage(sets))
     least = sets.groupBy("group").agg(F.min("least").alias("component_id"))
     component = sets.join(least, "group").select("name", "component_id")
     return table.join(component, "name", "left").select(

@@ -298,3 +298,20 @@ def test_pipeline_against_plain_stages(spark, small):
     fifth = pipeline.STAGES[4][1](spark, fourth, small)
     assert {r["doc_id"] for r in fifth.collect()} == {r["doc_id"] for r in fourth.collect()}
     assert pipeline.run(spark, small).count() == fifth.count()
+
+
+def test_small_tables_of_the_join_are_few_tasks(spark, small):
+    """With many shuffle partitions that nothing merges, what is small is not dealt to all of them step after step."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    tasks = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalTasks()
+    start = tasks()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = jaccard.jaccard_components(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 200 and tasks() - start < 3500  # 4,763 when all were dealt
