@@ -7,8 +7,10 @@ if the text has the phrase's longest word in it, so phrases are dealt by word fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from sovara.rules import Rules
 from sovara.sources.scratch import written
 
 #: Words that more codes of a TF-IDF table have are looked up only for pairs that other words found; entries of a table that may be
-#: broadcast; pairs of texts and codes that a task may hold. They decide how work is dealt, not what is found.
-COMMON, BROADCAST_ENTRIES, PAIRS = 1000, 1 << 18, 1_000_000
+#: broadcast; pairs of texts and codes that a task may hold; keys of texts that a task remembers, to send copies once. They decide
+#: how work is dealt, not what is found.
+COMMON, BROADCAST_ENTRIES, PAIRS, REMEMBERED = 1000, 1 << 18, 1_000_000, 100_000
 
 # Labels, classes and tokens that the results depend on.
 ATC_SCHEMES = ("ATC", "ATC_CLASS", "ATC_OCC", "OCCTYPE", "OCC_TYPE", "RMS", "RMS_OCC", "RMS_OCC_CODE", "RMSATC")
@@ -267,12 +270,32 @@ def _weighed_words(named: DataFrame, words: DataFrame, tokens, least: float) ->
     return weighed.select("key", "word", (F.col("w") / F.col("size")).alias("w"), ((F.col("codes") <= COMMON) | (F.col("bound") / F.col("size") >= least - 1e-6)).alias("looked_up"))
 
 
+def dealt_once(texts: DataFrame, tasks: int) -> DataFrame:
+    """text, key: the distinct texts, dealt by key in one shuffle. A task drops the copies it has just seen before, so a text that
+    very many rows have is sent a few times by each task; the copies that are left meet where they are sent."""
+    remembered = REMEMBERED
+
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            if len(seen) > remembered:
+                seen.clear()
+            keys, fresh = batch.column("key").to_pylist(), []
+            for key in keys:
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    named = texts.filter("text is not null").select("text", F.unhex(F.md5("text")).alias("key")).mapInArrow(unseen, "text string, key binary")
+    return named.repartition(tasks, "key").distinct()
+
+
 def tfidf_neighbours(texts: DataFrame, codes: DataFrame, top: int = 3, least: float = 0.1) -> DataFrame:
     """The codes whose vocabulary is nearest by TF-IDF cosine. texts: text; codes: code, words (text). Returns text, code, similarity, rank.
 
-    Words are weighed by the codes' table. Distinct texts are dealt by key once, and all that follows for a text happens where
-    it lies: neither its words nor its pairs are shuffled, unless the codes' table is too large to be broadcast. A word that very
-    many codes have is no meeting point of all with all: what it adds is looked up for the pairs that other words found.
+    Words are weighed by the codes' table. Texts are shuffled once, by key, and all that follows for a text happens where it lies:
+    neither its words nor its pairs are shuffled, unless the codes' table is too large to be broadcast. A word that very many
+    codes have is no meeting point of all with all: what it adds is looked up for the pairs that other words found.
     """
     tokens = lambda c: F.explode(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
     n = codes.select("code").distinct().count()  # size of the dictionary
@@ -283,7 +306,7 @@ def tfidf_neighbours(texts: DataFrame, codes: DataFrame, top: int = 3, least: fl
     side = F.broadcast if left.count() <= BROADCAST_ENTRIES else lambda df: df
     rows = texts.count()
     tasks = max(1, -(-rows * min(n, COMMON) // PAIRS), min(texts.sparkSession.sparkContext.defaultParallelism, rows // 1000))
-    named = texts.select("text").filter("text is not null").distinct().withColumn("key", F.unhex(F.md5("text"))).repartition(tasks, "key")
+    named = dealt_once(texts, tasks)
     right = _weighed_words(named, side(words), tokens, least)
     met = right.filter("looked_up").join(side(left), "word").groupBy("key", "code").agg(F.sum(F.col("w") * F.col("w2")).alias("similarity"))
     if not words.filter(F.col("codes") > COMMON).isEmpty():

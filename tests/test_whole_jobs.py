@@ -140,3 +140,27 @@ def test_neighbours_shuffle_texts_and_not_their_words(spark):
     before = sent()
     assert codes.tfidf_neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), table).count() > 1000
     assert sent() - before < 2 * sum(map(len, texts))
+
+
+def test_texts_are_shuffled_once(spark):
+    """Nothing of the size of the texts is shuffled a second time, neither to find the distinct ones nor to name the hits."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    vocabulary = [word() for _ in range(1500)]
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    table = spark.createDataFrame([(f"c{i}", some(60)) for i in range(150)], "code string, words string")
+    texts = [some(150) for _ in range(1200)]
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    assert codes.tfidf_neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), table).count() > 1000
+    assert sent() - before < sum(map(len, texts))
+
+
+@pytest.mark.parametrize("remembered", [0, 3, 100_000])
+def test_copies_of_a_text_are_dropped_before_and_after_the_shuffle(spark, monkeypatch, remembered):
+    """One text in most of the rows, others in a few, null and empty ones: each once, however many keys a task remembers."""
+    monkeypatch.setattr(codes, "REMEMBERED", remembered)
+    rows = ["hot"] * 5000 + [f"t{i % 700}" for i in range(1500)] + ["", "", None, "ñ\x00 z", "ñ\x00 z"]
+    random.Random(11).shuffle(rows)
+    got = [r["text"] for r in codes.dealt_once(spark.createDataFrame([(t,) for t in rows], "text string").repartition(6), 5).collect()]
+    assert sorted(got) == sorted(set(rows) - {None})
